@@ -34,17 +34,17 @@ def pick(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
     )
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000, name: str = TEXT) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut so that their texts stay under `most_chars` bytes (a longer text is alone in its batch)."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(TEXT))
+        column = batch.column(batch.schema.get_field_index(name))
         lengths = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float)) if batch.num_rows else np.zeros(0)
         part = np.floor(np.cumsum(lengths) / most_chars).astype(int)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in itertools.pairwise(cuts):
             if b > a:
                 piece = batch.slice(a, b - a)
-                yield piece, [t or "" for t in piece.column(piece.schema.get_field_index(TEXT)).to_pylist()]
+                yield piece, [t or "" for t in piece.column(piece.schema.get_field_index(name)).to_pylist()]
 
 
 def map_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -52,6 +52,17 @@ def map_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(f, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of `df`, as they are, for whose text the function that `start` makes in each task says True; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good = start()
+        for batch, texts in text_batches(batches, name=text_col):
+            yield batch.filter(pa.array(good(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def to_pandas(df: DataFrame) -> pd.DataFrame:
     """For results of a known bound; by Arrow whatever the session's settings are."""
     return df.toArrow().to_pandas()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import language_id, mixing, quality, secrets, token_counts, toxicity
+from tidewell.llm import decontamination, fingerprints, language_id, licenses, mixing, near_duplicates, quality, secrets, token_counts, toxicity
 from tidewell.llm.common import read
 
 
@@ -15,6 +15,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k.json", limit=1024)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -23,6 +35,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_matches", F.array_join("licenses", ",").alias("licenses"), spans.alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_language(read(spark, sf_dir, "documents"))
 
@@ -43,8 +61,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_decontamination": op3_decontamination,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_mix_sources": op5_mix_sources,
     "op6_toxicity": op6_toxicity,
+    "op7_licenses": op7_licenses,
     "op8_language_id": op8_language_id,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ID, TEXT, WORDS, crc_fold, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
+from tidewell.llm.common import ID, TEXT, WORDS, crc_fold, keep_rows, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
 
 ORDER, DISCOUNT, MARGIN = 5, 0.75, 2.0
 SHARED_BITS, TOP_BITS = 18, 20
@@ -188,16 +188,20 @@ def gather_classes(docs: DataFrame, sample: DataFrame) -> dict[str, np.ndarray]:
     return {"count": count, "total": total, "kinds": kinds}
 
 
+def means(texts: list[str], known: Evidence) -> list[float]:
+    """Mean evidence of each text's words."""
+    words = [find_words(t.lower()) for t in texts]
+    known.learn(set().union(*words))
+    return [sum(map(known.__getitem__, w)) / len(w) if w else 0.0 for w in words]
+
+
 def evidence(docs: DataFrame, model: object, keep: str = "") -> DataFrame:
     """(ID, evidence, and a column of `docs` named in `keep`) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Evidence(model.value)
         for batch, texts in text_batches(batches):
-            words = [find_words(t.lower()) for t in texts]
-            known.learn(set().union(*words))
-            means = [sum(map(known.__getitem__, w)) / len(w) if w else 0.0 for w in words]
-            yield pa.record_batch([batch.column(0), pa.array(means, pa.float64()), *([batch.column(batch.schema.get_field_index(keep))] if keep else [])], names=[ID, "evidence", *([keep] if keep else [])])
+            yield pa.record_batch([batch.column(0), pa.array(means(texts, known), pa.float64()), *([batch.column(batch.schema.get_field_index(keep))] if keep else [])], names=[ID, "evidence", *([keep] if keep else [])])
 
     return map_text(docs, run, f"{ID} long, evidence double" + (f", {keep} int" if keep else ""))
 
@@ -218,6 +222,22 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 FLOOR = 0.01
 
 
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, label_id_col: str, per_class: int, seed: int) -> tuple[object, tuple[float, float] | None]:
+    """(broadcast model, logistic slope and offset or None without labels of both kinds) from `docs` (ID, TEXT).
+
+    Learns from labels of ids whose crc32 modulo 4 is 0 or 1 (counts) or 3
+    (calibration), at most about `per_class` rows of each label and purpose.
+    """
+    labels = labels.select(F.col(label_id_col), F.col(label_col).cast("int").alias(label_col)).where(F.col(label_col).isin(0, 1))
+    fold = crc_fold(F.col(ID))
+    train = labelled_sample(labels, label_id_col, label_col, per_class, seed, fold.isin(0, 1))
+    check = labelled_sample(labels, label_id_col, label_col, per_class, seed + 1, fold == 3)
+    model = docs.sparkSession.sparkContext.broadcast(gather_shared(docs) | gather_classes(docs, train))
+    seen = to_pandas(evidence(docs.join(F.broadcast(check), ID).select(ID, TEXT, F.col("label").cast("int").alias("label")), model, "label"))
+    both = seen["label"].nunique() == 2
+    return model, calibrate(np.log(seen["evidence"].to_numpy() + FLOOR), seen["label"].to_numpy(float)) if both else None
+
+
 def score_toxicity(
     df: DataFrame,
     labels: DataFrame,
@@ -229,22 +249,33 @@ def score_toxicity(
     threshold: float = 0.3,
     seed: int = 6,
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row.
-
-    Learns from labels of ids whose crc32 modulo 4 is 0 or 1 (counts) or 3
-    (calibration), at most about `per_class` rows of each label and purpose.
-    """
-    spark, docs = df.sparkSession, pick(df, id_col, text_col)
-    labels = labels.select(F.col(label_id_col), F.col(label_col).cast("int").alias(label_col)).where(F.col(label_col).isin(0, 1))
-    fold = crc_fold(F.col(ID))
-    train = labelled_sample(labels, label_id_col, label_col, per_class, seed, fold.isin(0, 1))
-    check = labelled_sample(labels, label_id_col, label_col, per_class, seed + 1, fold == 3)
-    model = spark.sparkContext.broadcast(gather_shared(docs) | gather_classes(docs, train))
-    seen = to_pandas(evidence(docs.join(F.broadcast(check), ID).select(ID, TEXT, F.col("label").cast("int").alias("label")), model, "label"))
-    if seen["label"].nunique() == 2:
-        slope, offset = calibrate(np.log(seen["evidence"].to_numpy() + FLOOR), seen["label"].to_numpy(float))
-        score = 1 / (1 + F.exp(-(F.lit(slope) * F.log(F.col("evidence") + FLOOR) + F.lit(offset))))
-    else:
-        score = F.lit(0.0)
+    """(doc_id, held_out, score, predicted) of each row."""
+    docs = pick(df, id_col, text_col)
+    model, curve = fit(docs, labels, label_col, label_id_col, per_class, seed)
+    score = 1 / (1 + F.exp(-(F.lit(curve[0]) * F.log(F.col("evidence") + FLOOR) + F.lit(curve[1])))) if curve else F.lit(0.0)
     out = evidence(docs, model).select(F.col(ID).alias("doc_id"), (crc_fold(F.col(ID)) == 2).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    label_id_col: str = "doc_id",
+    per_class: int = 15_000,
+    threshold: float = 0.3,
+    seed: int = 6,
+) -> DataFrame:
+    """`df` without the rows that score_toxicity() predicts to be toxic; its columns and other rows stay as they are."""
+    model, curve = fit(pick(df, id_col, text_col), labels, label_col, label_id_col, per_class, seed)
+    if not curve:
+        return df
+    most = np.exp((np.log(threshold / (1 - threshold)) - curve[1]) / curve[0]) - FLOOR  # evidence at the threshold
+
+    def start() -> object:
+        known = Evidence(model.value)
+        return lambda texts: [x < most for x in means(texts, known)]
+
+    return keep_rows(df, text_col, start)
