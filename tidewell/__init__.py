@@ -1,0 +1 @@
+"""Memory analytics on Spark."""
