@@ -26,3 +26,5 @@ from tidewell.plans import reports as _reports  # noqa: E402
 for _name in _reports.REPORTS:
     QUERIES[_name] = lambda spark, sf_dir, n=_name: _reports.report(n, spark, sf_dir)
     ORACLE_SQL[_name] = _reports.oracle(_name)
+
+from tidewell.queries import memory, scoring  # noqa: E402, F401
