@@ -2,7 +2,7 @@
 
 The index is of the *test items*; every passage of every training text is a query.  A
 passage is 128 words, a new one starts every 64, and an item longer than 64 words is
-indexed in segments of that length, so each segment lies whole in some passage.  Scores
+indexed in equal segments of at most that length, so each segment lies whole in some passage.  Scores
 are BM25 as a share of the item's score against itself, so one threshold fits items of
 any length.
 
@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -62,10 +63,12 @@ class ItemIndex:
         self.item, self.words, self.question = [], [], []  # by segment; question: how many of its words are of the question
         for item, text in items:
             q, a = split_item(text or "")
-            for i in range(0, len(q) + len(a), STRIDE):
+            parts = -(-(len(q) + len(a)) // STRIDE)
+            ends = [len(q + a) * i // parts for i in range(parts + 1)] if parts else []  # parts of equal length: no short last one
+            for i, end in pairwise(ends):
                 self.item.append(item)
-                self.words.append((q + a)[i : i + STRIDE])
-                self.question.append(min(max(len(q) - i, 0), len(self.words[-1])))
+                self.words.append((q + a)[i:end])
+                self.question.append(min(max(len(q) - i, 0), end - i))
         n = len(self.words)
         df = Counter(t for w in self.words for t in set(w))
         mean = sum(map(len, self.words)) / max(n, 1)
