@@ -1,0 +1,193 @@
+"""Small literal cases of the memory operators."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewell import model
+from tidewell.functions import chunking
+from tidewell.functions import scoring as S
+from tidewell.functions import text as T
+from tidewell.functions import vector as V
+from tidewell.operators import graph, lifecycle, search, selecting, store
+from tidewell.sources import readers
+from tidewell.streaming import jobs
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()[0]
+
+
+def test_cosine_edges(spark):
+    a = lambda *x: F.array(*map(F.lit, x)).cast("array<double>")
+    assert one(spark, V.cosine(a(1, 0), a(0, 1))) == 0
+    assert one(spark, V.cosine(a(1, 2), a(2, 4))) == pytest.approx(1)
+    assert one(spark, V.cosine(a(1, 2), a(1))) == 0
+    assert one(spark, V.cosine(a(0, 0), a(1, 1))) == 0
+    assert one(spark, V.cosine(F.lit(None).cast("array<double>"), a(1))) == 0
+    assert V.cosine_of_score(0.92) == pytest.approx(0.913, abs=1e-3)
+
+
+def test_weibull_and_tiers(spark):
+    w = lambda age, tier: one(spark, S.weibull(F.lit(float(age)), F.lit(60.0), F.lit(tier)))
+    assert w(0, "core") == 1 and w(-3, "working") == 1
+    assert w(60, "working") == pytest.approx(0.65 + 0.35 * 0.5)
+    assert w(60, "peripheral") == pytest.approx(0.45 + 0.55 * 0.5)
+    assert w(1e6, "core") == pytest.approx(0.85)
+    assert one(spark, S.clamp01(F.lit(float("nan")), 0.2)) == 0.2
+    assert one(spark, S.tier_change(F.lit("peripheral"), F.lit(3), F.lit(0.5), F.lit(0), 0)) == "working"
+
+
+def test_text(spark):
+    assert one(spark, T.tokens(F.lit("The Cat 码好 a x9"))) == ["cat", "码", "x9"]  # 好 is a stop word
+    assert one(spark, T.canonical_key(F.lit("  Use 'Foo'  & Bar!! "))) == "use-foo-bar"
+    assert one(spark, T.topic_tag(F.lit("docker and kubernetes with sql"))) == "infra"
+    assert one(spark, T.topic_tag(F.lit("nothing here"))) is None
+    e = one(spark, T.emotion(F.lit("不喜欢 this bug!")))
+    assert e["label"] == "negative" and e["arousal"] == 0.25
+    assert one(spark, T.contradicts(F.lit("caching is always good"), F.lit("caching is not good"))) is True
+    assert one(spark, T.token_estimate(F.lit("你好ab"))) == math.ceil(3.5)
+    assert one(spark, T.scope_suggestion(F.lit("memry"), "memory")) == 1.0
+    assert one(spark, T.is_noise(F.lit("hello there"))) and not one(spark, T.is_noise(F.lit("The build uses Redis")))
+    assert one(spark, T.has_exact_token(F.lit("see DEDUP_HARD_LIMIT"))) and not one(spark, T.has_exact_token(F.lit("plain words only")))
+
+
+def test_redaction(spark):
+    r = lambda s: one(spark, T.redact(F.lit(s)))
+    assert r("password=hunter2hunter2") == "password=[REDACTED:password]"
+    assert r("card 4111 1111 1111 1111 ok") == "card [REDACTED:credit_card] ok"
+    assert r("order 1234 5678 9012 3456 ok") == "order 1234 5678 9012 3456 ok"
+    assert r("id 11010519491231002X.") == "id [REDACTED:id_number]."
+    assert r("mail me@x.org") == "mail me@x.org"
+
+
+def test_metadata_is_tolerant(spark):
+    rows = [(1, '{"evolution":{"status":"archived","accessCount":3},"confidence":0.4,"tags":["a"]}'), (2, '{"confidence":{"score":0.9}}'), (3, "not json"), (4, None)]
+    got = {r["id"]: r for r in model.parse_metadata(spark.createDataFrame(rows, "id long, metadata string")).collect()}
+    assert got[1]["status"] == "archived" and got[1]["evo_access_count"] == 3 and got[1]["confidence"] == 0.4
+    assert got[2]["confidence"] == 0.9
+    assert got[3]["status"] == "active" and got[3]["confidence"] == 0.7 and got[4]["tags"] == []
+
+
+def test_migration(spark):
+    out = model.evolve(spark.createDataFrame([("1", "hi", None)], "id string, text string, language string")).first()
+    assert out["language"] == "en" and out["fts_text"] == "hi" and out["vector"] is None
+
+
+def test_store(spark, tmp_path):
+    old = spark.createDataFrame([("a", "1", "m:x", 5), ("b", "2", "n", 6)], "id string, text string, scope string, ts long")
+    new = spark.createDataFrame([("b", "3", "n", 9), ("c", "4", "n", 9)], "id string, text string, scope string, ts long")
+    merged = store.upsert(old, new)
+    assert sorted((r["id"], r["text"]) for r in merged.collect()) == [("a", "1"), ("b", "3"), ("c", "4")]
+    assert store.upsert(merged, new).count() == 3  # idempotent
+    with pytest.raises(ValueError):
+        store.bulk_delete(old)
+    assert [r["id"] for r in store.bulk_delete(old, ["m"]).collect()] == ["b"]
+    old.write.parquet(str(tmp_path / "t"))
+    assert store.replace_table(spark, str(tmp_path / "t"), lambda df: store.delete(df, new)).count() == 1
+    twins = spark.createDataFrame([("abcdefgh1", "m"), ("abcdefgh2", "m")], "id string, scope string")
+    with pytest.raises(store.AmbiguousId):
+        store.lookup(twins, "abcdefgh")
+    assert store.lookup_or_none(twins, "abcdefgh").count() == 0
+
+
+def test_triples(spark):
+    t = spark.createDataFrame([("a", "uses", "b", 0.5, "1"), ("a", "uses", "b", 0.9, "2")], "subject string, predicate string, object string, confidence double, source_memory_id string")
+    c = store.collapse_triples(t)
+    assert c.first()["confidence"] == 0.9 and c.first()["mention_count"] == 2
+    assert store.forget_source(c, "1").first()["sources"] == ["2"]
+    assert store.forget_source(store.forget_source(c, "1"), "2").count() == 0
+
+
+def test_selecting():
+    x, y = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    assert selecting.defer_similar([x, x, y]) == [0, 2, 1]
+    assert selecting.filter_interference([x, x], [1.0, 0.1]) == [(0, 1.0), (1, 0.1)]
+    assert selecting.filter_interference([x, x, y], [1.0, 0.1, 0.9]) == [(0, 1.0), (2, 0.9)]  # the weak copy is dropped
+    got = selecting.filter_interference([x, x, x, x], [1.0, 0.99, 0.98, 0.97])
+    assert got[-1] == (3, 0.97 * 0.5)
+    assert selecting.collapse([(0.9, 7000, 100, 10), (0.9, 7000, 100, 10), (0.2, 5, 5, 5)]) == ["L2", "L1", "drop"]
+    assert selecting.batch_dedup([x, x, y]) == [True, False, True]
+    assert lifecycle.greedy_clusters([x, x, y], 0.8) == [0, 0, 1]
+
+
+def test_fusion(spark):
+    s = "query_id string, id string, score double"
+    v, b, g = (spark.createDataFrame(r, s) for r in ([("q", "1", 0.8), ("q", "2", 0.5)], [("q", "1", 0.6), ("q", "3", 0.4)], [("q", "4", 0.3)]))
+    got = {r["id"]: r["score"] for r in search.fuse(v, b, g).collect()}
+    assert got == pytest.approx({"1": (0.7 * 0.8 + 0.3 * 0.6) * 1.05, "2": 0.5, "3": 0.4, "4": 0.3})
+
+
+def test_graph(spark):
+    t = spark.createDataFrame([("a", "uses", "b", 1.0), ("b", "uses", "c", 1.0), ("x", "uses", "y", 1.0)], "subject string, predicate string, object string, confidence double")
+    e = graph.edges(t)
+    seeds = spark.createDataFrame([("a",)], "entity string")
+    assert {r["entity"]: r["hop"] for r in graph.neighbourhood(e, seeds, 3).collect()} == {"a": 0, "b": 1, "c": 2}
+    ranks = {r["entity"]: r["rank_score"] for r in graph.pagerank(e, seeds).collect()}
+    assert sum(ranks.values()) == pytest.approx(1) and ranks["a"] > ranks["c"] and "x" not in ranks
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    roots = {r["id"]: r["root"] for r in graph.components(pairs).collect()}
+    assert set(roots[i] for i in range(41)) == {0} and roots[101] == 100
+    assert graph.components(pairs.where("a < 0")).count() == 0
+
+
+def test_knn_batch_equals_numpy(spark):
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(m)] + [("none", None)], "id string, vector array<float>")
+    q = df.where("id in ('3', '7')").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    got = {}
+    for r in search.knn_batch(df, q, 5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    u = m.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for k in (3, 7):
+        order = [str(i) for i in np.argsort(-(u @ u[k])) if i != k][:5]
+        assert [got[str(k)][i + 1] for i in range(5)] == order
+
+
+def test_similar_pairs_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(str(i), "g", v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))], "id string, grp string, vector array<float>")
+    pairs = lambda block: {tuple(sorted((r["a"], r["b"]))) for r in lifecycle.similar_pairs(df, 0.9, ["grp"], block).collect()}
+    assert pairs(1000) == pairs(7) and len(pairs(7)) > 3
+
+
+def test_supersede_is_idempotent(spark):
+    s = "id string, version long, text string, valid_from long, valid_until long"
+    old = spark.createDataFrame([("a", 1, "x", 1, None)], s)
+    change = spark.createDataFrame([("a", "y"), ("b", "z")], "id string, text string")
+    new = lifecycle.supersede(old, change, 10)
+    assert sorted(new.collect()) == sorted(spark.createDataFrame([("a", 1, "x", 1, 10), ("a", 2, "y", 10, None), ("b", 1, "z", 10, None)], s).collect())
+    assert sorted(lifecycle.supersede(new, change, 20).collect(), key=str) == sorted(new.collect(), key=str)
+
+
+def test_rate_limit_counts_only_accepted():
+    ok, held = jobs.limit_rate([0, 1, 2, 61, 62], [], 2, 60)
+    assert ok == [True, True, False, True, True] and held == [61, 62]
+
+
+def test_chunks_keep_everything():
+    text = "One sentence here. " * 200
+    out = chunking.chunks(text, 300, 40)
+    assert all(len(c) <= 300 for c in out) and sum(c.count("One") for c in out) >= 200
+    assert chunking.chunks(None) == [] and chunking.segments("") == []
+    assert len(chunking.segments("# a\n" + "x" * 300 + "\n# b\ny")) == 2
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"type":"user","sessionId":"s","message":{"role":"user","content":"hi"}}\nbroken\n{"message":{"role":"assistant","content":"[{\\"type\\":\\"text\\",\\"text\\":\\"yo\\"}]"}}\n')
+    assert [(r["role"], r["text"]) for r in readers.transcripts(readers.lines(spark, str(tmp_path / "t.jsonl")), "nested").collect()] == [("user", "hi"), ("assistant", "yo")]
+    md = spark.createDataFrame([("f", "intro\n# A\none\n## B\ntwo")], "file string, text string")
+    assert [r["heading"] for r in readers.markdown_sections(md).orderBy("position").collect()] == [None, "A", "B"]
+    note = spark.createDataFrame([("file:/v/topic/n.md", "---\ntitle: T\n---\nsee [[Other|x]]")], "file string, text string")
+    r = readers.vault_notes(note).first()
+    assert r["frontmatter"] == {"title": "T"} and r["links"] == ["Other"] and r["folder_tags"] == ["topic"]
+    batch = spark.createDataFrame([('{"version":"1","source":"mail","scope":"s","records":[{"id":"1","text":"a"},{"id":"2","text":" "}]}',), ("{",)], "text string")
+    assert [r["id"] for r in readers.connector_records(batch).collect()] == ["1"]
+    talk = spark.createDataFrame([("f", "User: a\nb\nAssistant: c")], "file string, text string")
+    assert [(r["role"], r["text"]) for r in readers.plain_dialogue(talk).orderBy("position").collect()] == [("user", "a\nb"), ("assistant", "c")]
+    tree = '[{"id":"c","mapping":{"2":{"message":{"author":{"role":"assistant"},"content":{"parts":["b"]},"create_time":2}},"1":{"message":{"author":{"role":"user"},"content":{"parts":["a"]},"create_time":1}},"0":{}}}]'
+    assert [r["text"] for r in readers.message_tree(spark.createDataFrame([("f", tree)], "file string, text string")).orderBy("position").collect()] == ["a", "b"]

@@ -34,7 +34,7 @@ MEMORY_SCHEMA = T.StructType(
     ]
 )
 #: Columns that later versions of the table added, and what older rows get for them.
-ADDED_COLUMNS = {"language": F.lit("en"), "fts_text": F.col("text")}
+ADDED_COLUMNS = {"language": "'en'", "fts_text": "text"}
 
 TRIPLE_SCHEMA = "id string, scope string, subject string, predicate string, object string, confidence double, source_memory_id string, source_text string, timestamp long, mention_count int, first_seen long, source_memory_ids array<string>"
 
@@ -49,7 +49,7 @@ METADATA_SCHEMA = (
 def evolve(df: DataFrame) -> DataFrame:
     """Additive migration: columns of the schema that `df` lacks, with their defaults; existing nulls get them too."""
     for f in MEMORY_SCHEMA:
-        default = ADDED_COLUMNS.get(f.name, F.lit(None)).cast(f.dataType)
+        default = F.expr(ADDED_COLUMNS.get(f.name, "null")).cast(f.dataType)
         df = df.withColumn(f.name, F.coalesce(F.col(f.name).cast(f.dataType), default) if f.name in df.columns else default)
     return df.select(*MEMORY_SCHEMA.names)
 

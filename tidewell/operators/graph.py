@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # How much a predicate's edge weighs.
@@ -18,11 +18,16 @@ PREDICATE_WEIGHT = {
 }
 
 
+def shared_path(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir; only where it has none, one on this machine."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/tidewell-checkpoints/{spark.sparkContext.applicationId}"
+    return where.rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a round to the folder that all executors share, and read it back."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/tidewell-checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{where.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    path = f"{shared_path(spark)}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

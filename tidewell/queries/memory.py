@@ -775,3 +775,26 @@ def w9(spark: Spark, d: str) -> DataFrame:
 @query("O5_sample")
 def o5(spark: Spark, d: str) -> DataFrame:
     return notes(spark, d).orderBy(F.xxhash64("id"), "id").limit(200).select("id")
+
+
+@query("T9_chunks")
+def t9(spark: Spark, d: str) -> DataFrame:
+    from tidewell.functions.chunking import chunk_column
+
+    return model.table(spark, d, "documents").select("doc_id", F.posexplode(chunk_column("text")).alias("position", "chunk")).select("doc_id", "position", F.length("chunk").alias("n"))
+
+
+@query("T8_segments")
+def t8(spark: Spark, d: str) -> DataFrame:
+    from tidewell.functions.chunking import segment_column
+
+    return _conversation(spark, d).select("conv_id", "turn", F.posexplode(segment_column("text")).alias("position", "segment")).select("conv_id", "turn", "position", F.length("segment").alias("n"))
+
+
+@query("S19_dialogue", "SELECT conv_id AS file, count(*) AS turns FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def s19(spark: Spark, d: str) -> DataFrame:
+    from tidewell.sources import readers
+
+    c = _conversation(spark, d).where("role in ('user', 'assistant')").withColumn("line", F.concat("role", F.lit(": "), F.regexp_replace("text", "(?i)(^|\n)(user|human|me|assistant|ai|bot)\\s*[:：]", "$1-")))
+    raw = c.groupBy(F.col("conv_id").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return readers.plain_dialogue(raw).groupBy("file").agg(F.count("*").alias("turns"))
