@@ -191,3 +191,36 @@ def test_sources(spark, tmp_path):
     assert [(r["role"], r["text"]) for r in readers.plain_dialogue(talk).orderBy("position").collect()] == [("user", "a\nb"), ("assistant", "c")]
     tree = '[{"id":"c","mapping":{"2":{"message":{"author":{"role":"assistant"},"content":{"parts":["b"]},"create_time":2}},"1":{"message":{"author":{"role":"user"},"content":{"parts":["a"]},"create_time":1}},"0":{}}}]'
     assert [r["text"] for r in readers.message_tree(spark.createDataFrame([("f", tree)], "file string, text string")).orderBy("position").collect()] == ["a", "b"]
+
+
+def test_gates(spark):
+    from tidewell.functions import gates
+
+    got = lambda s: tuple(one(spark, gates.recall_gate(F.lit(s))))
+    assert got("  ") == ("skip-all", "skip:empty")
+    assert got("可以按上次方案做") == ("full-recall", "force:memory-cue-zh")
+    assert got("Do you remember my preferences")[0] == "full-recall"
+    assert got("git push origin main")[1] == "skip:cli" and got("why does npm test hang?")[0] == "pass"
+    assert got("ok thanks!")[1] == "skip:ack" and got("好的 谢谢。")[1] == "skip:ack" and got("keep going")[0] == "resume-only" and got("Hello!")[1] == "skip:greeting"
+    assert got("x" * 81)[1] == "pass:long"
+    skip = lambda s: one(spark, gates.skip_search(F.lit(s)))
+    assert skip("hi") and skip("hello there") and not skip("cobbler") and not skip("轮巡") and not skip("why so?") and not skip("do you remember")
+    assert one(spark, gates.temporal_or_action(F.lit("saved on 2024-01-02"))) and not one(spark, gates.salient(F.lit("short")))
+    assert one(spark, gates.resolve_entities(F.lit("the PG box and pgx"), {"pg": "Postgres"})) == "the Postgres box and pgx"
+
+
+def test_requests():
+    from tidewell.functions import gates
+
+    now = model.NOW
+    assert gates.parse_temporal("deploys in March 2023 please", now) == (1677628800000, 1680307199999, "deploys in please") or gates.parse_temporal("March 2023", now)[:2] == (1677628800000, 1680307199999)
+    assert gates.parse_temporal("after:2024-01 x", now) == (1704067200000, None, "x")
+    assert gates.parse_temporal("notes from 2023", now)[:2] == (1672531200000, 1704067199999)
+    assert gates.parse_temporal("last 2 weeks", now) == (now - 14 * model.DAY_MS, now, "")
+    assert gates.parse_temporal("before:2024-13 x", now) == (None, None, "before:2024-13 x")
+    assert gates.resolve_scope(True, "a").all_scopes and gates.resolve_scope(scope=" a ", session="s").scope == "a" and gates.resolve_scope(session="s").scope == "session:s"
+    with pytest.raises(ValueError):
+        gates.resolve_scope(scope=" ")
+    assert gates.expand_query("fix the box", {"box": ["server", "the"]}, {"fix": ["patch"], "ix": ["no"]}) == "fix the box server patch"
+    assert gates.extract_terms("Use Redis 数据库连接池") == ["use", "redis", "数据库连接池", "数据", "据库", "库连", "连接", "接池", "数据库", "据库连", "库连接", "连接池"]
+    assert gates.cover([("a", 1, {"x"}), ("b", 1, {"x"}), ("A ", 9, set()), ("c", 0, {"y"})], 2) == ["a", "c"]
