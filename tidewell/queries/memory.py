@@ -349,7 +349,28 @@ def k7(spark: Spark, d: str) -> DataFrame:
     return selecting.zero_hit_fallback(notes(spark, d).withColumn("query_id", F.col("scope")), F.col("importance") >= 0.99).select("query_id", "id")
 
 
-@query("K9_vector_pipeline")
+def _chain() -> str:
+    """The shared stages as nested selects, one for each."""
+    from tidewell.queries import scoring as q
+
+    clamp = "greatest(0.0, least(1.0, {}))".format
+    stages = [
+        clamp(f"s + exp(-{q._AGE} / 14) * 0.1"),
+        clamp("s * (0.5 + 0.5 * importance)"),
+        clamp("s * (0.5 + 0.5 * confidence)"),
+        clamp("s * CASE layer WHEN 'durable' THEN 1.01 WHEN 'evidence' THEN 0.99 ELSE 1.0 END"),
+        clamp("s / (1 + 0.5 * log2(greatest(length(text) / 800.0::DOUBLE, 1.0)))"),
+        f"CASE WHEN {q._EXEMPT} THEN s ELSE {clamp(f's * {q._WEIBULL}')} END",
+        clamp(f"s * 0.9 + 0.1 * CASE WHEN {q._EXEMPT} THEN 1.0 ELSE {q._DECAY} END"),
+        f"CASE WHEN evo_access_count > 0 THEN {clamp('s * (1 + least(0.15, 0.03 * log2(1 + evo_access_count)))')} ELSE s END",
+    ]
+    sql = f"SELECT r.query_id, {clamp('1 / (2 - r.cos)')} AS s, m.* FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, id) AS rank FROM (SELECT b.* FROM ({_BATCH}) b JOIN memories a ON a.id = b.id WHERE a.status IN ('active', 'pending_review')) c) r JOIN memories m ON m.id = r.id WHERE r.rank <= 20"
+    for stage in stages:
+        sql = f"SELECT * REPLACE ({stage} AS s) FROM ({sql}) x"
+    return f"{M} SELECT query_id, id, position, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS position FROM ({sql}) y) z WHERE position <= 10"
+
+
+@query("K9_vector_pipeline", _chain())
 def k9(spark: Spark, d: str) -> DataFrame:
     out = retrieval.vector_pipeline(memories(spark, d), _query_vectors(spark, d), retrieval.PROFILES["default"], NOW)
     return out.select("query_id", "id", "position", F.round("score", 6).alias("score"))
