@@ -93,14 +93,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind a frame that cut() returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_fold(id_col: Column) -> Column:
     """crc32 of the decimal id, modulo 4."""
     return F.crc32(id_col.cast("string").cast("binary")) % 4
