@@ -106,6 +106,23 @@ REPORTS: dict[str, str] = {
     # extras on the same tables
     "A0_rollup": "SELECT scope_root, scope, count(*) AS n FROM {notes} GROUP BY ROLLUP (scope_root, scope)",
     "A0_cube": "SELECT tier, category, count(*) AS n FROM {notes} GROUP BY CUBE (tier, category)",
+    # composed operators as relations
+    "J10_cluster_members": "SELECT insight, member, round(score, 6) AS score FROM (SELECT a.id AS insight, b.id AS member, b.importance * 0.5 AS score, row_number() OVER (PARTITION BY a.id ORDER BY b.importance DESC, b.i) AS rn FROM {notes} a JOIN {notes} b ON a.consolidated_into = b.id OR a.superseded_by = b.id) x WHERE rn <= 3",
+    "U3_candidates": "SELECT id, origin FROM (SELECT id, origin, row_number() OVER (PARTITION BY id ORDER BY priority) AS rn FROM (SELECT id, 'direct' AS origin, 1 AS priority FROM {notes} WHERE importance > 0.9 UNION ALL SELECT source_memory_id, 'kg', 2 FROM {triples} WHERE subject LIKE 'n%' UNION ALL SELECT superseded_by, 'evolution', 3 FROM {notes} WHERE superseded_by IS NOT NULL) u) r WHERE rn = 1",
+    "W2_top_two": "SELECT scope, id FROM (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY confidence DESC, i) AS rn FROM {notes}) x WHERE rn <= 2",
+    "F22_prefilter": "SELECT query_id, id FROM (SELECT scope AS query_id, id, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, i) AS rn FROM {notes} WHERE importance >= 0.40) x WHERE rn <= 10",
+    "T30_template": "SELECT id, concat('Pattern: ', category, ' | scope ', scope, ' | used ', CAST(access_count AS STRING), ' times') AS text FROM {notes} WHERE category = 'patterns'",
+    "X2_useful": "SELECT id FROM {notes} WHERE (coalesce(authority, '') = 'structured' AND category IN ('cases', 'patterns')) OR (category <> 'cases' AND layer = 'durable') OR (category = 'cases' AND length(text) >= 80 AND importance >= 0.70 AND text LIKE '%the%')",
+    "X5_workflow_fallback": "SELECT scope, workflow_id, round(4 * max(CASE WHEN signal IS NOT NULL THEN 1 ELSE 0 END) + count(*) / CAST(10 AS DOUBLE) + max(CASE WHEN outcome = 'failure' THEN 2 ELSE 0 END), 6) AS score FROM {observations} GROUP BY scope, workflow_id",
+    "X7_pins": "SELECT id, round(2 * hits + 3 * own - 0.01 * position, 6) AS score FROM (SELECT id, CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%token%' THEN 1 ELSE 0 END AS hits, CASE WHEN scope_root = 'src1' THEN 1 ELSE 0 END AS own, row_number() OVER (ORDER BY ts DESC, i) - 1 AS position FROM {notes} WHERE tier = 'core') p WHERE 2 * hits + 3 * own > 0",
+    "G10_orient": "SELECT scope, count(*) AS total, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS active, max(ts) AS newest, CASE WHEN count(*) >= 10 THEN 'run' ELSE 'skip' END AS decision FROM {notes} GROUP BY scope",
+    "G14_forget_scope": "SELECT t.subject, t.predicate, t.object FROM {triples} t LEFT JOIN {notes} n ON n.id = t.source_memory_id AND n.scope_root = 'src1' WHERE n.id IS NULL",
+    "G21_skill_scan": "SELECT topic, size, round(importance, 6) AS importance, reads FROM (SELECT topic, count(*) AS size, avg(importance) AS importance, sum(access_count) AS reads FROM {memories} WHERE category IN ('cases', 'patterns') GROUP BY topic) c WHERE size >= 3 AND importance >= 0.5",
+    "G27_graph_edges": "SELECT source, target, kind FROM (SELECT id AS source, superseded_by AS target, 'evolution' AS kind FROM {notes} WHERE superseded_by IS NOT NULL UNION ALL SELECT id, consolidated_into, 'consolidation' FROM {notes} WHERE consolidated_into IS NOT NULL UNION ALL SELECT id, lead(id) OVER (PARTITION BY version_group ORDER BY confidence DESC, i), 'version' FROM {notes} WHERE version_group IS NOT NULL) e WHERE target IN (SELECT id FROM {notes})",
+    "G28_conflict_fingerprint": "SELECT md5(concat(canonical_key, '/', category)) AS fingerprint, count(*) AS n, CASE WHEN max(access_count) >= 8 THEN 'escalated' WHEN max(ts) < 1706140800000 THEN 'stale' WHEN max(ts) < 1706572800000 THEN 'aging' ELSE 'fresh' END AS attention FROM {notes} GROUP BY canonical_key, category HAVING count(*) > 1",
+    "G29_conflict_advice": "SELECT a.id AS existing, b.id AS incoming, CASE WHEN a.text = b.text THEN 'keep' WHEN b.confidence > a.confidence + 0.2 THEN 'accept' WHEN a.confidence > b.confidence + 0.2 THEN 'keep' ELSE 'manual' END AS advice FROM {notes} a JOIN {notes} b ON a.canonical_key = b.canonical_key AND a.i < b.i",
+    "G34_stage_trace": "SELECT 'active' AS stage, count(*) AS rows_in, sum(CASE WHEN status IN ('active', 'pending_review') THEN 1 ELSE 0 END) AS rows_out FROM {notes} UNION ALL SELECT 'min_score', sum(CASE WHEN status IN ('active', 'pending_review') THEN 1 ELSE 0 END), sum(CASE WHEN status IN ('active', 'pending_review') AND importance >= 0.4 THEN 1 ELSE 0 END) FROM {notes}",
+    "R5_dream_trigger": "SELECT scope, count(*) AS writes FROM {observations} WHERE outcome <> 'failure' GROUP BY scope HAVING count(*) >= 10",
     # lifecycle as relations
     "G12_retention": f"SELECT id, CASE WHEN {_AGE} > 25 THEN 'age' ELSE 'count' END AS reason FROM (SELECT id, ts, row_number() OVER (PARTITION BY scope ORDER BY ts DESC, i) AS rn FROM {{notes}} WHERE status <> 'archived') r WHERE {_AGE} > 25 OR rn > 10",
     "G16_singletons": "SELECT version_group FROM {notes} WHERE version_group IS NOT NULL AND i % 176 = 0 GROUP BY version_group HAVING count(*) = 1",
