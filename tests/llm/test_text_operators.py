@@ -267,7 +267,7 @@ def test_language(spark):
 def test_secret_spans(spark):
     der = base64.b64encode(b"\x30\x0d\x02\x01\x00\x02\x01\x05\x02\x01\x07\x02\x02\x01\x01").decode()
     assert not secrets.is_der_key(base64.b64decode(der))  # four numbers are no key
-    n = b"\x02\x10" + bytes(range(1, 17))
+    n = b"\x02\x18" + bytes(range(1, 25))
     key = b"\x30" + bytes([len(n) + 3]) + n + b"\x02\x01\x03"
     assert secrets.is_der_key(key) and not secrets.is_der_key(key[:-1]) and not secrets.is_der_key(key + b"\0")
     ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
