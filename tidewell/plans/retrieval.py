@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,9 +15,9 @@ from tidewell.operators.lifecycle import is_active
 
 @dataclass(frozen=True)
 class Profile:
-    """Weights of one way to search.  The four built-in ones are below."""
+    """Weights of one way to search; `candidates` is capped at 20, as every search is."""
 
-    name: str = "default"
+    name: str
     vector_weight: float = 0.7
     keyword_weight: float = 0.3
     least_score: float = 0.35
@@ -26,16 +26,21 @@ class Profile:
     length_anchor: int = 800
     decay_half_life: float = 60.0
     hotness: float = 0.0
-    candidates: int = 20
+    candidates: int = search.MOST
 
+    def least_by_category(self) -> dict[str, float]:
+        """the categories' least scores, in proportion to the profile's own; three decimals."""
+        return {c: round(s * self.least_score / 0.35, 3) for c, s in search.CATEGORY_MIN.items()}
 
+
+#: The built-in profiles.
 PROFILES = {
     p.name: p
     for p in (
-        Profile(),
-        replace(Profile(), name="writing", vector_weight=0.8, keyword_weight=0.2, least_score=0.3, recency=0.05, decay_half_life=120.0),
-        replace(Profile(), name="debug", vector_weight=0.5, keyword_weight=0.5, least_score=0.3, recency=0.2, half_life=7.0, length_anchor=500),
-        replace(Profile(), name="fact-check", vector_weight=0.6, keyword_weight=0.4, least_score=0.45, recency=0.0, decay_half_life=180.0),
+        Profile("default"),
+        Profile("writing", vector_weight=0.8, keyword_weight=0.2, least_score=0.24, half_life=90.0, recency=0.06, decay_half_life=365.0, length_anchor=800),
+        Profile("debug", vector_weight=0.55, keyword_weight=0.45, least_score=0.34, half_life=7.0, recency=0.15, decay_half_life=30.0, length_anchor=420),
+        Profile("fact-check", vector_weight=0.5, keyword_weight=0.5, least_score=0.38, half_life=21.0, recency=0.08, decay_half_life=45.0, length_anchor=360),
     )
 }
 
