@@ -14,7 +14,7 @@ from tidewell.functions import scoring as S
 from tidewell.functions import vector as V
 from tidewell.functions.text import tokens
 
-MOST = 20  # the reference limit of results
+MOST = 20  # results of one search
 QUERY_BLOCK_BYTES = 64_000_000
 
 
