@@ -38,10 +38,13 @@ ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A maximal run of 24 or more: the same as dropping the shorter ones of all maximal runs.
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-f]{48,}|[0-9A-F]{48,})(?![0-9A-Fa-f])")
+#: A value may stand right after '='; runs that are cut wrongly do not decode to a structure.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: The body may be escaped as in JSON: line ends as \n, \r or \u000a, slashes as \/.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+(?:[nrt/]|u000[9aAdD]))+)-----END \1-----")
+PEM_GAPS = re.compile(r"\\+(?:[nrt]|u000[9aAdD])|\\+(?=/)|\s+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 
 
@@ -144,7 +147,7 @@ def confirmed_spans(text: str) -> list[Span]:
     spans: set[Span] = set()
     if "eyJ" in text:
         spans |= {("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])}
-    blocks = [(m.start(2), m.end(2), re.sub(r"\s+", "", m[2])) for m in PEM.finditer(text)] if "-----BEGIN " in text else []
+    blocks = [(m.start(2), m.end(2), PEM_GAPS.sub("", m[2])) for m in PEM.finditer(text)] if "-----BEGIN " in text else []
     blocks += [(m.start(), m.end(), m[0]) for m in RUN.finditer(text)]
     for a, b, run in blocks:
         data = decode64(run)
