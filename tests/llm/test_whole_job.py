@@ -2,8 +2,14 @@
 
 import base64
 import json
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
 
-from tidewell.llm import secrets
+import numpy as np
+
+from tidewell.llm import secrets, toxicity
 
 
 def test_keys_in_every_form_are_found_and_masked():
@@ -38,3 +44,55 @@ def test_keys_in_every_form_are_found_and_masked():
 def test_runs_that_are_no_keys_stay():
     for text in ("KEY=" + "A" * 60, "a" * 64, "x=" + base64.b64encode(bytes(60)).decode(), "-----BEGIN X-----\\nAAAA\\n-----END X-----"):
         assert secrets.confirmed_spans(text) == []
+
+
+def evidence_by_dictionaries(docs, marks, words):
+    """Evidence of words from counts kept in dictionaries."""
+    split = lambda w: "\x02" + w + "\x03"
+    grams, top = [set() for _ in range(6)], (Counter(), Counter())
+    for i, text in docs:
+        fold = zlib.crc32(str(i).encode()) % 4
+        for w in map(split, toxicity.find_words(text.lower())):
+            for k in range(1, 5):
+                grams[k + 1].update(w[j - k : j + 1] for j in range(k, len(w)))
+            if fold in (0, 1):
+                top[marks[i]].update(w[max(0, j - 4) : j + 1] for j in range(1, len(w)))
+    shared = Counter(g[1:] for k in range(2, 6) for g in grams[k])
+    tables = []
+    for counts in (shared, *top):
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, n in counts.items():
+            total[g[:-1], len(g)] += n
+            kinds[g[:-1], len(g)] += 1
+        tables.append((counts, total, kinds))
+
+    def chance(table, g, lower):
+        counts, total, kinds = table
+        h = (g[:-1], len(g))
+        return (max(counts[g] - 0.75, 0) + 0.75 * kinds[h] * lower) / total[h] if total.get(h) else lower
+
+    out = []
+    for w in map(split, words):
+        llr = 0.0
+        for j in range(1, len(w)):
+            p = 1 / 256
+            for k in range(1, min(j, 4) + 1):
+                p = chance(tables[0], w[j - k + 1 : j + 1], p)
+            g = w[max(0, j - 4) : j + 1]
+            llr += math.log(chance(tables[2], g, p)) - math.log(chance(tables[1], g, p))
+        out.append(max(llr - 2.0, 0.0))
+    return out
+
+
+def test_toxicity_counts_stay_exact_with_many_grams(spark):
+    r = random.Random(12)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    docs = [(i, " ".join("".join(r.choice(letters) for _ in range(4)) for _ in range(400))) for i in range(400)]
+    rude = ["vilest", "wretches", "slurry"]
+    docs += [(1000 + i, " ".join(r.choice(["alpha", "beta", "gamma", "delta", *(rude if i % 2 else [])]) for _ in range(60))) for i in range(80)]
+    marks = {i: int(i >= 1000 and i % 2) for i, _ in docs}
+    words = [*rude, "alpha", "vile", "slurries", *(w for _, t in docs[:3] for w in t.split()[:30])]
+    model, curve = toxicity.fit(spark.createDataFrame(docs, "__id long, __text string"), spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"), "toxic", "doc_id", 15_000, 6)
+    got, want = toxicity.Evidence(model.value).ratio(words), evidence_by_dictionaries(docs, marks, words)
+    assert curve and max(want) > 5
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-5), list(zip(words, got, want, strict=True))[:8]

@@ -10,9 +10,12 @@ text's is the mean over its words: a length-normalised comparison of the two
 likelihoods.  Logistic calibration on labelled rows that the counts have not seen
 turns it into a score.
 
-Counts live in arrays of fixed size, addressed by hash, so what is broadcast does
-not grow with the corpus.  The class counts come from a bounded sample of labelled
-rows (`per_class`); the shared counts cover all documents.
+All counts are exact: each gram and each context has its own 64-bit key and no two
+share a count, so the tables grow with what the corpus holds.  The class counts come
+from a bounded sample of labelled rows (`per_class`); the shared counts cover all
+documents.  Where neither class has seen a context, both models give the shared chance
+and the ratio is 0, so only shared counts below contexts of the sample are gathered:
+every document's grams count, and none that can matter is left out.
 
 Nulls count as empty texts.  Texts without words have evidence 0 and get the lowest
 score.  Repeated rows each get a row, an empty table an empty result; without labels
@@ -33,7 +36,6 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import ID, TEXT, WORDS, crc_fold, keep_rows, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
 
 ORDER, DISCOUNT, MARGIN = 5, 0.75, 2.0
-SHARED_BITS, TOP_BITS = 18, 20
 UNSEEN = 1 / 256  # chance of a character below order 1
 find_words = re.compile(WORDS).findall
 
@@ -55,24 +57,28 @@ def grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return keys, pos
 
 
-def bucket(keys: np.ndarray, order: int, bits: int) -> np.ndarray:
-    return (mix64(keys + np.uint64(order * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - bits)).astype(np.int64)
+def place(keys: np.ndarray, order: int) -> np.ndarray:
+    """Keys under which grams of an order, or their contexts, stand in the tables."""
+    return mix64(keys + np.uint64(order * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF))
 
 
-def before(keys: np.ndarray) -> np.ndarray:
-    """The key one character earlier: of a gram's suffix-less part."""
-    return np.concatenate([[np.uint64(0)], keys[:-1]]) if len(keys) else keys
+def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key stands in a sorted table, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
 def top(keys: list[np.ndarray], pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """At each character but start marks: (index, bucket of the longest gram within the word, bucket of its context)."""
+    """At each character but start marks: (index, key of the longest gram within the word, key of its context)."""
     at = np.flatnonzero(pos > 0)
     order = np.minimum(pos[at] + 1, ORDER)
-    gram, context = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    gram, context = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
     for k in range(2, ORDER + 1):
         own = order == k
-        gram[own] = bucket(keys[k][at[own]], k, TOP_BITS)
-        context[own] = bucket(keys[k - 1][at[own] - 1], k, TOP_BITS)
+        gram[own] = place(keys[k][at[own]], k)
+        context[own] = place(keys[k - 1][at[own] - 1], k)
     return at, gram, context
 
 
@@ -95,36 +101,49 @@ class Evidence(dict):
     def ratio(self, words: list[str]) -> np.ndarray:
         m = self.model
         keys, pos = grams(words)
-        shared = np.full(len(pos), UNSEEN)
-        for k in range(1, ORDER):
-            g, h = bucket(keys[k], k, SHARED_BITS), bucket(before(keys[k - 1]), k, SHARED_BITS)
-            total = m["shared_total"][k - 1][h]
-            mixed = (np.maximum(m["shared"][k - 1][g] - DISCOUNT, 0) + DISCOUNT * m["shared_kinds"][k - 1][h] * shared) / np.maximum(total, 1)
-            shared = np.where((pos >= k) & (total > 0), mixed, shared)  # a start mark is in no shared gram
         at, g, h = top(keys, pos)
+        h = find(m["contexts"], h)
+        at, g, h = at[h >= 0], find(m["grams"], g[h >= 0]), h[h >= 0]
+        shared = np.full(len(at), UNSEEN)
+        for k in range(1, ORDER):
+            own = np.flatnonzero(pos[at] >= k)  # a start mark is in no shared gram
+            here = at[own]
+            below = find(m["shared_contexts"], place(keys[k - 1][here - 1], k))
+            own, here, below = own[below >= 0], here[below >= 0], below[below >= 0]
+            gram = find(m["shared_grams"], place(keys[k][here], k))
+            count = np.where(gram >= 0, m["shared"][gram], 0) if len(m["shared"]) else 0
+            shared[own] = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * m["shared_kinds"][below] * shared[own]) / m["shared_total"][below]
         logs = []
         for c in (0, 1):
             total = m["total"][c][h]
-            p = (np.maximum(m["count"][c][g] - DISCOUNT, 0) + DISCOUNT * m["kinds"][c][h] * shared[at]) / np.maximum(total, 1)
-            logs.append(np.log(np.where(total > 0, p, shared[at])))
-        ends = np.cumsum([len(w) + 1 for w in words])
-        sums = np.concatenate([[0.0], np.cumsum(logs[1] - logs[0])])[ends]
-        llr = np.diff(sums, prepend=0.0)
+            p = (np.maximum(np.where(g >= 0, m["count"][c][g], 0) - DISCOUNT, 0) + DISCOUNT * m["kinds"][c][h] * shared) / np.maximum(total, 1) if len(h) else shared
+            logs.append(np.log(np.where(total > 0, p, shared)))
+        llr = np.bincount(np.cumsum(pos == 0)[at] - 1, logs[1] - logs[0], minlength=len(words))
         return np.where(llr > MARGIN, llr - MARGIN, 0.0)
 
 
-def gather_shared(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Continuation counts of the orders below the highest, over all documents."""
+def tables(g: np.ndarray, h: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(gram keys in order, their counts; context keys in order, their totals and numbers of grams) from one row for each gram."""
+    g, h = g.view(np.uint64), h.view(np.uint64)
+    order = np.argsort(g)
+    contexts, back = np.unique(h, return_inverse=True)
+    n = len(contexts)
+    return g[order], [c[order] for c in counts], contexts, [np.bincount(back, c, minlength=n) for c in counts], [np.bincount(back, c > 0, minlength=n) for c in counts]
+
+
+def gather_shared(docs: DataFrame, wanted: np.ndarray) -> dict[str, np.ndarray]:
+    """Continuation counts, over all documents, of the orders below the highest: of all grams whose context is `wanted`."""
+    held_contexts = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[str] = set()
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            rows = np.concatenate(held) if held else np.zeros((0, 4), np.int64)
-            rows = rows[np.unique(rows[:, 1] * 31 + rows[:, 0], return_index=True)[1]]
+            rows = np.concatenate(held) if held else np.zeros((0, 3), np.uint64)
+            rows = rows[np.unique(rows[:, 0], return_index=True)[1]].view(np.int64)
             held.clear()
-            return pa.record_batch([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(4)], names=["k", "gram", "g", "h"])
+            return pa.record_batch([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(3)], names=["gram", "g", "h"])
 
         for _, texts in text_batches(batches):
             words = {w for t in texts for w in find_words(t.lower())} - done
@@ -134,32 +153,28 @@ def gather_shared(docs: DataFrame) -> dict[str, np.ndarray]:
             listed = list(words)
             for i in range(0, len(listed), 20_000):
                 keys, pos = grams(listed[i : i + 20_000])
-                parts = []
                 for k in range(1, ORDER):  # a gram of k + 1 continues the gram of k at its end
                     at = np.flatnonzero(pos >= k)
-                    gram = keys[k + 1][at].view(np.int64)
-                    gram, first = np.unique(gram, return_index=True)
-                    at = at[first]
-                    parts.append(np.stack([np.full(len(at), k), gram, bucket(keys[k][at], k, SHARED_BITS), bucket(before(keys[k - 1])[at], k, SHARED_BITS)], axis=1))
-                held.append(np.concatenate(parts))
+                    at = at[np.unique(keys[k + 1][at], return_index=True)[1]]
+                    h = place(keys[k - 1][at - 1], k)
+                    own = find(held_contexts.value, h) >= 0
+                    at, h = at[own], h[own]
+                    held.append(np.stack([place(keys[k + 1][at], k + 1), place(keys[k][at], k), h], axis=1))
             if sum(map(len, held)) > 2_000_000:
                 yield out()
         yield out()
 
-    # Distinct grams by key, then at most 2^SHARED_BITS sums for each order.
-    distinct = map_text(docs, run, "k long, gram long, g long, h long").groupBy("k", "gram").agg(F.first("g").alias("g"), F.first("h").alias("h"))
-    rows = to_pandas(distinct.groupBy("k", "g").agg(F.count("*").alias("n"), F.min("h").alias("h")))
-    size = (ORDER - 1, 1 << SHARED_BITS)
-    shared, total, kinds = (np.zeros(size, np.float32) for _ in range(3))
-    k, g, h, n = (rows[c].to_numpy(np.int64) for c in ("k", "g", "h", "n"))
-    shared[k - 1, g] = n
-    np.add.at(total, (k - 1, h), n)
-    np.add.at(kinds, (k - 1, h), 1)
-    return {"shared": shared, "shared_total": total, "shared_kinds": kinds}
+    distinct = map_text(docs, run, "gram long, g long, h long").groupBy("gram").agg(F.first("g").alias("g"), F.first("h").alias("h"))
+    rows = to_pandas(distinct.groupBy("g").agg(F.count("*").alias("n"), F.first("h").alias("h")))
+    g, (n,), h, (total,), (kinds,) = tables(rows["g"].to_numpy(np.int64), rows["h"].to_numpy(np.int64), [rows["n"].to_numpy(np.float64)])
+    return {"shared_grams": g, "shared": n.astype(np.float32), "shared_contexts": h, "shared_total": total, "shared_kinds": kinds}
+
 
+def gather_classes(docs: DataFrame, sample: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Counts of the highest order in each class, over the sampled rows, and the shared contexts below its contexts.
 
-def gather_classes(docs: DataFrame, sample: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of the highest order in each class, over the sampled rows.  `sample` has a known bound, so it is broadcast."""
+    `sample` has a known bound, so it is broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
@@ -174,18 +189,24 @@ def gather_classes(docs: DataFrame, sample: DataFrame) -> dict[str, np.ndarray]:
             word = np.cumsum(pos == 0)[at] - 1
             weight = [np.array([counts[c][w] for w in part], np.float64)[word] for c in (0, 1)]
             g, first, back = np.unique(g, return_index=True, return_inverse=True)
-            yield pa.record_batch([pa.array(g), pa.array(h[first]), *(pa.array(np.bincount(back, w, minlength=len(g))) for w in weight)], names=["g", "h", "n0", "n1"])
+            below = np.unique(np.concatenate([place(keys[k - 1][np.flatnonzero(pos >= k) - 1], k) for k in range(1, ORDER)]))
+            none = np.zeros(len(below))  # a shared context is a row without counts
+            yield pa.record_batch(
+                [
+                    pa.array(np.concatenate([g, below]).view(np.int64)),
+                    pa.array(np.concatenate([h[first], below]).view(np.int64)),
+                    *(pa.array(np.concatenate([np.bincount(back, w, minlength=len(g)), none])) for w in weight),
+                ],
+                names=["g", "h", "n0", "n1"],
+            )
 
     picked = docs.join(F.broadcast(sample), ID).select(ID, TEXT, F.col("label").cast("int").alias("label"))
-    rows = to_pandas(map_text(picked, run, "g long, h long, n0 double, n1 double").groupBy("g").agg(F.min("h").alias("h"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    count, total, kinds = (np.zeros((2, 1 << TOP_BITS), np.float32) for _ in range(3))
-    g, h = rows["g"].to_numpy(np.int64), rows["h"].to_numpy(np.int64)
-    for c in (0, 1):
-        n = rows[f"n{c}"].to_numpy(np.float64)
-        count[c, g] = n
-        np.add.at(total[c], h, n)
-        np.add.at(kinds[c], h, n > 0)
-    return {"count": count, "total": total, "kinds": kinds}
+    rows = to_pandas(map_text(picked, run, "g long, h long, n0 double, n1 double").groupBy("g").agg(F.first("h").alias("h"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    counted = (rows["n0"] + rows["n1"] > 0).to_numpy(bool)
+    wanted = np.sort(rows["g"].to_numpy(np.int64)[~counted].view(np.uint64))
+    rows = rows[counted]
+    g, count, h, total, kinds = tables(rows["g"].to_numpy(np.int64), rows["h"].to_numpy(np.int64), [rows[c].to_numpy(np.float64) for c in ("n0", "n1")])
+    return {"grams": g, "count": count, "contexts": h, "total": total, "kinds": kinds}, wanted
 
 
 def means(texts: list[str], known: Evidence) -> list[float]:
@@ -232,7 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, label_id_col: str, p
     fold = crc_fold(F.col(ID))
     train = labelled_sample(labels, label_id_col, label_col, per_class, seed, fold.isin(0, 1))
     check = labelled_sample(labels, label_id_col, label_col, per_class, seed + 1, fold == 3)
-    model = docs.sparkSession.sparkContext.broadcast(gather_shared(docs) | gather_classes(docs, train))
+    classes, wanted = gather_classes(docs, train)
+    model = docs.sparkSession.sparkContext.broadcast(gather_shared(docs, wanted) | classes)
     seen = to_pandas(evidence(docs.join(F.broadcast(check), ID).select(ID, TEXT, F.col("label").cast("int").alias("label")), model, "label"))
     both = seen["label"].nunique() == 2
     return model, calibrate(np.log(seen["evidence"].to_numpy() + FLOOR), seen["label"].to_numpy(float)) if both else None
