@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from tidewell.llm import secrets, toxicity
+from tidewell.llm import decontamination, secrets, toxicity
 
 
 def test_keys_in_every_form_are_found_and_masked():
@@ -96,3 +96,24 @@ def test_toxicity_counts_stay_exact_with_many_grams(spark):
     got, want = toxicity.Evidence(model.value).ratio(words), evidence_by_dictionaries(docs, marks, words)
     assert curve and max(want) > 5
     assert np.allclose(got, want, rtol=1e-5, atol=1e-5), list(zip(words, got, want, strict=True))[:8]
+
+
+def test_one_changed_word_clears_no_copy():
+    r = random.Random(13)
+    pool = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4000)]
+    say = lambda n: [r.choice(pool) for _ in range(n)]
+    items = [(i, say(r.randint(6, 40)), say(1 + i % 12)) for i in range(60)]
+    index = decontamination.ItemIndex([(i, f"{' '.join(q)}? {' '.join(a)}.") for i, q, a in items], 0.6)
+    copies = []
+    for i, q, a in items:
+        copies.append((i, [*q, "Answer:", *a]))
+        for k in range(len(q + a)):
+            w = q + a
+            copies += [(i, [*w[:k], "changed", *w[k + 1 :]]), (i, [*w[:k], "added", *w[k:]]), (i, w[:k] + w[k + 1 :])]
+    texts = [" ".join(say(30) + w + say(30)) for _, w in copies]
+    found = {(t, item) for t, item, *_ in decontamination.search(texts, index, 0.7)}
+    lost = [w for t, (i, w) in enumerate(copies) if (t, i) not in found]
+    assert not lost, (len(lost), len(copies), lost[:3])
+    assert len(found) == len(copies)
+    alone = [" ".join(say(30) + q + say(30)) for _, q, a in items if len(a) > 2]
+    assert not decontamination.search(alone, index, 0.7)  # a question without its answer

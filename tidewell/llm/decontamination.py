@@ -13,7 +13,10 @@ any length.
 * Block-max WAND then runs each passage that is left against the whole index and
   retrieves every item at or above the threshold.
 * A retrieved item counts only if the passage really overlaps both its question and its
-  answer: the share of their words covered by common word trigrams.
+  answer: the share of their words covered by common word trigrams, or by shorter n-grams
+  of a part that has fewer words.  A part also counts if at most one of its words is
+  missing where the rest of the item puts it, so one changed word clears no copy; of a
+  part of one word, the rest of the item then decides.
 
 The index goes to the executors only in shards of at most `shard_chars` characters of
 items; a larger benchmark takes one pass over the texts for each shard.  Texts stream
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import keep_rows, map_text, pick, text_batches, to_pandas
 
 K1, B, BLOCK, STRIDE, NGRAM = 1.2, 0.75, 32, 64, 3
+SLACK = 3  # words by which a part may be moved against the rest of its item
 find_words = re.compile(r"\w+").findall
 
 
@@ -165,18 +169,39 @@ class ItemIndex:
             lists = [x for x in lists if x[0] >= 0]
         return found
 
-    def overlap(self, segment: int, passage: list[str]) -> tuple[float, float]:
-        """Shares of the segment's question and answer words that common word n-grams cover; 1 for a part that it lacks."""
+    def overlap(self, segment: int, passage: list[str], least: float) -> tuple[float, float] | None:
+        """Shares of the segment's question and answer words that the passage covers, 1 for a part that it lacks; None if one is not there."""
         words, q = self.words[segment], self.question[segment]
-        n = min(NGRAM, len(words))
-        there = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
         covered = [False] * len(words)
-        for i in range(len(words) - n + 1):
-            if tuple(words[i : i + n]) in there:
-                covered[i : i + n] = [True] * n
+        for a, b in ((0, len(words)), (0, q), (q, len(words))):  # each part has n-grams of its own too
+            n = min(NGRAM, b - a)
+            if n:
+                there = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
+                for i in range(a, b - n + 1):
+                    if tuple(words[i : i + n]) in there:
+                        covered[i : i + n] = [True] * n
+        parts = [x for x in (covered[:q], covered[q:]) if x]
         share = lambda part: sum(part) / len(part) if part else 1.0
+        if any(share(x) < least for x in parts):
+            placed = self.in_place(words, passage)
+            for x in (slice(0, q), slice(q, None)):
+                if share(covered[x]) < least:
+                    if len(placed[x]) - sum(placed[x]) > 1:
+                        return None
+                    covered[x] = placed[x]
+            if sum(placed) < len(words) - 1 and share(covered) < least:  # a part of one word says nothing by itself
+                return None
         return share(covered[:q]), share(covered[q:])
 
+    @staticmethod
+    def in_place(words: list[str], passage: list[str]) -> list[bool]:
+        """Which words stand in the passage where common pairs of words put the segment, give or take SLACK."""
+        at: dict[tuple[str, str], list[int]] = {}
+        for i, pair in enumerate(pairwise(passage)):
+            at.setdefault(pair, []).append(i)
+        shifts = {j - i + e for i, pair in enumerate(pairwise(words)) for j in at.get(pair, ()) for e in range(-SLACK, SLACK + 1)}
+        return [any(0 <= i + d < len(passage) and passage[i + d] == w for d in shifts) for i, w in enumerate(words)]
+
 
 def search(texts: list[str], index: ItemIndex, least: float) -> list[tuple[int, int, float, float, float]]:
     """(text, item, best score, question overlap, answer overlap) of every confirmed pair."""
@@ -193,10 +218,10 @@ def search(texts: list[str], index: ItemIndex, least: float) -> list[tuple[int,
         a = passage * STRIDE
         own = set(terms[start[i] + a : min(start[i] + a + 2 * STRIDE, start[i + 1])].tolist()) - {-1}
         for segment, score in index.retrieve(own):
-            q, ans = index.overlap(segment, words[i][a : a + 2 * STRIDE])
-            if q >= least and ans >= least:
+            shares = index.overlap(segment, words[i][a : a + 2 * STRIDE], least)
+            if shares:
                 key = (i, index.item[segment])
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, q, ans))
+                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
     return [(*k, *v) for k, v in sorted(best.items())]
 
 
