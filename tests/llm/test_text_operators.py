@@ -51,7 +51,7 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd, labels, items):
         "secrets": lambda d: secrets.find_secrets(d),
         "quality": lambda d: quality.resample(d, labels),
     }
-    rows = {"leaks": 0, "fingerprint": 9}  # a fingerprint for each id and text
+    rows = {"leaks": 0}
     for name, f in apply.items():
         assert f(odd).count() == rows.get(name, len(ODD)), name
         assert f(odd.where("doc_id < 0")).count() == 0, name
@@ -187,19 +187,50 @@ def test_bands_reach_their_recall():
     assert 1 - (1 - 0.8**r) ** b >= 0.9999
 
 
-def test_targets_and_fit():
-    t = mixing.targets({"a": 10, "b": 1000, None: 1000, "c": 0})
+def test_targets(spark):
+    def of(sizes):
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+        return {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+
+    t = of({"a": 10, "b": 1000, None: 1000, "c": 0})
     assert sum(t.values()) == pytest.approx(2010) and t["a"] == 30 and t["c"] == 0 and all(t[s] <= 3 * n + 1e-6 for s, n in {"a": 10, "b": 1000, None: 1000, "c": 0}.items())
-    assert mixing.targets({"b": 8, "a": 8, None: 8}) == {"a": 15, "b": 6, None: 3}
+    assert of({"b": 8, "a": 8, None: 8}) == {"a": 15, "b": 6, None: 3}
+    assert of({"z": 0, None: 0}) == {"z": 0, None: 0} and of({}) == {}
+    r = random.Random(5)
+    for _ in range(3):  # against one source after another
+        sizes = {f"s{i:03}": r.choice([0, 1, 7, 50, 4000]) for i in range(40)}
+        weight, capped = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}, {}
+        while True:
+            left = sum(sizes.values()) - sum(capped.values())
+            share = {s: left * w / sum(v for x, v in weight.items() if x not in capped) for s, w in weight.items() if s not in capped}
+            over = [s for s in share if share[s] > 3 * sizes[s]]
+            if not over:
+                break
+            capped |= {s: 3 * sizes[s] for s in over}
+        assert of(sizes) == pytest.approx(share | capped)
+
+
+def best_by_search(lengths, budget):
+    sums = {0}
+    for n, c in lengths.items():
+        sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= budget}
+    return max(sums)
+
+
+def test_fit_equals_exhaustive_search():
+    total = lambda take: sum(n * k for n, k in take.items())
     r = random.Random(1)
-    for _ in range(300):
-        lengths = {n: r.randint(1, 4) for n in r.sample(range(1, 40), r.randint(1, 8))}
-        budget = r.randint(0, sum(n * c for n, c in lengths.items()) + 5)
+    for _ in range(2000):
+        lengths = {n: r.randint(1, 6) for n in r.sample(range(1, r.choice([8, 40, 200])), r.randint(1, 7))}
+        budget = r.randint(0, total(lengths) + 5)
         take = mixing.fit(lengths, budget)
-        assert all(0 <= take[n] <= c for n, c in lengths.items()) and sum(n * k for n, k in take.items()) <= budget
-    assert sum(n * k for n, k in mixing.fit({3: 5, 5: 5, 7: 5}, 41).items()) == 41
+        assert all(0 <= take[n] <= c for n, c in lengths.items()) and total(take) == best_by_search(lengths, budget), (lengths, budget)
+    assert total(mixing.fit({6: 2, 5: 2}, 12)) == 12 and total(mixing.fit({3: 5, 5: 5, 7: 5}, 41)) == 41
     big = {n: 50 for n in range(1, 900)}
-    assert sum(n * k for n, k in mixing.fit(big, 12_345_678).items()) == 12_345_678
+    assert total(mixing.fit(big, 12_345_678)) == 12_345_678
+    assert total(mixing.fit({6: 10**6, 10: 1, 15: 1}, 3_000_005)) == 3_000_004 and total(mixing.fit({1000: 10**9, 300: 3}, 10**11 + 550)) == 10**11 + 300
+    few = {n: 1 for n in range(1000, 3000, 7)}  # no short ones to mend with
+    assert total(mixing.fit(few, 100_001)) == best_by_search(few, 100_001)
 
 
 def test_mix(spark):
@@ -301,7 +332,7 @@ def test_base_spans_equal_the_plain_patterns():
 
 
 def test_quality_selection(spark):
-    keys = spark.createDataFrame([(i, float((i * 7919) % 1000 // 3)) for i in range(5000)], "id long, key double")
+    keys = spark.createDataFrame([(i, float((i * 7919) % 1000 // 3), i) for i in range(5000)], "id long, key double, __row long")
     for k in (0, 1, 777, 4999, 5000):
         got = {r["id"] for r in quality.select_top(keys, "key", "id", k, bins=16).where("selected").collect()}
         assert got == {i for i, _ in sorted(((i, float((i * 7919) % 1000 // 3)) for i in range(5000)), key=lambda x: (-x[1], x[0]))[:k]}

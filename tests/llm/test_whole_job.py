@@ -80,7 +80,7 @@ def evidence_by_dictionaries(docs, marks, words):
                 p = chance(tables[0], w[j - k + 1 : j + 1], p)
             g = w[max(0, j - 4) : j + 1]
             llr += math.log(chance(tables[2], g, p)) - math.log(chance(tables[1], g, p))
-        out.append(max(llr - 2.0, 0.0))
+        out.append(llr)
     return out
 
 

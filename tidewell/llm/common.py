@@ -3,6 +3,8 @@
 Every operator takes a DataFrame and the *names* of the columns it needs, selects
 just those under private names, and returns a new DataFrame: further columns of
 the input, whatever they are called, can neither clash nor be shuffled along.
+Ids are read as 64-bit integers; an id that is none fails the query, as Spark's
+ANSI casts do.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ID, TEXT = "__id", "__text"
@@ -71,11 +74,13 @@ def to_pandas(df: DataFrame) -> pd.DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    Only where a session has none (tests on one machine) one is set here.
+    Only where a session on a single machine has none (as in tests) one is set here.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"/tmp/tidewell-checkpoints/{sc.applicationId}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
@@ -85,12 +90,58 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, and every reader sees the same rows.
 
-    Parquet rather than checkpoint(): it is compressed, and a reader takes only the columns it uses.
+    Parquet rather than checkpoint(): it is compressed, and a reader takes only the columns
+    it uses.  An application has one folder, which goes when its driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/tidewell-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    file = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(file)
+    return spark.read.schema(df.schema).parquet(file)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, which has one row for each key and, in `count`, how many of left's `total` rows have it.
+
+    Keys with more than a ten-thousandth of the rows (and more than 1,000) are at most
+    10,000 in number, so they are broadcast and no task gets all their rows; the others
+    are dealt by key.  Both sides must be cheap to read again.  Keys are not null in `right`.
+    """
+    limit = max(1_000, total // 10_000)
+    hot, rest = right.where(F.col(count) > limit), right.where(F.col(count) <= limit)
+    if not hot.limit(1).count():
+        return left.join(rest, keys, how)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+ROW = "__row"
+
+
+def first_rows(rows: DataFrame, keys: list[str], wanted: str, levels: list[str], total: int) -> DataFrame:
+    """`rows` with `chosen`: of each group of `keys` the first `wanted` rows in the order of `levels`.
+
+    Levels go from coarse to fine and the last one is unique.  Rows are counted by group and
+    level; a running sum over the counts decides all rows of a level but those in which the
+    group's cut falls, and only these go on to the next level.  So no task ranks a group,
+    however large it is.  `rows` must be cheap to read again; keys and levels are not null.
+    """
+    names, open_, out, group = rows.columns, rows.withColumn("__left", F.col(wanted)), None, list(keys)
+    for level in levels:
+        counted = open_.groupBy(*group, level).agg(F.count("*").alias("__n"), F.first("__left").alias("__of"))
+        before = F.sum("__n").over(W.partitionBy(*group).orderBy(level).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
+        cuts = cut(counted.withColumn("__rest", F.col("__of") - before).drop("__of"))
+        group.append(level)
+        joined = join_counted(open_, cuts, group, "__n", total)
+        inside = (F.col("__rest") > 0) & (F.col("__rest") < F.col("__n"))
+        done = joined.where(~inside).select(*names, (F.col("__rest") > 0).alias("chosen"))
+        out = done if out is None else out.unionByName(done)
+        if not cuts.where(inside).limit(1).count():
+            return out
+        open_ = cut(joined.where(inside).select(*names, F.col("__rest").alias("__left")))
+    return out
 
 
 def crc_fold(id_col: Column) -> Column:
@@ -98,6 +149,11 @@ def crc_fold(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
+def held_out(id_col: Column) -> Column:
+    """Is a row outside of what may be learned from?  A row without an id is not held out, but has no label either."""
+    return F.coalesce(crc_fold(id_col) == 2, F.lit(False))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply and shift), elementwise."""
     x = x.astype(np.uint64, copy=True)
@@ -110,25 +166,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHash(dict):
-    """word -> 64-bit hash, remembering at most `most` words."""
+    """word -> 64-bit hash; remembers words of up to `longest` characters and at most `most` of them, which bounds its memory."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 400_000, longest: int = 64) -> None:
         super().__init__()
-        self.most = most
+        self.most, self.longest = most, longest
 
-    def __missing__(self, word: str) -> int:
+    def hash(self, word: str) -> int:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h
+        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+    def __missing__(self, word: str) -> int:
+        h = self.hash(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+class LowerHash(WordHash):
+    """word -> hash of its lower case, so that a text need not be lowered as a whole, which may change its length."""
+
+    def hash(self, word: str) -> int:
+        return super().hash(word.lower())
+
+
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,17 +218,28 @@ WORDS = r"[^\W\d_]+"
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, per_class: int, seed: int, where: Column | None = None) -> DataFrame:
     """(ID, label): of each label the ids with the smallest seeded hash, about `per_class` of them (all, if there are fewer).
 
-    The cut is a hash threshold from the label's count, so no label's rows meet in
-    one task; equal ids fall on the same side.  At most 1.2 * per_class + 100 rows
-    of a label pass, but for a chance below 1e-9 at the defaults.
+    An id with several labels has the largest of them.  The cut is a hash threshold from
+    the label's count, so no label's rows meet in one task.  At most 1.2 * per_class + 100
+    rows of a label pass, but for a chance below 1e-9 at the defaults.
     """
     rows = labels.select(F.col(id_col).cast("long").alias(ID), F.col(label_col).alias("label")).where(F.col(ID).isNotNull() & F.col("label").isNotNull())
     if where is not None:
         rows = rows.where(where)
+    rows = rows.groupBy(ID).agg(F.max("label").alias("label"))
+    return rows.where(_sampled(rows, per_class, F.xxhash64(ID, F.lit(seed))))
+
+
+def _sampled(rows: DataFrame, per_class: int, h: Column, most_rows: int | None = None) -> Column:
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return rows.where(F.lit(False))
+    if most_rows and counts:
+        per_class = min(per_class, max(1, most_rows // len(counts)))
     passes = F.lit(False)
     for label, n in counts.items():
-        passes = passes | ((F.col("label") == F.lit(label)) & (F.pmod(F.xxhash64(ID, F.lit(seed)), F.lit(1 << 40)) < F.lit(int(min(1.0, per_class / n) * (1 << 40)))))
-    return rows.where(passes).dropDuplicates([ID])
+        passes = passes | ((F.col("label") == F.lit(label)) & (F.pmod(h, F.lit(1 << 40)) < F.lit(int(min(1.0, per_class / n) * (1 << 40)))))
+    return passes
+
+
+def labelled_texts(rows: DataFrame, per_class: int, seed: int, most_rows: int) -> DataFrame:
+    """Of `rows` (ID, TEXT, label) about `per_class` of each label, fewer if that were over `most_rows` in all; rows equal in all three once."""
+    passes = _sampled(rows, per_class, F.xxhash64(ID, TEXT, F.lit(seed)), most_rows)
+    return rows.where(passes).dropDuplicates([ID, TEXT, "label"])

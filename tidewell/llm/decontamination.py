@@ -12,16 +12,20 @@ any length.
   passages of a batch at once and drops no passage that could pass.
 * Block-max WAND then runs each passage that is left against the whole index and
   retrieves every item at or above the threshold.
-* A retrieved item counts only if the passage really overlaps both its question and its
-  answer: the share of their words covered by common word trigrams, or by shorter n-grams
-  of a part that has fewer words.  A part also counts if at most one of its words is
-  missing where the rest of the item puts it, so one changed word clears no copy; of a
-  part of one word, the rest of the item then decides.
-
-The index goes to the executors only in shards of at most `shard_chars` characters of
-items; a larger benchmark takes one pass over the texts for each shard.  Texts stream
-through without a shuffle.  Null or empty texts and items match nothing; repeated rows
-each give their own matches; empty tables give an empty result.
+* A retrieved item counts only if the text really overlaps both its question and its
+  answer: of each, the share of the words covered by common word trigrams (or by shorter
+  n-grams of a part that has fewer words) in any passage, over all segments of the item.
+  A segment's part also counts if at most one of its words is missing where the rest of
+  the segment puts it, so one changed word clears no copy; of a part of one word, the
+  rest of the item then decides.  A long question without its answer is no leak.
+
+The index goes to the executors in shards of at most `shard_chars` characters of items
+(about 30 bytes of index for each); a larger benchmark takes one pass over the texts for
+each shard, and a shard's broadcast is released before the next is made.  Texts, however
+long, stream through without a shuffle.  Null or empty texts and items match nothing;
+repeated rows of the texts each give their own matches, repeated items count once; items
+that score alike all count.  Empty tables give an empty result.  Further columns are
+neither read nor returned (drop_leaks returns them as they are).
 """
 
 from __future__ import annotations
@@ -30,7 +34,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import keep_rows, map_text, pick, text_batches, to_pandas
+from tidewell.llm.common import cut, keep_rows, map_text, pick, text_batches, to_pandas
 
 K1, B, BLOCK, STRIDE, NGRAM = 1.2, 0.75, 32, 64, 3
 SLACK = 3  # words by which a part may be moved against the rest of its item
@@ -64,13 +67,15 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float) -> None:
         self.threshold = threshold
-        self.item, self.words, self.question = [], [], []  # by segment; question: how many of its words are of the question
-        for item, text in items:
+        self.whole, self.words, self.question = [], [], []  # by segment: its item's number, its words, how many of them are of the question
+        self.ids, self.segments = [i for i, _ in items], [[] for _ in items]  # by item
+        for number, (_, text) in enumerate(items):
             q, a = split_item(text or "")
             parts = -(-(len(q) + len(a)) // STRIDE)
             ends = [len(q + a) * i // parts for i in range(parts + 1)] if parts else []  # parts of equal length: no short last one
             for i, end in pairwise(ends):
-                self.item.append(item)
+                self.segments[number].append(len(self.whole))
+                self.whole.append(number)
                 self.words.append((q + a)[i:end])
                 self.question.append(min(max(len(q) - i, 0), end - i))
         n = len(self.words)
@@ -169,29 +174,35 @@ class ItemIndex:
             lists = [x for x in lists if x[0] >= 0]
         return found
 
-    def overlap(self, segment: int, passage: list[str], least: float) -> tuple[float, float] | None:
-        """Shares of the segment's question and answer words that the passage covers, 1 for a part that it lacks; None if one is not there."""
+    def covered(self, segment: int, passage: list[str], least: float) -> np.ndarray:
+        """Which of the segment's words the passage covers."""
         words, q = self.words[segment], self.question[segment]
-        covered = [False] * len(words)
+        covered = np.zeros(len(words), bool)
         for a, b in ((0, len(words)), (0, q), (q, len(words))):  # each part has n-grams of its own too
             n = min(NGRAM, b - a)
             if n:
                 there = {tuple(passage[i : i + n]) for i in range(len(passage) - n + 1)}
                 for i in range(a, b - n + 1):
                     if tuple(words[i : i + n]) in there:
-                        covered[i : i + n] = [True] * n
-        parts = [x for x in (covered[:q], covered[q:]) if x]
-        share = lambda part: sum(part) / len(part) if part else 1.0
-        if any(share(x) < least for x in parts):
-            placed = self.in_place(words, passage)
-            for x in (slice(0, q), slice(q, None)):
-                if share(covered[x]) < least:
-                    if len(placed[x]) - sum(placed[x]) > 1:
-                        return None
-                    covered[x] = placed[x]
-            if sum(placed) < len(words) - 1 and share(covered) < least:  # a part of one word says nothing by itself
-                return None
-        return share(covered[:q]), share(covered[q:])
+                        covered[i : i + n] = True
+        weak = [x for x in (slice(0, q), slice(q, None)) if len(covered[x]) and covered[x].mean() < least]
+        if weak:
+            placed = np.array(self.in_place(words, passage))
+            for x in weak:
+                if (~placed[x]).sum() <= 1:
+                    covered[x] = True
+            if (~placed).sum() > 1 and covered.mean() < least:  # a part of one word says nothing by itself
+                covered[:] = False
+        return covered
+
+    def shares(self, item: list[int], found: dict[int, np.ndarray]) -> tuple[float, float]:
+        """Shares of the item's question and answer words that are covered, 1 for a part that it lacks."""
+        both = []
+        for part in (0, 1):
+            every = sum(self.question[s] if part == 0 else len(self.words[s]) - self.question[s] for s in item)
+            hits = sum(int(c[: self.question[s]].sum() if part == 0 else c[self.question[s] :].sum()) for s, c in found.items())
+            both.append(hits / every if every else 1.0)
+        return both[0], both[1]
 
     @staticmethod
     def in_place(words: list[str], passage: list[str]) -> list[bool]:
@@ -208,33 +219,38 @@ def search(texts: list[str], index: ItemIndex, least: float) -> list[tuple[int,
     words = [find_words(t.lower()) for t in texts]
     get, lengths = index.vocabulary.get, [len(w) for w in words]
     total = sum(lengths)
-    if not total or not index.item:
+    if not total or not index.whole:
         return []
     terms = np.fromiter((get(x, -1) for w in words for x in w), np.int64, total)
     start = np.concatenate([[0], np.cumsum(lengths)])
     text = np.repeat(np.arange(len(texts)), lengths)
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    parts: dict[tuple[int, int], dict[int, np.ndarray]] = {}
+    best: dict[tuple[int, int], float] = {}
     for i, passage in index.possible(terms, text, np.arange(total) - start[text]):
         a = passage * STRIDE
         own = set(terms[start[i] + a : min(start[i] + a + 2 * STRIDE, start[i + 1])].tolist()) - {-1}
         for segment, score in index.retrieve(own):
-            shares = index.overlap(segment, words[i][a : a + 2 * STRIDE], least)
-            if shares:
-                key = (i, index.item[segment])
-                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
-    return [(*k, *v) for k, v in sorted(best.items())]
-
-
-def indexes(items: DataFrame, id_col: str, text_col: str, threshold: float, shard_chars: int) -> list:
-    """Broadcast indexes of all items, each over about `shard_chars` characters of them at most."""
+            key = (i, index.whole[segment])
+            covered, seen = index.covered(segment, words[i][a : a + 2 * STRIDE], least), parts.setdefault(key, {})
+            seen[segment] = covered | seen[segment] if segment in seen else covered
+            best[key] = max(best.get(key, 0.0), score)
+    out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for (i, whole), found in parts.items():
+        q, a = index.shares(index.segments[whole], found)
+        if q >= least and a >= least:
+            key = (i, index.ids[whole])
+            out[key] = max(out.get(key, (0.0, 0.0, 0.0)), (best[i, whole], q, a))
+    return [(*k, *v) for k, v in sorted(out.items())]
+
+
+def indexes(items: DataFrame, id_col: str, text_col: str, threshold: float, shard_chars: int) -> Iterator[tuple[object, int]]:
+    """A broadcast index of each shard of the items and how many shards there are; a shard has about `shard_chars` characters at most."""
     spark = items.sparkSession
-    tests = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    tests = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     shards = -(-(tests.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars)
-    out = []
     for shard in range(shards):
         rows = to_pandas(tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard)).sort_values(["item", "text"])
-        out.append(spark.sparkContext.broadcast(ItemIndex(list(zip(rows["item"].tolist(), rows["text"].tolist(), strict=True)), threshold)))
-    return out
+        yield spark.sparkContext.broadcast(ItemIndex(list(zip(rows["item"].tolist(), rows["text"].tolist(), strict=True)), threshold)), shards
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -249,7 +265,7 @@ def find_leaks(
     item_text_col: str = "text",
     threshold: float = 0.6,
     overlap: float = 0.7,
-    shard_chars: int = 16_000_000,
+    shard_chars: int = 2_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): each row's text and each test item that it contains."""
     docs = pick(df, id_col, text_col)
@@ -263,8 +279,14 @@ def find_leaks(
 
         return map_text(docs, run, SCHEMA)
 
-    shards = [one(x) for x in indexes(items, item_id_col, item_text_col, threshold, shard_chars)]
-    return reduce(DataFrame.unionByName, shards) if shards else df.sparkSession.createDataFrame([], SCHEMA)
+    out = None
+    for index, shards in indexes(items, item_id_col, item_text_col, threshold, shard_chars):
+        found = one(index)
+        if shards > 1:
+            found = cut(found)
+            index.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return df.sparkSession.createDataFrame([], SCHEMA) if out is None else out
 
 
 def drop_leaks(
@@ -275,10 +297,10 @@ def drop_leaks(
     item_text_col: str = "text",
     threshold: float = 0.6,
     overlap: float = 0.7,
-    shard_chars: int = 16_000_000,
+    shard_chars: int = 2_000_000,
 ) -> DataFrame:
     """`df` without the rows whose text contains a test item; its columns and other rows stay as they are."""
-    for index in indexes(items, item_id_col, item_text_col, threshold, shard_chars):
+    for index, shards in indexes(items, item_id_col, item_text_col, threshold, shard_chars):
 
         def start(index: object = index) -> object:
             def clean(texts: list[str]) -> list[bool]:
@@ -288,4 +310,7 @@ def drop_leaks(
             return clean
 
         df = keep_rows(df, text_col, start)
+        if shards > 1:
+            df = cut(df)
+            index.unpersist()
     return df

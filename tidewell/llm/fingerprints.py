@@ -17,9 +17,12 @@ Texts are shuffled once, by document; what a document lends to the one before it
 most a third of that one.  Terms are counted and sampled where their document already is.
 
 Null texts count as empty; an empty text has one term of its own, so it is like another
-empty text and unlike all others.  Rows that repeat an id and text give one row; rows that
+empty text and unlike all others.  A very long text is counted whole.  Every row gets a row:
+rows that repeat an id and text are one document in the order, worked out once; rows that
 repeat an id with different texts are ordered by text hash.  Null ids come last.  A table
-of one row is its own next document; an empty table gives an empty result.
+of one document is its own next one; an empty table gives an empty result.  Of terms that
+draw equally small numbers the one with the smaller hash is sampled.  Further columns are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ID, TEXT, cut, pick
+from tidewell.llm.common import ID, TEXT, cut, join_counted, pick
 
 SAMPLES = 32
 NO_ID = -(1 << 63)
-#: Characters of text in a partition when terms are counted, and the most partitions.
-PART_CHARS, MOST_PARTS = 4_000_000, 50_000
+#: Characters of text in a partition when terms are counted.
+PART_CHARS = 4_000_000
 
 
 def _uniform(h: Column, shift: int, bits: int) -> Column:
@@ -59,10 +62,9 @@ def samples() -> list[Column]:
     return out
 
 
-def with_next(ids: DataFrame) -> DataFrame:
+def with_next(ids: DataFrame, ranges: int) -> DataFrame:
     """`ids` (k, h, n; unique) with the key of the next document in descending order, the first after the last."""
-    spark = ids.sparkSession
-    dealt = cut(ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("k").desc(), F.col("h").desc()).withColumn("part", F.spark_partition_id()))
+    dealt = cut(ids.repartitionByRange(ranges, F.col("k").desc(), F.col("h").desc()).withColumn("part", F.spark_partition_id()))
     key = F.struct("k", "h")
     firsts = dealt.groupBy("part").agg(F.max(key).alias("first"))  # one row for each range
     over_all = firsts.agg(F.max("first").alias("start"))
@@ -79,13 +81,14 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text = F.coalesce(TEXT, F.lit(""))
     docs = pick(df, id_col, text_col).select(F.coalesce(ID, F.lit(NO_ID)).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
     all_ids = cut(docs.select("k", "h", F.char_length("text").cast("long").alias("n")))
-    ids = all_ids.distinct()
     rows, chars = all_ids.agg(F.count("*"), F.sum("n")).first()
-    if ids.count() < rows:
+    ids = cut(all_ids.groupBy("k", "h", "n").agg(F.count("*").alias("times")))
+    repeated = ids.count() < rows
+    if repeated:
         docs = docs.dropDuplicates(["k", "h"])
-    order = cut(with_next(ids))
 
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, (chars or 0) // PART_CHARS))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (chars or 0) // PART_CHARS)
+    order = cut(with_next(ids.select("k", "h", "n"), min(parts, 2 + rows // 100_000)))
     placed = docs.repartition(parts, "k", "h")
     third = F.floor(F.col("n") / 3).cast("int")
     wanted = order.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "n")
@@ -110,7 +113,9 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = order.join(done, ["k", "h"]).join(after, ["next_k", "next_h"])
     written = lambda c: F.concat(*(F.lpad(F.lower(F.hex(F.col(c)[k])), 8, "0") for k in range(SAMPLES)))
     alike = lambda a, b: reduce(add, ((F.col(a)[k] == F.col(b)[k]).cast("int") for k in range(SAMPLES))) / float(SAMPLES)
-    return found.select(
+    found = found.select(
+        "k",
+        "h",
         F.when(F.col("k") != NO_ID, F.col("k")).alias("doc_id"),
         F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
@@ -119,3 +124,6 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         alike("own", "edited").alias("near_edited"),
         alike("own", "next_own").alias("near_next"),
     )
+    if repeated:
+        found = join_counted(all_ids.select("k", "h"), cut(found.join(ids.select("k", "h", "times"), ["k", "h"])), ["k", "h"], "times", rows).drop("times")
+    return found.drop("k", "h")

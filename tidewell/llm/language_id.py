@@ -3,8 +3,10 @@
 A word's subwords are its character 1- to 4-grams, marks for its start and end
 included; each is hashed to a row of an embedding table.  A text is the average of
 its subwords' embeddings, and a linear softmax over that gives the languages.  Both
-are trained together by stochastic gradient descent in numpy on a bounded sample
-(`per_language` documents of each language, spread over windows of their words).
+are trained together by stochastic gradient descent in numpy on a bounded sample:
+about `per_language` rows of each language (fewer if that were over `most_rows` in all),
+of each up to `each` windows of `window` words drawn from all over the text, however
+long it is.  The windows are cut on the executors; no whole text comes to the driver.
 A temperature fitted on documents outside the training rows calibrates the scores,
 and `accepted` rejects predictions below the lowest score at which those documents
 are right at least `precision` of the time.
@@ -14,7 +16,9 @@ are looked up, new ones are worked out many at a time, and every whole text is r
 once without a shuffle.
 
 Texts that are null or have no letter are `und` with score 0.  Repeated rows each get
-a row, an empty table an empty result; with no languages to learn all are `und`.
+a row and count once in the sample; a row without an id is not learned from.  Of languages
+equally likely the first in order is predicted.  An empty table gives an empty result;
+with no languages to learn all are `und`.  Further columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ID, TEXT, WORDS, crc_fold, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
+from tidewell.llm.common import ID, TEXT, WORDS, crc_fold, held_out, labelled_texts, map_text, mix64, pick, text_batches, to_pandas
 
 BITS, WIDTH, LONGEST = 16, 16, 4
 find_words = re.compile(WORDS).findall
@@ -60,18 +64,28 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def windows_of(texts: list[str], y: np.ndarray, window: int, each: int, rng: np.random.Generator) -> tuple[list[np.ndarray], np.ndarray]:
-    """Subword buckets of up to `each` windows of `window` words of each text, and the windows' classes."""
-    xs, ys = [], []
-    for t, c in zip(texts, y, strict=True):
-        words = words_of(t)
-        if not words:
-            continue
-        n = max(1, len(words) // window)
-        for i in range(n) if n <= each else rng.choice(n, each, replace=False):
-            xs.append(subwords(words[i * window : (i + 1) * window])[0])
-            ys.append(c)
-    return xs, np.array(ys, dtype=np.int64)
+LETTERS = 30  # a longer run of letters is several words to a window
+
+
+def windows_of(text: str, window: int, each: int, seed: int) -> list[str]:
+    """Up to `each` windows of `window` words, drawn from the whole text; none of over window * (LETTERS + 1) characters."""
+    words = [w[i : i + LETTERS] for w in words_of(text) for i in range(0, len(w), LETTERS)]
+    n = max(1, len(words) // window) if words else 0
+    drawn = range(n) if n <= each else sorted(np.random.default_rng(seed + len(words)).choice(n, each, replace=False))
+    return [" ".join(words[i * window : (i + 1) * window]) for i in drawn]
+
+
+def sampled_windows(rows: DataFrame, window: int, each: int, seed: int) -> tuple[list[str], list[str]]:
+    """Windows of the sampled texts and their labels, in an order that no partitioning changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches):
+            labels = batch.column(batch.schema.get_field_index("label")).to_pylist()
+            pairs = [(w, c) for t, c in zip(texts, labels, strict=True) for w in windows_of(t, window, each, seed)]
+            yield pa.record_batch([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], names=["text", "label"])
+
+    found = to_pandas(map_text(rows.select(TEXT, "label"), run, "text string, label string")).sort_values(["label", "text"])
+    return found["text"].tolist(), found["label"].tolist()
 
 
 def train(xs: list[np.ndarray], y: np.ndarray, classes: int, epochs: int = 4, batch: int = 64, rate: float = 0.5, seed: int = 8) -> np.ndarray:
@@ -142,53 +156,55 @@ def document_logits(texts: list[str], known: WordLogits) -> np.ndarray:
     return np.array([known.mean(w) if w else np.full(known.logits.shape[1], np.nan) for w in words])
 
 
+def label_logits(rows: DataFrame, model: object) -> tuple[np.ndarray, np.ndarray]:
+    """(logits, label) of the sampled rows' whole texts, worked out where they are; texts without letters are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordLogits(model.value)
+        for batch, texts in text_batches(batches):
+            z = document_logits(texts, known)
+            some = np.flatnonzero(~np.isnan(z[:, 0]))
+            yield pa.record_batch([pa.array([z[i].tolist() for i in some], pa.list_(pa.float64())), batch.column(batch.schema.get_field_index("label")).take(pa.array(some))], names=["z", "label"])
+
+    found = to_pandas(map_text(rows.select(TEXT, "label"), run, "z array<double>, label string"))
+    return np.array(found["z"].tolist(), dtype=float), found["label"].to_numpy(dtype=object)
+
+
 def identify_language(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = 1_500,
-    longest_sample: int = 20_000,
     window: int = 25,
+    each: int = 8,
     precision: float = 0.99,
+    most_rows: int = 60_000,
     seed: int = 8,
 ) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted) of each row.
 
-    Learns from at most about `per_language` texts of each language, of up to
-    `longest_sample` characters, among ids whose crc32 modulo 4 is 0 or 1; those
-    with 3 calibrate.
+    Learns from at most about `per_language` rows of each language among ids whose crc32
+    modulo 4 is 0 or 1; a third as many with 3 calibrate.
     """
     spark, docs = df.sparkSession, pick(df, id_col, text_col)
+    labelled = pick(df, id_col, text_col, label=lang_col).withColumn("label", F.col("label").cast("string")).where(F.col(ID).isNotNull() & F.col("label").isNotNull() & (F.length(TEXT) > 0))
     fold = crc_fold(F.col(ID))
-    short = df.where(F.length(text_col).between(1, longest_sample))
-
-    def sample(n: int, seed: int, where: object) -> object:
-        ids = labelled_sample(short, id_col, lang_col, n, seed, where)
-        return to_pandas(docs.join(F.broadcast(ids), ID).where(F.length(TEXT).between(1, longest_sample)).select(ID, TEXT, "label").dropDuplicates([ID])).sort_values(ID)
-
-    learn = sample(per_language, seed, fold.isin(0, 1))
-    names = sorted(learn["label"].unique())
+    texts, langs = sampled_windows(labelled_texts(labelled.where(fold.isin(0, 1)), per_language, seed, most_rows), window, each, seed)
+    names = sorted(set(langs))
     if not names:
-        return docs.select(F.col(ID).alias("doc_id"), (fold == 2).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    rng = np.random.default_rng(seed)
-    xs, y = windows_of(learn[TEXT].tolist(), np.searchsorted(names, learn["label"].to_numpy(dtype=object)), window, 4, rng)
-    logits = train(xs, y, len(names), seed=seed)
-    check = sample(per_language // 3, seed + 1, fold == 3)
-    check = check[check["label"].isin(names)]
+        return docs.select(F.col(ID).alias("doc_id"), held_out(F.col(ID)).alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
+    logits = train([subwords(t.split(" "))[0] for t in texts], np.searchsorted(names, np.array(langs, dtype=object)), len(names), seed=seed)
+    z, truth = label_logits(labelled_texts(labelled.where((fold == 3) & F.col("label").isin(names)), per_language // 3, seed + 1, most_rows), spark.sparkContext.broadcast(logits))
     t, least = 1.0, 0.0
-    if len(check):
-        z = document_logits(check[TEXT].tolist(), WordLogits(logits))
-        truth = np.searchsorted(names, check["label"].to_numpy(dtype=object))
-        some = ~np.isnan(z[:, 0])
-        if some.any():
-            z, truth = z[some], truth[some]
-            t = temperature(z, truth)
-            p = softmax(z / t)
-            order = np.argsort(-p.max(axis=1), kind="stable")
-            right = np.cumsum((p.argmax(axis=1) == truth)[order]) / np.arange(1, len(order) + 1)
-            good = np.flatnonzero(right >= precision)
-            least = float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0
+    if len(z):
+        truth = np.searchsorted(names, truth)
+        t = temperature(z, truth)
+        p = softmax(z / t)
+        order = np.argsort(-p.max(axis=1), kind="stable")
+        right = np.cumsum((p.argmax(axis=1) == truth)[order]) / np.arange(1, len(order) + 1)
+        good = np.flatnonzero(right >= precision)
+        least = float(p.max(axis=1)[order][good[-1]]) if len(good) else 1.0
     model = spark.sparkContext.broadcast((logits, names, t, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,4 +219,4 @@ def identify_language(
             yield pa.record_batch([batch.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(~none & (score >= least))], names=["doc_id", "lang_pred", "score", "accepted"])
 
     out = map_text(docs, run, "doc_id long, lang_pred string, score double, accepted boolean")
-    return out.select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")

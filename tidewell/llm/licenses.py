@@ -9,9 +9,15 @@ bands miss it with a chance of (1 - m/16)^bands: 2e-6 for the shortest segment a
 text near the window must contain at least `containment` of the template's shingles
 (all of them if the template has fewer than 20).
 
+Words are those of the text as it is, each lower-cased by itself, so a word's place is
+its place in the text whatever lower-casing does to its length.  Of matches of one license
+that lie within each other the longest counts.
+
 The template index is small and fixed, so it goes along with the code; texts stream
-through one pass without a shuffle.  Nulls count as empty texts (no licenses), repeated
-rows each get a row, an empty table gives an empty result.
+through one pass without a shuffle, and a very long text is read whole.  Nulls count as
+empty texts (no licenses), repeated rows each get a row, an empty table gives an empty
+result.  Matches that start alike are in order of their license's name.  Further columns
+are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -24,12 +30,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewell.llm.common import WordHash, map_text, pick, shingle_hashes, text_batches
+from tidewell.llm.common import LowerHash, map_text, pick, shingle_hashes, text_batches
 
 #: License notices as their stewards recommend or publish them.
 TEMPLATES: dict[str, list[str]] = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
+        "SPDX-License-Identifier: Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     ],
@@ -37,22 +44,49 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "SPDX-License-Identifier: MIT",
     ],
-    "BSD": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": [
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "GPL-2.0": ["either version 2 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["SPDX-License-Identifier: GPL-2.0", "either version 2 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 2."],
+    "GPL-3.0": ["SPDX-License-Identifier: GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version."],
     "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "LGPL": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "AGPL-3.0": [
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    ],
+    "Artistic-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0",
+        "This is free software, licensed under: The Artistic License 2.0",
+    ],
 }
 
 SHINGLE, BLOCK, SEGMENT, LEAST = 2, 8, 9, 3
@@ -67,12 +101,12 @@ class Templates:
     """The band index of all templates' segments."""
 
     def __init__(self, templates: dict[str, list[str]], bands: int, containment: float) -> None:
-        hashes = WordHash()
+        hashes = LowerHash()
         self.names, self.sets, self.least = [], [], []
         segments: list[tuple[int, np.ndarray]] = []
         for name, texts in templates.items():
             for text in texts:
-                s = shingle_hashes(hashes.of(words.findall(text.lower())), SHINGLE)
+                s = shingle_hashes(hashes.of(words.findall(text)), SHINGLE)
                 if len(s) < LEAST:
                     raise ValueError(f"a template needs {LEAST + 1} words or more: {text!r}")
                 segments += [(len(self.names), s[max(0, min(i, len(s) - SEGMENT)) : i + SEGMENT]) for i in range(0, len(s), SEGMENT)]
@@ -136,6 +170,15 @@ def confirm(s: np.ndarray, starts: list[int], template: frozenset[int], least: i
     return found
 
 
+def longest(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans (license, start, end) that lie within no other one of their license, by start."""
+    kept: list[tuple[str, int, int]] = []
+    for x in sorted(spans, key=lambda s: (s[0], s[1], -s[2])):
+        if not kept or kept[-1][0] != x[0] or kept[-1][2] < x[2]:
+            kept.append(x)
+    return sorted(kept, key=lambda s: (s[1], s[0]))
+
+
 @lru_cache(maxsize=2)
 def default_index(bands: int, containment: float) -> Templates:
     return Templates(TEMPLATES, bands, containment)
@@ -147,21 +190,19 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Templates(templates, bands, containment) if templates else default_index(bands, containment)
-        hashes = WordHash()
+        hashes = LowerHash()
         for batch, texts in text_batches(batches, 1_000_000):
-            found_words = [words.findall(t.lower()) for t in texts]
-            shingles = [shingle_hashes(hashes.of(w), SHINGLE) for w in found_words]
-            matches: list[list[dict]] = [[] for _ in texts]
-            by_pair: dict[tuple[int, int], list[int]] = {}
+            shingles = [shingle_hashes(hashes.of(words.findall(t)), SHINGLE) for t in texts]
+            by_text: dict[int, dict[int, list[int]]] = {}
             for text, start, template in candidates(shingles, index):
-                by_pair.setdefault((text, template), []).append(start)
-            for (i, template), starts in sorted(by_pair.items()):
-                for first, last in confirm(shingles[i], starts, index.sets[template], index.least[template]):
-                    spans = [m.span() for m in words.finditer(texts[i].lower())] if len(texts[i].lower()) == len(texts[i]) else [m.span() for m in words.finditer(texts[i])]
-                    matches[i].append({"license": index.names[template], "start": spans[first][0], "end": spans[min(last + SHINGLE, len(spans)) - 1][1]})
-            for i, m in enumerate(matches):  # of matches of one license that overlap, the longest
-                m.sort(key=lambda x: (x["license"], x["start"], -x["end"]))
-                matches[i] = sorted((x for j, x in enumerate(m) if not any(y["license"] == x["license"] and y["start"] <= x["start"] and x["end"] <= y["end"] for y in m[:j])), key=lambda x: (x["start"], x["license"]))
+                by_text.setdefault(text, {}).setdefault(template, []).append(start)
+            matches: list[list[dict]] = [[] for _ in texts]
+            for i, found in by_text.items():
+                stretches = [(index.names[t], *x) for t, starts in found.items() for x in confirm(shingles[i], starts, index.sets[t], index.least[t])]
+                if stretches:
+                    spans = [m.span() for m in words.finditer(texts[i])]
+                    ends = [(name, spans[a][0], spans[min(b + SHINGLE, len(spans)) - 1][1]) for name, a, b in stretches]
+                    matches[i] = [{"license": n, "start": a, "end": b} for n, a, b in longest(ends)]
             names = [sorted({x["license"] for x in m}) for m in matches]
             yield pa.record_batch([batch.column(0), pa.array([len(m) for m in matches], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(matches, pa.list_(one))], names=["doc_id", "n_matches", "licenses", "matches"])
 

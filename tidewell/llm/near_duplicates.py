@@ -3,25 +3,31 @@
 Documents whose sets of word 5-grams have a Jaccard similarity of 0.8 or more are
 linked.  `choose_bands` picks bands and rows for a target recall at the threshold.
 
-1. One pass makes each text's 128-bit set fingerprint and band hashes; equal sets are
-   one class, so copies of a text are compared once however many there are.
+1. One pass numbers the rows and makes each text's 128-bit set fingerprint and band
+   hashes; equal sets are one class, so copies of a text are compared once however many
+   there are.  Rows, not ids, are what everything after goes by: ids may repeat or be null.
 2. A shuffle on band hashes finds the buckets with two classes or more.  Buckets with the
    same members (as a near pair has in most bands) are kept once.
-3. A bucket of more than `block` classes is cut into blocks by hash; each pair of blocks
-   is one unit of work, so no task grows with a bucket, and none is capped.
+3. A bucket of more than `block` classes or `block_grams` n-grams is cut into blocks by
+   hash; each pair of blocks is one unit of work, so no task grows with a bucket, and none
+   is capped.
 4. Within a unit all pairs are verified on their full n-gram sets.  A pair that shares
    several buckets counts only in the first.  A unit returns one row for each linked
    class (its number of links and its local root), never a row for each pair.
 5. Local roots are joined to components by repeated contraction; each round is written to
-   the shared folder, and the driver sees only counts.
+   the shared folder, and the driver sees only counts.  Hot buckets, classes and
+   components are joined by `join_counted`.
 
-The result has a row for each document: class_id is the smallest id of its component,
+The result has a row for each row: class_id is the smallest id of its component,
 text_class the smallest id with the same n-gram set, n_text_links the number of different
-sets it is linked to, n_links the number of other documents linked to it, copies included.
+sets it is linked to, n_links the number of other rows linked to it, copies included.
+Where that smallest id is null, or is the smallest of several different sets, it names no
+class; then the class is a negative number made from the set's fingerprint.
 
 A text of 1 to 4 words is one n-gram.  Null texts and texts without words have none: each
-is a class of its own without links.  Rows that repeat an id each
-get a row and, if their texts differ, share a component; null ids count as -1.  Empty tables give an empty result.
+is a class of its own without links, also when rows repeat.  Rows that repeat an id each
+get a row; they share a class only if their texts do.  Very long texts are one set each.
+Empty tables give an empty result; further columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -34,8 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewell.llm.common import ID, TEXT, WordHash, cut, map_text, mix64, pick, shingle_hashes, text_batches
+from tidewell.llm.common import ID, ROW, TEXT, WordHash, cut, join_counted, mix64, pick, shingle_hashes, text_batches
 
 find_words = re.compile(r"\w+").findall
 
@@ -78,20 +85,25 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+def signed(df: DataFrame, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
+    """`df` with row numbers, set fingerprints, set sizes and band hashes, written once: the numbers hold for all that follows."""
+    df = df.withColumn(ROW, F.monotonically_increasing_id())
+    fields = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    names = [*df.columns, *(f"__{f.name}" for f in fields)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        for batch, texts in text_batches(batches):
+        for batch, texts in text_batches(batches, name=text_col):
             sets = [gram_set(t, n, known) for t in texts]
             some = [i for i, s in enumerate(sets) if len(s)]
             of = np.full(len(sets), -1)
             of[some] = range(len(some))
             hashes = band_hashes([sets[i] for i in some], bands, rows).view(np.int64) if some else np.zeros((0, bands), np.int64)
             marks = np.array([fingerprint(s.tobytes()) for s in sets], np.int64).reshape(-1, 2)
-            columns = [batch.column(0), pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashes[j] if j >= 0 else None for j in of], pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=[ID, "h1", "h2", "n", "bands"])
+            new = [pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashes[j] if j >= 0 else None for j in of], pa.list_(pa.int64()))]
+            yield pa.record_batch([*batch.columns, *new], names=names)
 
-    return map_text(docs, run, f"{ID} long, h1 long, h2 long, n long, bands array<long>")
+    return cut(df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(f"__{f.name}", f.dataType) for f in fields)])))
 
 
 def pairs_above(grams: list[np.ndarray], side: np.ndarray, one_block: bool, buckets: list[np.ndarray], own: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -144,9 +156,6 @@ def verified(units: DataFrame, threshold: float) -> DataFrame:
 
     def unit(rows: dict[str, list]) -> list[tuple[int, int, int, int]]:
         own, one_block = rows["g"][0], rows["i"][0] == rows["j"][0]
-        once = list({(x, h): k for k, (x, h) in enumerate(zip(rows["id"], rows["h1"], strict=True))}.values())  # rows that repeat an id and text
-        if len(once) < len(rows["id"]):
-            rows = {k: [v[x] for x in once] for k, v in rows.items()}
         ids = rows["id"]
         if len(ids) < 2:
             return []
@@ -207,63 +216,128 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(under.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root")).unionByName(under.join(up, "root").select(F.col("root").alias("id"), F.col("above").alias("root"))).distinct())
 
 
-def near_duplicates(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = 5,
-    threshold: float = 0.8,
-    recall: float = 0.9999,
-    block: int = 1024,
-) -> DataFrame:
-    """(doc_id, class_id, text_class, n_copies, n_text_links, n_links) of each row."""
-    bands, rows = choose_bands(threshold, recall)
-    docs = pick(df, id_col, text_col).withColumn(ID, F.coalesce(ID, F.lit(-1)))
-    signed = cut(signatures(docs, n, bands, rows))
-    classes = cut(signed.where("n > 0").groupBy("h1", "h2").agg(F.min(ID).alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+def linked_classes(docs: DataFrame, text_col: str, n: int, bands: int, threshold: float, block: int, block_grams: int) -> DataFrame:
+    """(h1, h2, least, first, copies, root, texts, docs) of each class of `docs`, which is from signed().
+
+    least and first: the smallest id and the row that has it; root names the component.
+    """
+    rows = docs.select(ROW, ID, *(F.col(f"__{c}").alias(c) for c in ("h1", "h2", "n", "bands"))).where("n > 0")
+    best = F.min(F.struct(F.col(ID).isNull().alias("none"), F.col(ID).alias("id"), F.col(ROW).alias("row")))
+    classes = cut(rows.groupBy("h1", "h2").agg(F.min(ROW).alias("id"), best.alias("best"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    total = classes.count()
 
-    entries = classes.select("id", "h1", "copies", F.explode("bands").alias("g"))
-    mark = F.xxhash64("id", "h1")
-    buckets = entries.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.shiftright(mark, 33)).alias("s1"), F.bit_xor(mark).alias("s2")).where("c > 1")
-    kept = cut(buckets.groupBy("c", "s1", "s2").agg(F.min("g").alias("g")).select("g", "c"))
-    members = entries.join(kept, "g").groupBy("id", "h1").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("g", "c")).alias("in"))  # at most one for each band
+    entries = classes.select("id", "copies", "n", F.explode("bands").alias("g"))
+    mark = F.xxhash64("id")
+    buckets = entries.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("grams"), F.sum(F.shiftright(mark, 33)).alias("s1"), F.bit_xor(mark).alias("s2")).where("c > 1")
+    parts = F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("grams") / block_grams)).cast("int")
+    kept = cut(buckets.groupBy("c", "grams", "s1", "s2").agg(F.min("g").alias("g")).select("g", "c", parts.alias("parts")))
+    # At most one entry for each band.
+    members = join_counted(entries, kept, ["g"], "c", total * bands).groupBy("id").agg(F.first("copies").alias("copies"), F.collect_list(F.struct("g", "parts")).alias("in"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
-        names = ["g", "i", "j", "side", "id", "h1", "copies", "buckets", "grams"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        names = ["g", "i", "j", "side", "id", "copies", "buckets", "grams"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        made = lambda out: pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
         for batch, texts in text_batches(batches):
-            data = batch.select([ID, "h1", "copies", "in"]).to_pydict()
+            data = batch.select(["id", "copies", "in"]).to_pydict()
             out: list[tuple] = []
-            for id_, h1, copies, inside, text in zip(data[ID], data["h1"], data["copies"], data["in"], texts, strict=True):
+            held = 0
+            for id_, copies, inside, text in zip(data["id"], data["copies"], data["in"], texts, strict=True):
                 grams = gram_set(text, n, known).tobytes()
-                if fingerprint(grams)[0] != h1:  # another text under the same id
-                    continue
                 own = np.sort(np.array([x["g"] for x in inside], np.int64)).tobytes()
-                mark = int(mix64(np.array([id_], np.int64).view(np.uint64) + np.uint64(1))[0])
+                at_all = int(mix64(np.array([id_], np.int64).view(np.uint64) + np.uint64(1))[0])
                 for x in inside:
-                    parts = -(-x["c"] // block)
-                    at = mark % parts
-                    for other in range(parts):
-                        out.append((x["g"], min(at, other), max(at, other), int(at > other), id_, h1, copies, own, grams))
-                        if len(out) >= 2000:
-                            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                            out = []
+                    at = at_all % x["parts"]
+                    for other in range(x["parts"]):
+                        out.append((x["g"], min(at, other), max(at, other), int(at > other), id_, copies, own, grams))
+                        held += len(grams)
+                        if held >= 16_000_000 or len(out) >= 2_000:
+                            yield made(out)
+                            out, held = [], 0
             if out:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield made(out)
 
-    units = docs.join(members, docs[ID] == members["id"]).select(ID, TEXT, "h1", "copies", "in").mapInArrow(spread, "g long, i int, j int, side int, id long, h1 long, copies long, buckets binary, grams binary")
+    texts = docs.select(F.col(ROW).alias("id"), F.col(text_col).alias(TEXT))
+    units = texts.join(members, "id").mapInArrow(spread, "g long, i int, j int, side int, id long, copies long, buckets binary, grams binary")
     links = cut(verified(units.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j"), threshold))
     roots = components(links.select("id", "root"))
     counted = links.groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    known = cut(classes.select("h1", "h2", "id", "copies").join(roots, "id", "left").join(counted, "id", "left").select("h1", "h2", F.col("id").alias("text_class"), F.coalesce("root", "id").alias("class_id"), F.col("copies").alias("n_copies"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    names = ["class_id", "text_class", "n_copies", "n_text_links", "n_links"]
-    with_text = signed.where("n > 0").select(ID, "h1", "h2").join(known, ["h1", "h2"]).select(F.col(ID).alias("doc_id"), *names)
-    empty = signed.where("n = 0").select(F.col(ID).alias("doc_id"), F.col(ID).alias("class_id"), F.col(ID).alias("text_class"), F.lit(1).cast("long").alias("n_copies"), *(F.lit(0).cast("long").alias(c) for c in names[3:]))
-    return with_text.unionByName(empty)
+    out = classes.drop("bands", "n").join(roots, "id", "left").join(counted, "id", "left")
+    nought = F.lit(0).cast("long")
+    return cut(out.select("h1", "h2", F.col("best.id").alias("least"), F.col("best.row").alias("first"), "copies", F.coalesce("root", "id").alias("root"), F.coalesce("texts", nought).alias("texts"), F.coalesce("docs", nought).alias("docs")))
+
 
+def with_representative(classes: DataFrame, total: int) -> DataFrame:
+    """`classes` with the class that stands for each one's component (`rep`: that with the smallest id) and how many it has (`c`)."""
+    rep = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "h1", "h2", F.col("first").alias("row")))
+    groups = cut(classes.groupBy("root").agg(F.count("*").alias("c"), rep.alias("rep")).where("c > 1"))
+    alone = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "h1", "h2", F.col("first").alias("row"))
+    return join_counted(classes, groups, ["root"], "c", total, "left").withColumns({"c": F.coalesce("c", F.lit(1).cast("long")), "rep": F.coalesce("rep", alone)})
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: object) -> DataFrame:
-    """`df` with one document of each component, that with the smallest id; its columns stay as they are."""
-    gone = near_duplicates(df, id_col, text_col, **settings).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)) == F.col("__gone"), "left_anti")
+
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    threshold: float = 0.8,
+    recall: float = 0.9999,
+    block: int = 1024,
+    block_grams: int = 2_000_000,
+) -> DataFrame:
+    """(doc_id, class_id, text_class, n_copies, n_text_links, n_links) of each row."""
+    bands, rows_ = choose_bands(threshold, recall)
+    docs = signed(pick(df, id_col, text_col), TEXT, n, bands, rows_)
+    classes = linked_classes(docs, TEXT, n, bands, threshold, block, block_grams)
+    total = docs.count()
+    known = cut(with_representative(classes, total))
+
+    wordless = docs.where("__n = 0").select(ROW, ID)
+    names = known.select(F.col("least").alias("id")).unionByName(wordless.select(F.col(ID).alias("id"))).where("id is not null")
+    shared = cut(names.groupBy("id").agg(F.count("*").alias("times")).where("times > 1"))  # ids that name several classes
+    clash = bool(shared.limit(1).count())
+
+    def with_times(x: DataFrame, id_: str, name: str) -> DataFrame:
+        """`x` with `name`: does its id name one class only?"""
+        good = F.col(id_).isNotNull()
+        if not clash:
+            return x.withColumn(name, good)
+        keyed = join_counted(x.withColumn("id", F.col(id_)), shared, ["id"], "times", total, "left")
+        return cut(keyed.withColumn(name, good & F.col("times").isNull()).drop("times", "id"))
+
+    key = lambda good, id_, h: F.when(F.col(good), F.col(id_)).otherwise(-F.shiftrightunsigned(h, 1) - 1)
+    known = with_times(with_times(known.withColumn("rep_id", F.col("rep.id")), "least", "own"), "rep_id", "of_rep")
+    known = known.select("h1", "h2", "copies", key("of_rep", "rep_id", F.col("rep.h1")).alias("class_id"), key("own", "least", F.col("h1")).alias("text_class"), F.col("copies").alias("n_copies"), F.col("texts").alias("n_text_links"), (F.col("docs") + F.col("copies") - 1).alias("n_links"))
+    columns = ["class_id", "text_class", "n_copies", "n_text_links", "n_links"]
+    rows = docs.where("__n > 0").select(ID, F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
+    with_words = join_counted(rows, cut(known), ["h1", "h2"], "copies", total).select(F.col(ID).alias("doc_id"), *columns)
+    alone = key("own", ID, F.xxhash64(ROW))
+    zero = F.lit(0).cast("long")
+    without = with_times(wordless, ID, "own").select(F.col(ID).alias("doc_id"), alone.alias("class_id"), alone.alias("text_class"), F.lit(1).cast("long").alias("n_copies"), zero.alias("n_text_links"), zero.alias("n_links"))
+    return with_words.unionByName(without)
+
+
+def keep_one(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    threshold: float = 0.8,
+    recall: float = 0.9999,
+    block: int = 1024,
+    block_grams: int = 2_000_000,
+) -> DataFrame:
+    """`df` with one row of each component, one that has its smallest id; the row's columns stay as they are.
+
+    Equal rows leave one; a text that no other is near to stays whatever its id; rows
+    without words all stay.  Nulls among the ids come last.
+    """
+    bands, rows_ = choose_bands(threshold, recall)
+    docs = signed(df.withColumn(ID, F.col(id_col).cast("long")), text_col, n, bands, rows_)
+    classes = linked_classes(docs, text_col, n, bands, threshold, block, block_grams)
+    total = docs.count()
+    many = cut(with_representative(classes, total).where("c > 1 or copies > 1").select("h1", "h2", "copies", F.col("rep.row").alias("stays")))
+    rows = docs.select(ROW, F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
+    gone = cut(join_counted(rows, many, ["h1", "h2"], "copies", total).where(F.col(ROW) != F.col("stays")).select(ROW))
+    return docs.join(gone, ROW, "left_anti").select(*df.columns)

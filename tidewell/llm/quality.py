@@ -3,17 +3,19 @@
 Words and punctuation runs, and pairs of neighbours, are hashed into a fixed number
 of buckets.  Two smoothed multinomial models over the buckets, one of target texts
 (labelled good; a bounded sample) and one of raw texts (all documents), give every
-document its log importance weight, the mean log ratio of its n-grams.  Adding Gumbel
-noise and keeping the k largest keys samples k documents without replacement in
-proportion to their weights.
+document its importance weight, the ratio of its chances under the two; log_weight is
+its logarithm, the sum of the n-grams' log ratios.  Adding Gumbel noise and keeping the
+k largest keys samples k documents without replacement in proportion to their weights.
 
 The k-th largest key is found by narrowing: keys are counted in bins, the bin with
-the cut is counted in finer bins, and only the rows of the last bin are ranked; no
-task or driver holds all keys.
-
-Nulls count as empty texts; a text without n-grams has the lowest weight of all and
-is drawn last.  Rows that repeat an id have the same noise; ties go to the smaller id.
-An empty table gives an empty result; without target rows all weights are 0.
+the cut is counted in finer bins, and only the rows of the last bin are ordered, by
+counts of equal keys; no task or driver holds all keys.
+
+Nulls count as empty texts; a text without n-grams says nothing for itself and is drawn
+last.  Very long texts are read whole.  Noise comes from id and text: rows that repeat both
+have equal keys, and which of them is drawn cannot be told apart.  An empty table gives
+an empty result; without target rows all weights are 1.  Further columns are neither read
+nor returned.
 """
 
 from __future__ import annotations
@@ -23,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ID, TEXT, WordHash, cut, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
+from tidewell.llm.common import ID, ROW, TEXT, WordHash, cut, first_rows, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
 
 BITS = 16
 TOKENS = re.compile(r"\w+|[^\w\s]+").findall
-EMPTY = -1e6
+EMPTY = -1e15
 
 
 def buckets(text: str, known: WordHash) -> np.ndarray:
@@ -62,7 +64,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def select_top(keys: DataFrame, key: str, tie: str, k: int, bins: int = 4096) -> DataFrame:
-    """`keys` with `selected`: the k rows with the largest key, ties by the smaller `tie`.  `keys` must be cheap to read again."""
+    """`keys` with `selected`: the k rows with the largest key, ties by the smaller `tie` (not null), then by ROW.  `keys` must be cheap to read again."""
     n, low, high = keys.agg(F.count("*"), F.min(key), F.max(key)).first()
     if k >= n or not n:
         return keys.withColumn("selected", F.lit(True))
@@ -70,7 +72,7 @@ def select_top(keys: DataFrame, key: str, tie: str, k: int, bins: int = 4096) ->
         return keys.withColumn("selected", F.lit(False))
     above = 0  # rows over `high`, all selected
     inside = F.lit(True)
-    for _ in range(4):
+    for _ in range(8):
         width = (high - low) / bins
         if width <= 0 or low + width == low:
             break
@@ -80,13 +82,13 @@ def select_top(keys: DataFrame, key: str, tie: str, k: int, bins: int = 4096) ->
             if above + counts[b] >= k:
                 break
             above += counts[b]
-        ends = keys.where(inside & (bin_ == b)).agg(F.min(key), F.max(key)).first()
-        low, high = ends
+        low, high = keys.where(inside & (bin_ == b)).agg(F.min(key), F.max(key)).first()
         inside = F.col(key).between(low, high)
         if counts[b] <= 50_000 or low == high:
             break
-    last = keys.where(inside).withColumn("__rank", F.row_number().over(W.orderBy(F.col(key).desc(), F.col(tie).asc_nulls_last())))
-    return keys.where(~inside).withColumn("selected", F.col(key) > high).unionByName(last.withColumn("selected", F.col("__rank") <= k - above).drop("__rank"))
+    last = keys.where(inside).withColumns({"__all": F.lit(0), "__k": F.lit(k - above), "__down": -F.col(key), "__task": F.shiftrightunsigned(ROW, 33)})
+    chosen = first_rows(cut(last), ["__all"], "__k", ["__down", tie, "__task", ROW], n)
+    return keys.where(~inside).withColumn("selected", F.col(key) > high).unionByName(chosen.withColumnRenamed("chosen", "selected").select(*keys.columns, "selected"))
 
 
 def resample(
@@ -97,15 +99,16 @@ def resample(
     label_col: str = "quality",
     label_id_col: str = "doc_id",
     share: float = 0.5,
-    sharpness: float = 30.0,
+    mean_scale: float | None = None,
     target_rows: int = 20_000,
     smoothing: float = 1.0,
     seed: int = 10,
 ) -> DataFrame:
     """(doc_id, log_weight, key, selected) of each row; `selected` marks the sampled `share` of all rows.
 
-    Targets are about `target_rows` rows labelled 1.  `sharpness` multiplies the mean
-    log ratio before the noise is added: the larger, the closer to a plain top k.
+    Targets are about `target_rows` rows labelled 1.  With `mean_scale` (off by default)
+    log_weight is that many times the *mean* log ratio instead of the sum, which keeps a
+    text's length out of its weight but is no longer the ratio of the two models.
     """
     spark, docs = df.sparkSession, pick(df, id_col, text_col)
     good = labelled_sample(labels.where(F.col(label_col) == 1), label_id_col, label_col, target_rows, seed)
@@ -117,9 +120,12 @@ def resample(
         known, r = WordHash(), ratio.value
         for batch, texts in text_batches(batches):
             found = (buckets(t, known) for t in texts)
-            means = [float(r[b].mean(dtype=np.float64)) if len(b) else EMPTY for b in found]
-            yield pa.record_batch([batch.column(0), pa.array(means, pa.float64())], names=[ID, "log_weight"])
-
-    uniform = (F.pmod(F.xxhash64(F.col(ID), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keys = cut(map_text(docs, run, f"{ID} long, log_weight double").withColumn("key", F.col("log_weight") * sharpness - F.log(-F.log(uniform))))
-    return select_top(keys, "key", ID, round(share * keys.count())).withColumnRenamed(ID, "doc_id")
+            sums = [(float(r[b].sum(dtype=np.float64)) if mean_scale is None else mean_scale * float(r[b].mean(dtype=np.float64))) if len(b) else EMPTY for b in found]
+            h = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"), seed=seed) >> 1 for t in texts]
+            yield pa.record_batch([*batch.columns[:2], pa.array(sums, pa.float64()), pa.array(h, pa.int64())], names=[ID, ROW, "log_weight", "h"])
+
+    uniform = (F.pmod(F.xxhash64(F.col(ID), "h", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    numbered = docs.select(ID, F.monotonically_increasing_id().alias(ROW), TEXT)
+    keys = cut(map_text(numbered, run, f"{ID} long, {ROW} long, log_weight double, h long").withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
+    keys = keys.withColumn("tie", F.coalesce(F.col(ID), F.lit((1 << 63) - 1)))
+    return select_top(keys, "key", "tie", round(share * keys.count())).select(F.col(ID).alias("doc_id"), "log_weight", "key", "selected")

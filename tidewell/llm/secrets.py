@@ -9,11 +9,15 @@ decoded and reported only if it parses as
 * `ssh`  - a public key blob or private key container of length-prefixed strings
   that fill it exactly, with a known algorithm name;
 * `jwt`  - three dot-joined base64url parts whose header is a JSON object that
-  names an algorithm and whose payload is a JSON object.
-
-One pass over whole texts, no shuffle.  Nulls count as empty texts (no spans),
-repeated rows each get a row, an empty table gives an empty result; spans are in
-code points, end exclusive.
+  names an algorithm and whose payload is a JSON object;
+* `pem`  - a private key in PEM form whose headers say that it is encrypted and name a
+  cipher, and whose body decodes to whole cipher blocks.
+
+A run may be wrapped over lines.  One pass over whole texts, however long, no shuffle.
+Nulls count as empty texts (no spans), repeated rows each get a row, an empty table
+gives an empty result; spans are in code points, end exclusive, and of spans that start
+alike the kinds come as listed.  Further columns are neither read nor returned
+(mask_secrets returns them as they are, nulls included).
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from tidewell.llm.common import map_text, pick, text_batches
 
 Span = tuple[str, int, int]
-KINDS = ("assign", "access", "hex", "der", "ssh", "jwt")
+KINDS = ("assign", "access", "hex", "der", "ssh", "jwt", "pem")
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
@@ -44,6 +48,10 @@ HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 #: The body may be escaped as in JSON: line ends as \n, \r or \u000a, slashes as \/.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+(?:[nrt/]|u000[9aAdD]))+)-----END \1-----")
+#: PEM headers say how the body is encrypted: the body follows an empty line.
+LOCKED = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----\s*\n((?:[A-Za-z-]{1,30}: ?[^\n]{1,200}\n)+)\s*\n([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Runs of base64 on neighbouring lines, the last of which may be short.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40,}(?:\r?\n[ \t]*[A-Za-z0-9+/]+)+={0,2}")
 PEM_GAPS = re.compile(r"\\+(?:[nrt]|u000[9aAdD])|\\+(?=/)|\s+")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
 
@@ -155,6 +163,19 @@ def confirmed_spans(text: str) -> list[Span]:
             spans.add(("der", a, b))
         elif data and is_ssh_key(data):
             spans.add(("ssh", a, b))
+    if "\n" in text:
+        armoured = [(a, b) for a, b, _ in blocks if text[a:b].strip() != text[a:b] or "\\" in text[a:b]]
+        for m in WRAPPED.finditer(text):
+            if any(a <= m.start() and m.end() <= b for a, b in armoured):
+                continue
+            data = decode64(re.sub(r"\s+", "", m[0]))
+            if data and (is_der_key(data) or is_ssh_key(data)):
+                spans.add(("der" if is_der_key(data) else "ssh", m.start(), m.end()))
+    if "PRIVATE KEY-----" in text:
+        for m in LOCKED.finditer(text):
+            data = decode64(re.sub(r"\s+", "", m[3]))
+            if data and len(data) % 8 == 0 and "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]:
+                spans.add(("pem", m.start(3), m.end(3)))
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
@@ -208,7 +229,7 @@ def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str | None =
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _ in text_batches(batches, name=text_col):
             texts = batch.column(at).to_pylist()
             masked = [t and mask(t, base_spans(t) + confirmed_spans(t)) for t in texts]
             columns = list(batch.columns)

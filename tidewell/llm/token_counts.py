@@ -8,7 +8,9 @@ made.  Texts stream through one pass without a shuffle.
 
 Nulls count as empty texts (0 bytes, 0 tokens), repeated rows each get a row, an
 empty table gives an empty result, and a text's length is not limited: a piece
-of n bytes takes O(n log n).
+of n bytes takes O(n log n).  Of pairs of one rank the leftmost is merged first.
+Further columns are neither read nor returned.  A vocabulary whose file asks for another
+way to cut texts into pieces than the byte-level one is refused.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def byte_symbols() -> dict[int, str]:
 
 
 class PairMerger(dict):
-    """piece -> number of tokens; remembers at most `most` pieces."""
+    """piece -> number of tokens; remembers at most `most` pieces of up to 64 characters, which bounds its memory."""
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
         super().__init__()
@@ -49,6 +51,9 @@ class PairMerger(dict):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cutter = spec.get("pre_tokenizer") or {}
+        if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True) or spec.get("normalizer"):
+            raise ValueError(f"{path}: its texts are not cut in the byte-level way")
         vocab = spec["model"]["vocab"]
         self.first = [vocab[s] for _, s in sorted(byte_symbols().items())]
         #: Two symbols, the left one shifted, -> rank; by rank: both symbols and what they become.
@@ -66,9 +71,10 @@ class PairMerger(dict):
 
     def __missing__(self, piece: str) -> int:
         n = self.merge(piece.encode("utf-8"))
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = n
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = n
         return n
 
     def merge(self, data: bytes) -> int:

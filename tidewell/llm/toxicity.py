@@ -4,11 +4,12 @@ Two interpolated Kneser-Ney models over the characters of words, one of toxic an
 one of ordinary texts.  Only the highest order has counts of its own for each
 class; what it lacks comes from continuation counts that both share and that are
 gathered over *all* documents, so a rare expression is smoothed alike in both and
-only evidence separates them.  A word's evidence is its log-likelihood ratio where
-that exceeds `margin` nats, else 0 (words that say nothing must not add up), and a
-text's is the mean over its words: a length-normalised comparison of the two
-likelihoods.  Logistic calibration on labelled rows that the counts have not seen
-turns it into a score.
+only evidence separates them.  A passage's evidence is the difference of its two
+log-likelihoods, normalised by its length in words; passages are `passage` words and
+start at every word, and a text has the evidence of its most toxic one, since what makes
+a text toxic may be a few words of thousands.  A text shorter than that is one passage.
+Logistic calibration on labelled rows that the counts have not seen turns evidence
+into a score.
 
 All counts are exact: each gram and each context has its own 64-bit key and no two
 share a count, so the tables grow with what the corpus holds.  The class counts come
@@ -17,9 +18,11 @@ documents.  Where neither class has seen a context, both models give the shared
 and the ratio is 0, so only shared counts below contexts of the sample are gathered:
 every document's grams count, and none that can matter is left out.
 
-Nulls count as empty texts.  Texts without words have evidence 0 and get the lowest
-score.  Repeated rows each get a row, an empty table an empty result; without labels
-of both kinds every score is 0.
+Nulls count as empty texts.  Texts without words have evidence 0; very long texts are
+read whole.  Repeated rows each get a row, and equal texts equal scores, so there are no
+ties to break; an id with both labels counts as toxic, a row without an id has no label.
+An empty table gives an empty result; without labels of both kinds every score is 0.
+Further columns are neither read nor returned (drop_toxic returns them as they are).
 """
 
 from __future__ import annotations
@@ -33,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ID, TEXT, WORDS, crc_fold, keep_rows, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
+from tidewell.llm.common import ID, TEXT, WORDS, crc_fold, held_out, keep_rows, labelled_sample, map_text, mix64, pick, text_batches, to_pandas
 
-ORDER, DISCOUNT, MARGIN = 5, 0.75, 2.0
+ORDER, DISCOUNT, PASSAGE = 5, 0.75, 4
 UNSEEN = 1 / 256  # chance of a character below order 1
 find_words = re.compile(WORDS).findall
 
@@ -83,17 +86,18 @@ def top(keys: list[np.ndarray], pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Evidence(dict):
-    """word -> evidence in nats; remembers at most `most` words and works out new ones many at a time."""
+    """word -> log-likelihood ratio in nats; remembers words worth at most `most` characters and works out new ones many at a time."""
 
-    def __init__(self, model: dict[str, np.ndarray], most: int = 600_000) -> None:
+    def __init__(self, model: dict[str, np.ndarray], most: int = 5_000_000) -> None:
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.most, self.held = model, most, 0
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
+        if self.held > self.most:
             self.clear()
-            new = list(words)
+            self.held, new = 0, list(words)
+        self.held += sum(map(len, new))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.update(zip(part, self.ratio(part).tolist(), strict=True))
@@ -118,8 +122,7 @@ class Evidence(dict):
             total = m["total"][c][h]
             p = (np.maximum(np.where(g >= 0, m["count"][c][g], 0) - DISCOUNT, 0) + DISCOUNT * m["kinds"][c][h] * shared) / np.maximum(total, 1) if len(h) else shared
             logs.append(np.log(np.where(total > 0, p, shared)))
-        llr = np.bincount(np.cumsum(pos == 0)[at] - 1, logs[1] - logs[0], minlength=len(words))
-        return np.where(llr > MARGIN, llr - MARGIN, 0.0)
+        return np.bincount(np.cumsum(pos == 0)[at] - 1, logs[1] - logs[0], minlength=len(words))
 
 
 def tables(g: np.ndarray, h: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -209,41 +212,50 @@ def gather_classes(docs: DataFrame, sample: DataFrame) -> tuple[dict[str, np.nda
     return {"grams": g, "count": count, "contexts": h, "total": total, "kinds": kinds}, wanted
 
 
-def means(texts: list[str], known: Evidence) -> list[float]:
-    """Mean evidence of each text's words."""
+def most_toxic(ratios: np.ndarray, passage: int = PASSAGE) -> float:
+    """The highest mean of `passage` neighbouring words' ratios."""
+    if len(ratios) <= passage:
+        return float(ratios.mean()) if len(ratios) else 0.0
+    sums = np.cumsum(ratios)
+    return float(max(sums[passage - 1], (sums[passage:] - sums[:-passage]).max()) / passage)
+
+
+def passages(texts: list[str], known: Evidence, passage: int) -> list[float]:
+    """Evidence of each text's most toxic passage."""
     words = [find_words(t.lower()) for t in texts]
     known.learn(set().union(*words))
-    return [sum(map(known.__getitem__, w)) / len(w) if w else 0.0 for w in words]
+    return [most_toxic(np.fromiter(map(known.__getitem__, w), np.float64, len(w)), passage) for w in words]
 
 
-def evidence(docs: DataFrame, model: object, keep: str = "") -> DataFrame:
+def evidence(docs: DataFrame, model: object, passage: int = PASSAGE, keep: str = "") -> DataFrame:
     """(ID, evidence, and a column of `docs` named in `keep`) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Evidence(model.value)
         for batch, texts in text_batches(batches):
-            yield pa.record_batch([batch.column(0), pa.array(means(texts, known), pa.float64()), *([batch.column(batch.schema.get_field_index(keep))] if keep else [])], names=[ID, "evidence", *([keep] if keep else [])])
+            yield pa.record_batch([batch.column(0), pa.array(passages(texts, known, passage), pa.float64()), *([batch.column(batch.schema.get_field_index(keep))] if keep else [])], names=[ID, "evidence", *([keep] if keep else [])])
 
     return map_text(docs, run, f"{ID} long, evidence double" + (f", {keep} int" if keep else ""))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton's method with a slight pull to zero."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, by Newton's method with a slight pull to zero, on standardised evidence."""
+    weight = np.ones_like(x) if weight is None else weight
+    mean = np.average(x, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, weights=weight)) or 1.0
+    a = np.stack([(x - mean) / scale, np.ones_like(x)], axis=1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2), a.T @ (p - y) + 0.01 * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 0.01 * np.eye(2), a.T @ (weight * (p - y)) + 0.01 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-6)), float(w[1])
-
+    slope = max(w[0], 1e-6) / scale
+    return float(slope), float(w[1] - slope * mean)
 
-FLOOR = 0.01
 
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, label_id_col: str, per_class: int, seed: int) -> tuple[object, tuple[float, float] | None]:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, label_id_col: str, per_class: int, seed: int, passage: int = PASSAGE) -> tuple[object, tuple[float, float] | None]:
     """(broadcast model, logistic slope and offset or None without labels of both kinds) from `docs` (ID, TEXT).
 
     Learns from labels of ids whose crc32 modulo 4 is 0 or 1 (counts) or 3
@@ -255,9 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, label_id_col: str, p
     check = labelled_sample(labels, label_id_col, label_col, per_class, seed + 1, fold == 3)
     classes, wanted = gather_classes(docs, train)
     model = docs.sparkSession.sparkContext.broadcast(gather_shared(docs, wanted) | classes)
-    seen = to_pandas(evidence(docs.join(F.broadcast(check), ID).select(ID, TEXT, F.col("label").cast("int").alias("label")), model, "label"))
-    both = seen["label"].nunique() == 2
-    return model, calibrate(np.log(seen["evidence"].to_numpy() + FLOOR), seen["label"].to_numpy(float)) if both else None
+    seen = evidence(docs.join(F.broadcast(check), ID).select(ID, TEXT, F.col("label").cast("int").alias("label")), model, passage, "label")
+    seen = to_pandas(seen.groupBy("label", F.round("evidence", 3).alias("x")).agg(F.count("*").alias("n")))  # an id may repeat: counts, not rows
+    if seen["label"].nunique() < 2:
+        return model, None
+    return model, calibrate(seen["x"].to_numpy(float), seen["label"].to_numpy(float), seen["n"].to_numpy(float))
 
 
 def score_toxicity(
@@ -270,12 +284,13 @@ def score_toxicity(
     per_class: int = 15_000,
     threshold: float = 0.3,
     seed: int = 6,
+    passage: int = PASSAGE,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
     docs = pick(df, id_col, text_col)
-    model, curve = fit(docs, labels, label_col, label_id_col, per_class, seed)
-    score = 1 / (1 + F.exp(-(F.lit(curve[0]) * F.log(F.col("evidence") + FLOOR) + F.lit(curve[1])))) if curve else F.lit(0.0)
-    out = evidence(docs, model).select(F.col(ID).alias("doc_id"), (crc_fold(F.col(ID)) == 2).alias("held_out"), score.alias("score"))
+    model, curve = fit(docs, labels, label_col, label_id_col, per_class, seed, passage)
+    score = 1 / (1 + F.exp(-(F.lit(curve[0]) * F.col("evidence") + F.lit(curve[1])))) if curve else F.lit(0.0)
+    out = evidence(docs, model, passage).select(F.col(ID).alias("doc_id"), held_out(F.col(ID)).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -289,15 +304,20 @@ def drop_toxic(
     per_class: int = 15_000,
     threshold: float = 0.3,
     seed: int = 6,
+    passage: int = PASSAGE,
 ) -> DataFrame:
-    """`df` without the rows that score_toxicity() predicts to be toxic; its columns and other rows stay as they are."""
-    model, curve = fit(pick(df, id_col, text_col), labels, label_col, label_id_col, per_class, seed)
+    """`df` without the rows that score_toxicity() predicts to be toxic; its columns and other rows stay as they are.
+
+    Rows that repeat, or have no id or text, are kept or dropped by their text alone; without
+    labels of both kinds all rows stay.
+    """
+    model, curve = fit(pick(df, id_col, text_col), labels, label_col, label_id_col, per_class, seed, passage)
     if not curve:
         return df
-    most = np.exp((np.log(threshold / (1 - threshold)) - curve[1]) / curve[0]) - FLOOR  # evidence at the threshold
+    most = (np.log(threshold / (1 - threshold)) - curve[1]) / curve[0]  # evidence at the threshold
 
     def start() -> object:
         known = Evidence(model.value)
-        return lambda texts: [x < most for x in means(texts, known)]
+        return lambda texts: [x < most for x in passages(texts, known, passage)]
 
     return keep_rows(df, text_col, start)
