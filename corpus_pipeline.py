@@ -2,6 +2,11 @@
 
 run() writes every stage's documents as Parquet into the folder that all executors
 share and reads them again, so a stage that is lost starts from its predecessor's files.
+
+Every stage takes each row as a document of its own: ids may repeat or be null, texts may
+be null, empty or very long, and further columns pass through.  A null or empty text is
+never toxic, near to another, or a leak; it has no secrets and size 0, so the mix leaves
+it out.  Equal rows leave one.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates one document stays, one with the group's smallest id."""
     return near_duplicates.keep_one(docs)
 
 
@@ -45,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Model scores and MinHash candidates are not SQL; the tests hold run() against a brute-force version.
+#: Model scores and MinHash candidates are not SQL; tests/llm/test_pipeline.py holds run() against plain Python on planted cases.
 ORACLE_SQL = None
 
 

@@ -1,13 +1,14 @@
 """Small literal cases of the memory operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidewell import model
-from tidewell.functions import chunking
+from tidewell.functions import chunking, errors
 from tidewell.functions import scoring as S
 from tidewell.functions import text as T
 from tidewell.functions import vector as V
@@ -151,8 +152,37 @@ def test_knn_batch_equals_numpy(spark):
 def test_similar_pairs_do_not_depend_on_blocks(spark):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(str(i), "g", v.tolist()) for i, v in enumerate(rng.normal(size=(60, 3)))], "id string, grp string, vector array<float>")
-    pairs = lambda block: {tuple(sorted((r["a"], r["b"]))) for r in lifecycle.similar_pairs(df, 0.9, ["grp"], block).collect()}
-    assert pairs(1000) == pairs(7) and len(pairs(7)) > 3
+    links = lambda block: {r["id"]: r["links"] for r in lifecycle.similar_links(df, 0.9, ["grp"], block).collect()}
+    m = np.array([r["vector"] for r in df.collect()])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    n = (m @ m.T >= 0.9).sum(axis=1) - 1
+    assert links(1000) == links(7) == {str(i): k for i, k in enumerate(n) if k}
+    best = lambda block: [(r["a"], r["b"]) for r in lifecycle.best_pairs(df, 0.5, ["grp"], 9, block).collect()]
+    assert best(1000) == best(7) and len(best(7)) == 9
+
+
+def test_redaction_equals_plain_patterns(spark):
+    secret = "sk-ant-" + "a1" * 10
+    texts = [f"key {secret} and api_key = {'x' * 24}", "password: hunter2hunter2", "https://u:p4ss@h.org/x", "Bearer " + "t" * 30, "nothing here", "card 4111 1111 1111 1111 or 4111 1111 1111 1112", "Cookie: a=b; c=d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(T.redact(F.col("t"))).collect()]
+    for t, out in zip(texts, got, strict=True):
+        want = t
+        for kind, _, pattern, scrub in T.PII_RULES:
+            if scrub:
+                want = re.sub(pattern, lambda m, kind=kind: (m[1] or "") + f"[REDACTED:{kind}]" + ("@" if kind == "uri_credentials" else ""), want)
+        assert out == want.replace("4111 1111 1111 1111", "[REDACTED:credit_card]")
+    assert "[REDACTED:anthropic_key]" in got[0] and got[4] == texts[4]
+
+
+def test_error_signatures_and_entities(spark):
+    t = "Run failed.\nTypeError: x is not a function\nxmlsec1 not found\nfailed\ntypeerror: X is not a function\nHTTP 502 Bad Gateway"
+    rows = spark.createDataFrame([(t,), ("all is well",), ("失败了",), (None,)], "t string").select(errors.error_signatures(F.col("t")).alias("s")).collect()
+    assert rows[0]["s"][0] == "TypeError: x is not a function" and {"xmlsec1 not found", "502 Bad Gateway"} <= set(rows[0]["s"]) and len(rows[0]["s"]) <= 4
+    assert rows[1]["s"] == [] and rows[2]["s"] == []
+    q = spark.createDataFrame([("What does Alice use with 'data lake' and DataLake?",), ("who manages Berlin",)], "q string")
+    got = q.select(errors.query_entities(F.col("q")).alias("e"), errors.hop_predicate(F.col("q")).alias("p"), errors.query_entities(F.col("q"), ["alice"]).alias("k")).collect()
+    assert got[0]["e"][:2] == ["Data Lake", "Alice"] and got[0]["p"] == "uses" and got[0]["k"] == ["alice"] and got[1]["p"] == "manages" and got[1]["k"] == ["Berlin"]
 
 
 def test_supersede_is_idempotent(spark):

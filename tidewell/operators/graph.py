@@ -19,9 +19,18 @@ PREDICATE_WEIGHT = {
 
 
 def shared_path(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir; only where it has none, one on this machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/tidewell-checkpoints/{spark.sparkContext.applicationId}"
-    return where.rstrip("/")
+    """A folder of this application that all executors share, below the session's spark.checkpoint.dir; it goes when the driver ends.
+
+    Only a session on a single machine may have none (as in tests): then it is one on this machine.
+    """
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not where and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    where = f"{(where or '/tmp/tidewell-checkpoints').rstrip('/')}/tidewell-{sc.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -79,10 +88,11 @@ def pagerank(edge: DataFrame, seeds: DataFrame, damping: float = 0.85, iteration
         moved = scores.join(flow, scores["entity"] == flow["src"]).select(F.col("dst").alias("entity"), (F.col("rank_score") * F.col("p") * damping).alias("s"))
         back = restart.select("entity", (F.col("rank_score") * (1 - damping)).alias("s"))
         fresh = materialise(moved.unionByName(back).groupBy("entity").agg(F.sum("s").alias("rank_score")))
-        change = fresh.select("entity", F.col("rank_score").alias("s")).join(scores, "entity", "full_outer").agg(F.max(F.abs(F.coalesce("s", F.lit(0.0)) - F.coalesce("rank_score", F.lit(0.0))))).first()[0]
-        scores = fresh
-        if change < tolerance:
-            break
+        last, scores = scores, fresh
+        if tolerance > 0:
+            step = fresh.select("entity", F.col("rank_score").alias("s")).join(last, "entity", "full_outer")
+            if step.agg(F.max(F.abs(F.coalesce("s", F.lit(0.0)) - F.coalesce("rank_score", F.lit(0.0))))).first()[0] < tolerance:
+                break
     return scores
 
 

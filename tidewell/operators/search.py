@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,78 +15,132 @@ from tidewell.functions import vector as V
 from tidewell.functions.text import tokens
 
 MOST = 20  # results of one search
-QUERY_BLOCK_BYTES = 64_000_000
+QUERY_BLOCK_BYTES = 16_000_000
+WORK_CELLS = 4_000_000  # query-row products that a task holds at once
 
 
 def knn(df: DataFrame, vector: list[float], k: int = MOST, min_score: float = 0.0, where: Column | None = None) -> DataFrame:
-    """K1: exact cosine top k for one query vector; filters come before ranking.
+    """K1: (id, cos, score) of the exact cosine top k for one query vector; filters come before ranking.
 
-    The query is a literal, so the plan is a filtered scan, a projection and a top k: no
-    join and no shuffle beyond k rows of each task.
+    A filtered scan, a product in Arrow batches and a top k: no join, and no shuffle beyond k rows of each task.
     """
     if where is not None:
         df = df.where(where)
-    q = F.array(*(F.lit(float(x)) for x in vector))
-    scored = df.withColumn("cos", V.cosine("vector", q)).withColumn("score", S.clamp01(V.score_of_cosine(F.col("cos"))))
-    return scored.where(F.col("score") >= min_score).orderBy(F.col("score").desc(), "id").limit(k)
+    block = df.sparkSession.sparkContext.broadcast(([""], _unit(np.array([vector], dtype=np.float64))))
+    near = df.select("id", "vector").mapInArrow(_nearest(block, k, False), "query_id string, id string, cos double")
+    return near.withColumn("score", S.clamp01(V.score_of_cosine(F.col("cos")))).where(F.col("score") >= min_score).orderBy(F.col("score").desc(), "id").limit(k).drop("query_id")
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int = MOST, id_col: str = "id", vector_col: str = "vector", not_itself: bool = True) -> DataFrame:
-    """(query_id, id, cos) of the k nearest rows of every query.
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1)
 
-    Queries (query_id, query_vector) are collected in blocks of at most
-    QUERY_BLOCK_BYTES and each block is broadcast: a task multiplies its rows with the
-    block as matrices and keeps k rows for each query, so the shuffle carries at most
-    tasks x queries x k rows, whatever the table's size.
-    """
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("vector"))
+
+def _blocks(queries: DataFrame) -> Iterator[object]:
+    """Broadcasts of (ids, unit vectors) of the queries (query_id, query_vector), each of at most QUERY_BLOCK_BYTES."""
     first = queries.select("query_vector").first()
     if first is None or not first[0]:
-        return df.sparkSession.createDataFrame([], "query_id string, id string, cos double")
-    dim = len(first[0])
-    per_block = max(1, QUERY_BLOCK_BYTES // (8 * dim))
-    n = queries.count()
-    blocks = -(-n // per_block)
-    out = None
+        return
+    blocks = -(-queries.count() * 8 * len(first[0]) // QUERY_BLOCK_BYTES)
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         table = part.select(F.col("query_id").cast("string"), "query_vector").toArrow()
         ids = table.column(0).to_pylist()
-        m = np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), dim)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        block = df.sparkSession.sparkContext.broadcast((ids, m / np.where(norms > 0, norms, 1)))
-        found = rows.mapInArrow(_nearest(block, k, not_itself), "query_id string, id string, cos double")
+        yield queries.sparkSession.sparkContext.broadcast((ids, _unit(np.array(table.column(1).to_pylist(), dtype=np.float64).reshape(len(ids), len(first[0])))))
+
+
+def _per_block(df: DataFrame, queries: DataFrame, f: Callable[[object], object], schema: str, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    rows, out = df.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("vector")), None
+    for block in _blocks(queries):
+        found = rows.mapInArrow(f(block), schema)
         out = found if out is None else out.unionByName(found)
+    return df.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def knn_batch(df: DataFrame, queries: DataFrame, k: int = MOST, id_col: str = "id", vector_col: str = "vector", not_itself: bool = True) -> DataFrame:
+    """(query_id, id, cos, rank) of the k nearest rows of every query.
+
+    Queries (query_id, query_vector) are collected in blocks of at most
+    QUERY_BLOCK_BYTES and each block is broadcast: a task multiplies its rows with the
+    block as matrices and keeps k rows for each query, so the shuffle carries at most
+    tasks x queries x k rows, whatever the table's size.
+    """
+    out = _per_block(df, queries, lambda block: _nearest(block, k, not_itself), "query_id string, id string, cos double", id_col, vector_col)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("cos").desc(), "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def within(df: DataFrame, queries: DataFrame, least_cos: float) -> DataFrame:
+    """(query_id, id, cos) of every row at least that near to a query; a row is not near to itself.  No k cuts the list."""
+
+    def f(block: object) -> object:
+        def pick(ids: list[str], names: list[str], cos: np.ndarray) -> tuple:
+            i, j = np.nonzero(cos >= least_cos)
+            return [ids[x] for x in i], [names[x] for x in j], cos[i, j]
+
+        return _products(block, pick)
+
+    return _per_block(df, queries, f, "query_id string, id string, cos double")
+
+
+def nearest_query(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, cos): for every row how near the nearest query is, itself left out."""
+
+    def f(block: object) -> object:
+        def pick(ids: list[str], names: list[str], cos: np.ndarray) -> tuple:
+            best = cos.max(axis=0)
+            at = np.flatnonzero(np.isfinite(best))
+            return [""] * len(at), [names[x] for x in at], best[at]
+
+        return _products(block, pick)
+
+    return _per_block(df, queries, f, "query_id string, id string, cos double").groupBy("id").agg(F.max("cos").alias("cos"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], ids: list[str], q: np.ndarray, not_itself: bool) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(row ids, cosines by query and row) of as many rows at a time as WORK_CELLS allows."""
+    same = {x: i for i, x in enumerate(ids)} if not_itself else {}
+    step = max(16, WORK_CELLS // max(len(ids), 1))
+    for batch in batches:
+        names, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        good = [i for i, v in enumerate(vectors) if v is not None and len(v) == q.shape[1]]
+        for a in range(0, len(good), step):
+            part = good[a : a + step]
+            cos = q @ _unit(np.array([vectors[i] for i in part], dtype=np.float64)).T
+            for j, i in enumerate(part):
+                if names[i] in same:
+                    cos[same[names[i]], j] = -np.inf
+            yield [names[i] for i in part], cos
+
+
+def _products(block: object, pick: Callable) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = block.value
+        for names, cos in _parts(batches, ids, q, True):
+            a, b, c = pick(ids, names, cos)
+            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["query_id", "id", "cos"])
+
+    return run
+
+
 def _nearest(block: object, k: int, not_itself: bool) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = block.value
-        same = {x: i for i, x in enumerate(ids)}
         best_cos, best_id = np.full((len(ids), k), -np.inf), np.full((len(ids), k), None, dtype=object)
-        for batch in batches:
-            names, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [i for i, v in enumerate(vectors) if v is not None and len(v) == q.shape[1]]
-            for a in range(0, len(good), 2048):
-                part = good[a : a + 2048]
-                m = np.array([vectors[i] for i in part], dtype=np.float64)
-                norm = np.linalg.norm(m, axis=1)
-                cos = q @ (m / np.where(norm > 0, norm, 1)[:, None]).T
-                if not_itself:
-                    for j, i in enumerate(part):
-                        if names[i] in same:
-                            cos[same[names[i]], j] = -np.inf
-                label = np.array([names[i] for i in part], dtype=object)
-                every = np.concatenate([best_cos, cos], axis=1)
-                tags = np.concatenate([best_id, np.broadcast_to(label, cos.shape)], axis=1)
-                top = np.argpartition(-every, k - 1, axis=1)[:, : 2 * k] if every.shape[1] > 4 * k else np.broadcast_to(np.arange(every.shape[1]), every.shape)
-                edge = np.sort(every, axis=1)[:, -k][:, None]
-                for i in range(len(ids)):  # ties at the edge go to the smaller id
-                    at = np.flatnonzero(every[i] >= edge[i]) if every.shape[1] > k else top[i]
-                    order = sorted(at, key=lambda x, i=i: (-every[i, x], tags[i, x] or ""))[:k]
-                    best_cos[i, : len(order)], best_id[i, : len(order)] = every[i, order], tags[i, order]
+        for names, cos in _parts(batches, ids, q, not_itself):
+            every = np.concatenate([best_cos, cos], axis=1)
+            label = np.array([None] * k + names, dtype=object)
+            edge = np.partition(every, -k, axis=1)[:, -k][:, None]
+            inside = every >= edge
+            count = inside.sum(axis=1)
+            for i in np.flatnonzero((count > k) | ((cos >= edge) & np.isfinite(cos)).any(axis=1)):  # others keep what they have
+                at = np.flatnonzero(inside[i] & np.isfinite(every[i]))
+                tags = [best_id[i, x] if x < k else label[x] for x in at]
+                if len(at) > k:  # ties at the edge go to the smaller id
+                    order = sorted(range(len(at)), key=lambda x: (-every[i, at[x]], tags[x]))[:k]
+                    at, tags = at[order], [tags[x] for x in order]
+                best_cos[i], best_id[i] = -np.inf, None
+                best_cos[i, : len(at)], best_id[i, : len(at)] = every[i, at], tags
         i, j = np.nonzero(np.isfinite(best_cos))
         yield pa.record_batch([pa.array([ids[x] for x in i], pa.string()), pa.array(best_id[i, j].tolist(), pa.string()), pa.array(best_cos[i, j])], names=["query_id", "id", "cos"])
 
@@ -94,21 +148,22 @@ def _nearest(block: object, k: int, not_itself: bool) -> object:
 
 
 def postings(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, length): the inverted index, ready to be written bucketed by term."""
-    t = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    return t.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf, length): the inverted index, to be written once, sorted by term.  A row without a term carries each text's length."""
+    t = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    terms = F.concat(F.array(F.lit(None).cast("string")), "t")
+    return t.select("id", F.size("t").alias("length"), F.explode(terms).alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(index: DataFrame, queries: DataFrame, k: int = MOST, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """K2: (query_id, id, raw, score, rank) by BM25 over `postings`; `queries` is (query_id, query).
+    """K2: (query_id, id, raw, score, rank) by BM25 over written `postings`; `queries` is (query_id, query).
 
-    Only the postings of the queries' terms are scored; score is the raw sum through a sigmoid.
+    The queries' terms come first: only their postings are counted and scored.  score is the raw sum through a sigmoid.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    lengths = index.groupBy("id").agg(F.first("length").alias("length"))
-    n = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    hit = index.join(terms, "term").join(df, "term").crossJoin(F.broadcast(n))  # n is one row
+    n = index.where("term is null").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    some = index.where("term is not null").join(terms.select("term").distinct(), "term", "left_semi")
+    df = some.groupBy("term").agg(F.count("*").alias("df"))
+    hit = some.join(df, "term").join(terms, "term").crossJoin(F.broadcast(n))  # n is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = hit.withColumn("part", part).groupBy("query_id", "id").agg(F.sum("part").alias("raw"))

@@ -98,13 +98,21 @@ def bulk_delete(old: DataFrame, scopes: list[str] | None = None, before: int | N
 
 
 def replace_table(spark: object, path: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Write `change` of the table at `path` beside it, then swap the two directories."""
-    fresh = f"{path.rstrip('/')}.next"
-    change(spark.read.parquet(path)).write.mode("overwrite").parquet(fresh)
+    """Write `change` of the table at `path` beside it, then swap the two directories.
+
+    The old one is moved aside before the new one takes its place and deleted last, so a
+    crash leaves one of the two whole; a table found only aside is moved back first.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
-    fs, target, source = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop.Path(path), hadoop.Path(fresh)
-    fs.delete(target, True)
-    fs.rename(source, target)
+    target, fresh, old = (hadoop.Path(path.rstrip("/") + end) for end in ("", ".next", ".old"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target) and fs.exists(old):
+        fs.rename(old, target)
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path.rstrip('/')}.next")
+    fs.delete(old, True)
+    fs.rename(target, old)
+    fs.rename(fresh, target)
+    fs.delete(old, True)
     return spark.read.parquet(path)
 
 

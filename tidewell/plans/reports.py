@@ -51,7 +51,7 @@ REPORTS: dict[str, str] = {
     "J12_orphan_links": "SELECT n.id, n.consolidated_into FROM {notes} n LEFT JOIN {notes} t ON n.consolidated_into = t.id WHERE n.consolidated_into IS NOT NULL AND t.id IS NULL",
     "J13_point_in_time": f"SELECT id FROM {{notes}} WHERE coalesce(valid_from, ts) <= {NOW - 3 * DAY} AND coalesce(valid_until, {NOW * 2}) >= {NOW - 3 * DAY}",
     "J14_topic_coverage": f"SELECT q.topic FROM (SELECT DISTINCT topic FROM {{memories}}) q WHERE NOT EXISTS (SELECT 1 FROM {{memories}} m WHERE m.topic = q.topic AND m.ts >= {NOW - 4 * DAY})",
-    "J16_cue_scope": "SELECT cue, min(scope_root) AS scope FROM (SELECT c.cue, n.scope_root FROM {notes} n JOIN (SELECT 'idiot' AS cue UNION ALL SELECT 'AKIA' UNION ALL SELECT 'Apache' UNION ALL SELECT 'token') c ON n.text LIKE concat('%', c.cue, '%') WHERE n.i < 60) h GROUP BY cue HAVING count(DISTINCT scope_root) = 1",
+    "J16_cue_scope": "SELECT cue, min(scope_root) AS scope, count(DISTINCT scope_root) AS scopes, CASE WHEN count(DISTINCT scope_root) = 1 THEN 1 ELSE 0 END AS decides FROM (SELECT c.cue, n.scope_root FROM {notes} n JOIN (SELECT 'idiot' AS cue UNION ALL SELECT 'AKIA' UNION ALL SELECT 'Apache' UNION ALL SELECT 'token') c ON n.text LIKE concat('%', c.cue, '%')) h GROUP BY cue",
     # aggregates
     "A1_grouping_sets": "SELECT scope, category, count(*) AS n FROM {notes} GROUP BY GROUPING SETS ((scope), (category), ())",
     "A2_legacy_audit": "SELECT count(*) AS total, sum(CASE WHEN scope IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN scope = '' THEN 1 ELSE 0 END) AS empty_scope, sum(CASE WHEN scope = 'global' THEN 1 ELSE 0 END) AS global_scope, max(ts) AS newest FROM {notes}",
@@ -80,7 +80,7 @@ REPORTS: dict[str, str] = {
     "W4_budget": "SELECT scope, id, chars FROM (SELECT scope, id, sum(length(text)) OVER (PARTITION BY scope ORDER BY importance DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, i) AS rn FROM {notes}) b WHERE chars <= 8000 OR rn = 1",
     "O4_priority_sort": "SELECT id, category, importance FROM {notes} ORDER BY category, importance DESC, i LIMIT 50",
     "O2_omitted": "SELECT scope, count(*) - least(count(*), 20) AS omitted FROM {notes} GROUP BY scope",
-    "U4_jaccard": "SELECT a.source_memory_id AS a, b.source_memory_id AS b, round(count(*) / CAST(a.n + b.n - count(*) AS DOUBLE), 6) AS jaccard FROM (SELECT t.source_memory_id, t.object, c.n FROM (SELECT DISTINCT source_memory_id, object FROM {triples}) t JOIN (SELECT source_memory_id, count(DISTINCT object) AS n FROM {triples} GROUP BY source_memory_id) c ON t.source_memory_id = c.source_memory_id) a JOIN (SELECT t.source_memory_id, t.object, c.n FROM (SELECT DISTINCT source_memory_id, object FROM {triples}) t JOIN (SELECT source_memory_id, count(DISTINCT object) AS n FROM {triples} GROUP BY source_memory_id) c ON t.source_memory_id = c.source_memory_id) b ON a.object = b.object AND a.source_memory_id < b.source_memory_id WHERE a.n >= 2 AND b.n >= 2 GROUP BY a.source_memory_id, b.source_memory_id, a.n, b.n",
+    "U4_jaccard": "SELECT a.source_memory_id AS a, b.source_memory_id AS b, round(count(*) / CAST(a.n + b.n - count(*) AS DOUBLE), 6) AS jaccard FROM (SELECT t.source_memory_id, t.object, c.n FROM (SELECT DISTINCT source_memory_id, object FROM {triples}) t JOIN (SELECT source_memory_id, count(DISTINCT object) AS n FROM {triples} GROUP BY source_memory_id) c ON t.source_memory_id = c.source_memory_id) a JOIN (SELECT t.source_memory_id, t.object, c.n FROM (SELECT DISTINCT source_memory_id, object FROM {triples}) t JOIN (SELECT source_memory_id, count(DISTINCT object) AS n FROM {triples} GROUP BY source_memory_id) c ON t.source_memory_id = c.source_memory_id) b ON a.object = b.object AND a.source_memory_id <> b.source_memory_id AND CAST(a.source_memory_id AS BIGINT) % 100 = 0 WHERE a.n >= 2 AND b.n >= 2 GROUP BY a.source_memory_id, b.source_memory_id, a.n, b.n",
     "U5_entities": "SELECT subject AS entity FROM {triples} UNION SELECT object FROM {triples}",
     "U6_edge_dedup": "SELECT DISTINCT subject, predicate, object FROM {triples}",
     "U7_except": "SELECT id FROM {notes} EXCEPT SELECT id FROM {memories}",
@@ -114,18 +114,18 @@ REPORTS: dict[str, str] = {
     "T30_template": "SELECT id, concat('Pattern: ', category, ' | scope ', scope, ' | used ', CAST(access_count AS STRING), ' times') AS text FROM {notes} WHERE category = 'patterns'",
     "X2_useful": "SELECT id FROM {notes} WHERE (coalesce(authority, '') = 'structured' AND category IN ('cases', 'patterns')) OR (category <> 'cases' AND layer = 'durable') OR (category = 'cases' AND length(text) >= 80 AND importance >= 0.70 AND text LIKE '%the%')",
     "X5_workflow_fallback": "SELECT scope, workflow_id, round(4 * max(CASE WHEN signal IS NOT NULL THEN 1 ELSE 0 END) + count(*) / CAST(10 AS DOUBLE) + max(CASE WHEN outcome = 'failure' THEN 2 ELSE 0 END), 6) AS score FROM {observations} GROUP BY scope, workflow_id",
-    "X7_pins": "SELECT id, round(2 * hits + 3 * own - 0.01 * position, 6) AS score FROM (SELECT id, CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%token%' THEN 1 ELSE 0 END AS hits, CASE WHEN scope_root = 'src1' THEN 1 ELSE 0 END AS own, row_number() OVER (ORDER BY ts DESC, i) - 1 AS position FROM {notes} WHERE tier = 'core') p WHERE 2 * hits + 3 * own > 0",
+    "X7_pins": "SELECT id, round(2 * hits + 3 * own - 0.01 * position, 6) AS score FROM (SELECT id, CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%token%' THEN 1 ELSE 0 END AS hits, CASE WHEN scope_root = 'src1' THEN 1 ELSE 0 END AS own, row_number() OVER (ORDER BY ts DESC, i) - 1 AS position FROM (SELECT id, text, scope_root, ts, i FROM {notes} WHERE tier = 'core' ORDER BY ts DESC, i LIMIT 200) newest) p WHERE 2 * hits + 3 * own > 0",
     "G10_orient": "SELECT scope, count(*) AS total, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS active, max(ts) AS newest, CASE WHEN count(*) >= 10 THEN 'run' ELSE 'skip' END AS decision FROM {notes} GROUP BY scope",
     "G14_forget_scope": "SELECT t.subject, t.predicate, t.object FROM {triples} t LEFT JOIN {notes} n ON n.id = t.source_memory_id AND n.scope_root = 'src1' WHERE n.id IS NULL",
     "G21_skill_scan": "SELECT topic, size, round(importance, 6) AS importance, reads FROM (SELECT topic, count(*) AS size, avg(importance) AS importance, sum(access_count) AS reads FROM {memories} WHERE category IN ('cases', 'patterns') GROUP BY topic) c WHERE size >= 3 AND importance >= 0.5",
     "G27_graph_edges": "SELECT source, target, kind FROM (SELECT id AS source, superseded_by AS target, 'evolution' AS kind FROM {notes} WHERE superseded_by IS NOT NULL UNION ALL SELECT id, consolidated_into, 'consolidation' FROM {notes} WHERE consolidated_into IS NOT NULL UNION ALL SELECT id, lead(id) OVER (PARTITION BY version_group ORDER BY confidence DESC, i), 'version' FROM {notes} WHERE version_group IS NOT NULL) e WHERE target IN (SELECT id FROM {notes})",
     "G28_conflict_fingerprint": "SELECT md5(concat(canonical_key, '/', category)) AS fingerprint, count(*) AS n, CASE WHEN max(access_count) >= 8 THEN 'escalated' WHEN max(ts) < 1706140800000 THEN 'stale' WHEN max(ts) < 1706572800000 THEN 'aging' ELSE 'fresh' END AS attention FROM {notes} GROUP BY canonical_key, category HAVING count(*) > 1",
-    "G29_conflict_advice": "SELECT a.id AS existing, b.id AS incoming, CASE WHEN a.text = b.text THEN 'keep' WHEN b.confidence > a.confidence + 0.2 THEN 'accept' WHEN a.confidence > b.confidence + 0.2 THEN 'keep' ELSE 'manual' END AS advice FROM {notes} a JOIN {notes} b ON a.canonical_key = b.canonical_key AND a.i < b.i",
+    "G29_conflict_advice": "SELECT existing, id AS incoming, CASE WHEN text = t0 THEN 'keep' WHEN confidence > c0 + 0.2 THEN 'accept' WHEN c0 > confidence + 0.2 THEN 'keep' ELSE 'manual' END AS advice FROM (SELECT n.id, n.i, n.text, n.confidence, f.id AS existing, f.i AS i0, f.text AS t0, f.confidence AS c0 FROM {notes} n JOIN (SELECT canonical_key, min(i) AS first FROM {notes} GROUP BY canonical_key HAVING count(*) > 1) k ON n.canonical_key = k.canonical_key JOIN {notes} f ON f.i = k.first) x WHERE i <> i0",
     "G34_stage_trace": "SELECT 'active' AS stage, count(*) AS rows_in, sum(CASE WHEN status IN ('active', 'pending_review') THEN 1 ELSE 0 END) AS rows_out FROM {notes} UNION ALL SELECT 'min_score', sum(CASE WHEN status IN ('active', 'pending_review') THEN 1 ELSE 0 END), sum(CASE WHEN status IN ('active', 'pending_review') AND importance >= 0.4 THEN 1 ELSE 0 END) FROM {notes}",
     "R5_dream_trigger": "SELECT scope, count(*) AS writes FROM {observations} WHERE outcome <> 'failure' GROUP BY scope HAVING count(*) >= 10",
     # lifecycle as relations
     "G12_retention": f"SELECT id, CASE WHEN {_AGE} > 25 THEN 'age' ELSE 'count' END AS reason FROM (SELECT id, ts, row_number() OVER (PARTITION BY scope ORDER BY ts DESC, i) AS rn FROM {{notes}} WHERE status <> 'archived') r WHERE {_AGE} > 25 OR rn > 10",
-    "G16_singletons": "SELECT version_group FROM {notes} WHERE version_group IS NOT NULL AND i % 176 = 0 GROUP BY version_group HAVING count(*) = 1",
+    "G16_singletons": "SELECT n.id, CASE WHEN g.n = 1 THEN 'clear' ELSE 'keep' END AS repair FROM {notes} n JOIN (SELECT canonical_key, category, count(*) AS n FROM {notes} GROUP BY canonical_key, category) g ON n.canonical_key = g.canonical_key AND n.category = g.category",
     "G22_skill_outcomes": "SELECT workflow_id, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM {observations} GROUP BY workflow_id",
     "G35_duplicate_ids": "SELECT id FROM (SELECT id FROM {notes} UNION ALL SELECT id FROM {memories}) u GROUP BY id HAVING count(*) > 1",
     "G26_checkup": f"SELECT 'orphans' AS check_name, count(*) AS n FROM {{notes}} WHERE scope IS NULL OR trim(scope) = '' UNION ALL SELECT 'core', count(*) FROM (SELECT {_TIER} AS t FROM {{notes}}) x WHERE t = 'core' UNION ALL SELECT 'unranked_groups', count(DISTINCT version_group) FROM {{notes}} WHERE version_group IS NOT NULL AND confidence < 0.1 UNION ALL SELECT 'bad_dimension', count(*) FROM {{memories}} WHERE cardinality(vector) <> 64 UNION ALL SELECT 'cold', count(*) FROM {{notes}} WHERE access_count >= 6 AND evo_access_count <= 0 UNION ALL SELECT 'open_conflicts', count(*) FROM (SELECT canonical_key FROM {{notes}} WHERE status = 'active' GROUP BY canonical_key HAVING count(*) > 1) c UNION ALL SELECT 'stale_sources', count(*) FROM (SELECT scope_root FROM {{notes}} GROUP BY scope_root HAVING max(ts) < {NOW - 7 * DAY}) s UNION ALL SELECT 'singleton_groups', count(*) FROM (SELECT version_group FROM {{notes}} WHERE version_group IS NOT NULL GROUP BY version_group HAVING count(*) = 1) v",
