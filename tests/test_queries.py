@@ -45,4 +45,5 @@ def test_query(spark, duck, name):
 
 
 def test_rows_only(spark):
-    assert QUERIES["K9_vector_pipeline"](spark, DATA).count() == 200
+    queries = spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 100 = 0").count()
+    assert QUERIES["K9_vector_pipeline"](spark, DATA).count() == 10 * queries > 0  # ten results for every hundredth vector
