@@ -88,7 +88,7 @@ def brief(hits: DataFrame, query: str, profile: str, created: str, summary: str)
     lines = F.concat_ws(
         "\n",
         F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), title), F.lit(""), F.concat(F.lit("- Memory ID: "), "id"), F.concat(F.lit("- Scope: "), "scope"),
-        F.concat(F.lit("- Score: "), F.format_number(F.col("score") * 100, "0"), F.lit("%")), F.concat(F.lit("- Date: "), F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit(""), "text", F.lit(""),
+        F.concat(F.lit("- Score: "), F.round(F.col("score") * 100).cast("int").cast("string"), F.lit("%")), F.concat(F.lit("- Date: "), F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit(""), "text", F.lit(""),
     )
     first = hits.sparkSession.createDataFrame([(0, head)], "n int, value string")
     return first.unionByName(hits.select(F.col("rank").cast("int").alias("n"), lines.alias("value")))
