@@ -19,7 +19,7 @@ def _add(name: str, build: Callable[[DataFrame], DataFrame], mode: str, sql: str
 
 _add("R1_write_rate", jobs.write_rate, "complete", "SELECT user_id, CAST(epoch(s) AS BIGINT) AS start_s, count(*) AS n FROM (SELECT user_id, unnest([to_timestamp(floor(epoch(ts) / 10) * 10 - 10 * k) FOR k IN range(6)]) AS s FROM events) x GROUP BY user_id, s", ["user_id", "unix_seconds(start) AS start_s", "n"])
 _add("R1_rate_limiter", lambda e: jobs.rate_limiter(e, 3, 86_400.0), "append", None, ["*"])
-_add("R2_reinforcement", jobs.access_reinforcement, "complete", "SELECT event_id % 100 AS id, CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS start_s, count(*) AS raw FROM events GROUP BY 1, 2", ["id", "unix_seconds(start) AS start_s", "raw"])
+_add("R2_reinforcement", lambda e: jobs.access_reinforcement(e, 3), "append", "WITH RECURSIVE e AS (SELECT event_id, event_id % 3 AS id, ts FROM events), c AS (SELECT id, min(ts) AS ts FROM e GROUP BY id UNION ALL SELECT c.id, min(e.ts) FROM c JOIN e ON e.id = c.id AND e.ts >= c.ts + INTERVAL 300 SECOND GROUP BY c.id) SELECT e.id, e.event_id, c.ts IS NOT NULL AS counted FROM e LEFT JOIN c USING (id, ts)", ["*"])
 _add("R3_hit_counters", jobs.hit_counters, "complete", "SELECT event_id % 100 AS id, count(*) AS hits, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1", ["id", "hits", "unix_micros(cast(last_hit AS timestamp)) AS last_us"])
 _add("R4_once_per_session", jobs.once_per_session, "append", None, ["*"])
 _add("R6_heartbeats", jobs.heartbeats, "complete", "SELECT event_type AS source, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1", ["source", "unix_micros(cast(last AS timestamp)) AS last_us"])

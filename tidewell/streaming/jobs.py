@@ -42,23 +42,27 @@ def limit_rate(times: list[float], held: list[float], most: int, seconds: float)
     return out, held
 
 
-def rate_limiter(events: DataFrame, most: int = 50, seconds: float = 60.0) -> DataFrame:
-    """R1, W7 exactly: only accepted writes count, so each scope carries the times it has let through (at most `most`)."""
+def _limited(events: DataFrame, most: int, seconds: float) -> DataFrame:
+    """(key, event_id, accepted) of events (key, event_id, ts): each key carries the times it has let through (at most `most`)."""
 
     def f(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         ok, held = limit_rate((rows["ts"].astype("int64") / 1e9 if rows["ts"].dtype.kind == "i" else rows["ts"].map(lambda t: t.timestamp())).tolist(), held, most, seconds)
         state.update((held,))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": ok})
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": ok})
+
+    return events.select("key", "event_id", "ts").groupBy("key").applyInPandasWithState(f, "key long, event_id long, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
-    return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(f, "user_id long, event_id long, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+def rate_limiter(events: DataFrame, most: int = 50, seconds: float = 60.0) -> DataFrame:
+    """R1, W7 exactly: only accepted writes count."""
+    return _limited(events.withColumn("key", F.col("user_id")), most, seconds).withColumnRenamed("key", "user_id")
 
 
-def access_reinforcement(events: DataFrame) -> DataFrame:
-    """R2: accesses of a memory count once in five minutes."""
-    cell = events.withWatermark("ts", LATE).withColumn("cell", F.window("ts", "5 minutes"))
-    return cell.groupBy("cell", (F.col("event_id") % 100).alias("id")).agg(F.count("*").alias("raw")).select("id", F.col("cell.start").alias("start"), "raw")
+def access_reinforcement(events: DataFrame, memories: int = 100, seconds: float = 300.0) -> DataFrame:
+    """R2: (id, event_id, counted): an access counts if the last one that counted lies `seconds` or more before; one that does not count does not put the next off."""
+    return _limited(events.withColumn("key", F.col("event_id") % memories), 1, seconds).select(F.col("key").alias("id"), "event_id", F.col("accepted").alias("counted"))
 
 
 def hit_counters(events: DataFrame) -> DataFrame:
