@@ -14,7 +14,8 @@ smallest a" is a plain minimum that the hash aggregate keeps in place.
 The next document, in descending id order, is found over ids alone: they are dealt by
 range, each range looks ahead within itself, and one row for each range closes the gaps.
 Texts are shuffled once, by document; what a document lends to the one before it is at
-most a third of that one.  Terms are counted and sampled where their document already is.
+most a third of that one.  Terms are counted and sampled where their document already is,
+and a term that a text and its edited one have as often is drawn once for the two.
 
 Null texts count as empty; an empty text has one term of its own, so it is like another
 empty text and unlike all others.  A very long text is counted whole.  Every row gets a row:
@@ -103,11 +104,19 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sides = sides.select("k", "h", "x.side", "x.sha", F.split(F.lower("x.t"), r"[^\p{L}\p{N}]+").alias("words"))
     pairs = F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(1))).alias("b"))
     terms = sides.select("k", "h", "side", "sha", F.inline(pairs).alias("a", "b")).select("k", "h", "side", "sha", F.xxhash64("a", "b").alias("term"))
-    weighted = terms.groupBy("k", "h", "side", "sha", "term").agg(F.log(F.count("*").cast("double")).alias("log_weight"))
-    drawn = weighted.groupBy("k", "h", "side", "sha").agg(*samples())
-    marks = F.array(*(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(SAMPLES)))
-    of = lambda side, x: F.first(F.when(F.col("side") == side, x), ignorenulls=True)
-    done = cut(drawn.select("k", "h", "side", "sha", marks.alias("marks")).groupBy("k", "h").agg(of(0, F.col("marks")).alias("own"), of(1, F.col("marks")).alias("edited"), of(2, F.col("sha")).alias("sha")))
+    # A term that both texts have as often is drawn once, for both: sides is 1 (own), 2 (edited), 3 (both) or 0 (the digest's row).
+    count = lambda side: F.sum((F.col("side") == side).cast("long"))
+    counted = terms.groupBy("k", "h", "sha", "term").agg(count(0).alias("n0"), count(1).alias("n1"))
+    draw = lambda sides, n: F.struct(F.lit(sides).alias("sides"), F.log(n.cast("double")).alias("w"))
+    once = F.array(F.struct(F.when(F.col("n0") == 0, 0).otherwise(3).alias("sides"), F.log(F.greatest("n0", F.lit(1)).cast("double")).alias("w")))
+    one, other = F.array(draw(1, F.col("n0"))), F.array(draw(2, F.col("n1")))
+    apart = F.when(F.col("n1") == 0, one).when(F.col("n0") == 0, other).otherwise(F.array(draw(1, F.col("n0")), draw(2, F.col("n1"))))
+    draws = counted.select("k", "h", "sha", "term", F.inline(F.when(F.col("n0") == F.col("n1"), once).otherwise(apart)).alias("sides", "log_weight"))
+    drawn = draws.groupBy("k", "h", "sides", "sha").agg(*samples())
+    least = lambda side: [F.min(F.when(F.col("sides").bitwiseAND(F.lit(side)) > 0, F.col(f"s{k}"))).alias(f"s{side}_{k}") for k in range(SAMPLES)]
+    joined = drawn.groupBy("k", "h").agg(*least(1), *least(2), F.first("sha", ignorenulls=True).alias("sha"))
+    marks = lambda side: F.array(*(F.col(f"s{side}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(SAMPLES)))
+    done = cut(joined.select("k", "h", marks(1).alias("own"), marks(2).alias("edited"), "sha"))
 
     after = done.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("own").alias("next_own"))
     found = order.join(done, ["k", "h"]).join(after, ["next_k", "next_h"])
