@@ -254,3 +254,19 @@ def test_requests():
     assert gates.expand_query("fix the box", {"box": ["server", "the"]}, {"fix": ["patch"], "ix": ["no"]}) == "fix the box server patch"
     assert gates.extract_terms("Use Redis 数据库连接池") == ["use", "redis", "数据库连接池", "数据", "据库", "库连", "连接", "接池", "数据库", "据库连", "库连接", "连接池"]
     assert gates.cover([("a", 1, {"x"}), ("b", 1, {"x"}), ("A ", 9, set()), ("c", 0, {"y"})], 2) == ["a", "c"]
+
+
+def test_streams_write_their_rows_in_every_mode(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    rows = [(i, f"2026-01-01 00:{i:02d}:00", i % 2, "a", 1.0) for i in range(6)]
+    whole = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").selectExpr("event_id", "cast(ts AS timestamp) AS ts", "user_id", "event_type", "value")
+    files = str(tmp_path / "events")
+    for part in range(3):
+        whole.where(f"event_id % 3 = {part}").coalesce(1).write.mode("append").parquet(files)
+    stream = lambda path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    last = jobs.run_once(jobs.hit_counters(stream(files)), "complete", str(tmp_path / "complete"))
+    assert sorted((r["id"], r["hits"]) for r in last.collect()) == [(i, 1) for i in range(6)]
+    each = jobs.run_once(stream(files).select("event_id"), "append", str(tmp_path / "append"))
+    assert sorted(r["event_id"] for r in each.collect()) == list(range(6))
+    (tmp_path / "none").mkdir()
+    assert jobs.run_once(stream(str(tmp_path / "none")).select("event_id"), "append", str(tmp_path / "empty")).collect() == []

@@ -101,11 +101,20 @@ def on_threshold(events: DataFrame, least: int, act: Callable[[DataFrame], None]
     return f
 
 
-def run_once(df: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there and return its rows."""
+def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all that is there and return its rows, which the executors write below `folder`; none passes through the driver.
+
+    A batch that is run again overwrites its own folder.  In complete mode the last batch has all rows, in append mode each has its own.
+    """
     if not df.isStreaming:
         return df
-    name = f"t{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    where, written = f"{folder.rstrip('/')}/{uuid.uuid4().hex}", {}
+
+    def write(batch: DataFrame, n: int) -> None:
+        written[n] = f"{where}/rows/{n}"
+        batch.write.mode("overwrite").parquet(written[n])
+
+    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    if not written:
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(*([written[max(written)]] if mode == "complete" else written.values()))
