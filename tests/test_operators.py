@@ -237,9 +237,10 @@ def test_gates(spark):
     assert skip("hi") and skip("hello there") and not skip("cobbler") and not skip("轮巡") and not skip("why so?") and not skip("do you remember")
     assert one(spark, gates.temporal_or_action(F.lit("saved on 2024-01-02"))) and not one(spark, gates.salient(F.lit("short")))
     assert one(spark, gates.resolve_entities(F.lit("the PG box and pgx"), {"pg": "Postgres"})) == "the Postgres box and pgx"
+    assert one(spark, gates.resolve_entities(F.lit("用pg吧, ßpg, pg_x"), {"pg": "Postgres"})) == "用Postgres吧, ßPostgres, pg_x"
 
 
-def test_requests():
+def test_requests(spark):
     from tidewell.functions import gates
 
     now = model.NOW
@@ -252,7 +253,11 @@ def test_requests():
     with pytest.raises(ValueError):
         gates.resolve_scope(scope=" ")
     assert gates.expand_query("fix the box", {"box": ["server", "the"]}, {"fix": ["patch"], "ix": ["no"]}) == "fix the box server patch"
-    assert gates.extract_terms("Use Redis 数据库连接池") == ["use", "redis", "数据库连接池", "数据", "据库", "库连", "连接", "接池", "数据库", "据库连", "库连接", "连接池"]
+    assert gates.expand_query("用box吧", {}, {"box": ["server"]}) == "用box吧 server"
+    assert one(spark, gates.terms(F.lit("Use Redis 数据库连接池"))) == ["use", "redis", "数据库连接池", "数据", "据库", "库连", "连接", "接池", "数据库", "据库连", "库连接", "连接池"]
+    assert one(spark, gates.terms(F.lit(None).cast("string"))) == [] and len(one(spark, gates.terms(F.lit(" ".join(f"w{i:03d}" for i in range(90)))))) == 40
+    asked = spark.createDataFrame([(True, "a", None, None), (False, " a ", "s", "d"), (False, " ", "s ", "d"), (None, None, "", " d"), (False, None, None, None)], "e boolean, a string, s string, d string")
+    assert [tuple(r[0]) for r in asked.select(gates.scope_of("e", "a", "s", "d")).collect()] == [("all_scopes", None), ("scope", "a"), ("session", "session:s"), ("default", "d"), ("none", None)]
     assert gates.cover([("a", 1, {"x"}), ("b", 1, {"x"}), ("A ", 9, set()), ("c", 0, {"y"})], 2) == ["a", "c"]
 
 
