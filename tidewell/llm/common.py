@@ -37,6 +37,16 @@ def pick(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
     )
 
 
+def column_at(df: DataFrame, name: str) -> int:
+    """Where a column stands, found as Spark finds it: by its exact name, or else without regard to case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    alike = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(alike) != 1 or df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        raise ValueError(f"no column {name} among {df.columns}")
+    return alike[0]
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], most_chars: int = 4_000_000, name: str = TEXT) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut so that their texts stay under `most_chars` bytes (a longer text is alone in its batch)."""
     for batch in batches:
@@ -58,9 +68,11 @@ def map_text(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def keep_rows(df: DataFrame, text_col: str, start: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
     """The rows of `df`, as they are, for whose text the function that `start` makes in each task says True; no shuffle."""
 
+    text_name = df.columns[column_at(df, text_col)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = start()
-        for batch, texts in text_batches(batches, name=text_col):
+        for batch, texts in text_batches(batches, name=text_name):
             yield batch.filter(pa.array(good(texts), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -18,6 +18,9 @@ any length.
   A segment's part also counts if at most one of its words is missing where the rest of
   the segment puts it, so one changed word clears no copy; of a part of one word, the
   rest of the item then decides.  A long question without its answer is no leak.
+* An item of fewer than 13 words (`SHORT`) counts only where all its words follow each other
+  in the text, question and answer alike.  One without a question or without an answer, such
+  as a lone word or a bare short question, has nothing to verify and is never a leak.
 
 The index goes to the executors in shards of at most `shard_chars` characters of items
 (about 30 bytes of index for each); a larger benchmark takes one pass over the texts for
@@ -44,6 +47,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import cut, keep_rows, map_text, pick, text_batches, to_pandas
 
 K1, B, BLOCK, STRIDE, NGRAM = 1.2, 0.75, 32, 64, 3
+SHORT = 13  # words under which an item must stand in the text as one run
 SLACK = 3  # words by which a part may be moved against the rest of its item
 find_words = re.compile(r"\w+").findall
 
@@ -178,6 +182,9 @@ class ItemIndex:
         """Which of the segment's words the passage covers."""
         words, q = self.words[segment], self.question[segment]
         covered = np.zeros(len(words), bool)
+        if len(words) < SHORT and len(self.segments[self.whole[segment]]) == 1:
+            covered[:] = any(passage[i : i + len(words)] == words for i in range(len(passage) - len(words) + 1))
+            return covered
         for a, b in ((0, len(words)), (0, q), (q, len(words))):  # each part has n-grams of its own too
             n = min(NGRAM, b - a)
             if n:
@@ -196,12 +203,12 @@ class ItemIndex:
         return covered
 
     def shares(self, item: list[int], found: dict[int, np.ndarray]) -> tuple[float, float]:
-        """Shares of the item's question and answer words that are covered, 1 for a part that it lacks."""
+        """Shares of the item's question and answer words that are covered, 0 for a part that it lacks."""
         both = []
         for part in (0, 1):
             every = sum(self.question[s] if part == 0 else len(self.words[s]) - self.question[s] for s in item)
             hits = sum(int(c[: self.question[s]].sum() if part == 0 else c[self.question[s] :].sum()) for s, c in found.items())
-            both.append(hits / every if every else 1.0)
+            both.append(hits / every if every else 0.0)
         return both[0], both[1]
 
     @staticmethod

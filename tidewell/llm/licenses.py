@@ -11,7 +11,10 @@ text near the window must contain at least `containment` of the template's shing
 
 Words are those of the text as it is, each lower-cased by itself, so a word's place is
 its place in the text whatever lower-casing does to its length.  Of matches of one license
-that lie within each other the longest counts.
+that lie within each other the longest counts; a notice that stands twice is two matches.
+Notices of one family differ by a word or two: a template may have shingles that must be
+there (`MUST`), and a sentence that only names a version counts for the family whose notice
+is nearest before it, within `VERSION_WORDS` words, and for none without one (`VERSIONS`).
 
 The template index is small and fixed, so it goes along with the code; texts stream
 through one pass without a shuffle, and a very long text is read whole.  Nulls count as
@@ -55,8 +58,8 @@ TEMPLATES: dict[str, list[str]] = {
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "GPL-2.0": ["SPDX-License-Identifier: GPL-2.0", "either version 2 of the License, or (at your option) any later version.", "This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["SPDX-License-Identifier: GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["SPDX-License-Identifier: GPL-2.0", "This work is licensed under the GNU General Public License, version 2."],
+    "GPL-3.0": ["SPDX-License-Identifier: GPL-3.0", "This work is licensed under the GNU General Public License, version 3."],
     "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "LGPL": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
     "MPL-2.0": ["SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
@@ -89,6 +92,15 @@ TEMPLATES: dict[str, list[str]] = {
     ],
 }
 
+#: Shingles without which a match is none, by license: what tells the family's notices apart.
+MUST: dict[str, list[str]] = {"GPL": ["GNU General"], "LGPL": ["GNU Lesser"], "AGPL-3.0": []}
+#: Sentences that name a version, and what they say beside a notice of each family (None: nothing that the notice does not say).
+VERSIONS: dict[str, dict[str, str | None]] = {
+    "either version 2 of the License, or (at your option) any later version.": {"GPL": "GPL-2.0"},
+    "either version 3 of the License, or (at your option) any later version.": {"GPL": "GPL-3.0"},
+}
+VERSION_WORDS = 60
+
 SHINGLE, BLOCK, SEGMENT, LEAST = 2, 8, 9, 3
 words = re.compile(r"\w+")
 
@@ -100,9 +112,9 @@ def band_factors(bands: int) -> np.ndarray:
 class Templates:
     """The band index of all templates' segments."""
 
-    def __init__(self, templates: dict[str, list[str]], bands: int, containment: float) -> None:
+    def __init__(self, templates: dict[str, list[str]], bands: int, containment: float, must: dict[str, list[str]] | None = None) -> None:
         hashes = LowerHash()
-        self.names, self.sets, self.least = [], [], []
+        self.names, self.sets, self.least, self.first, self.must = [], [], [], [], []
         segments: list[tuple[int, np.ndarray]] = []
         for name, texts in templates.items():
             for text in texts:
@@ -112,6 +124,8 @@ class Templates:
                 segments += [(len(self.names), s[max(0, min(i, len(s) - SEGMENT)) : i + SEGMENT]) for i in range(0, len(s), SEGMENT)]
                 self.names.append(name)
                 self.sets.append(frozenset(s.tolist()))
+                self.first.append(int(s[0]))
+                self.must.append(frozenset(h for x in (must or {}).get(name, []) for h in shingle_hashes(hashes.of(words.findall(x)), SHINGLE).tolist()))
                 m = len(self.sets[-1])
                 self.least.append(m if m < 20 else int(np.ceil(containment * m)))
         self.factors = band_factors(bands)
@@ -151,8 +165,19 @@ def candidates(texts: list[np.ndarray], index: Templates) -> set[tuple[int, int,
     return found
 
 
-def confirm(s: np.ndarray, starts: list[int], template: frozenset[int], least: int) -> list[tuple[int, int]]:
-    """(first, last) shingle of each stretch near the windows that contains enough of the template."""
+def copies(s: np.ndarray, at: np.ndarray, first: int, least: int) -> list[np.ndarray]:
+    """Places of one stretch, cut where the template starts again after enough of it."""
+    cuts, have = [], set()
+    for i, x in enumerate(s[at].tolist()):
+        if x == first and len(have) >= least:
+            cuts.append(i)
+            have = set()
+        have.add(x)
+    return np.split(at, cuts)
+
+
+def confirm(s: np.ndarray, starts: list[int], template: frozenset[int], least: int, first: int, must: frozenset[int] = frozenset()) -> list[tuple[int, int]]:
+    """(first, last) shingle of each stretch near the windows that contains enough of the template, and all of `must`."""
     reach, found, seen = 2 * len(template) + 2 * BLOCK, [], -1
     gap = max(3, len(template) // 8)
     for start in sorted(starts):
@@ -164,9 +189,11 @@ def confirm(s: np.ndarray, starts: list[int], template: frozenset[int], least: i
             continue
         at = np.array(at)
         for part in np.split(at, np.flatnonzero(np.diff(at) > gap) + 1):
-            if len(np.unique(s[part])) >= least:
-                found.append((int(part[0]), int(part[-1])))
-                seen = int(part[-1])
+            for one in copies(s, part, first, least):
+                have = set(s[one].tolist())
+                if len(have) >= least and must <= have:
+                    found.append((int(one[0]), int(one[-1])))
+                    seen = int(one[-1])
     return found
 
 
@@ -179,9 +206,24 @@ def longest(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(kept, key=lambda s: (s[1], s[0]))
 
 
+def with_versions(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Matches (license, first, last shingle), with version sentences turned into what they say beside the notice before them."""
+    notices = sorted((b, name) for name, _, b in found if name not in VERSIONS)
+    out = []
+    for name, a, b in found:
+        if name not in VERSIONS:
+            out.append((name, a, b))
+            continue
+        families = [x for end, x in notices if end <= a <= end + VERSION_WORDS and (x in MUST)]
+        said = VERSIONS[name].get(families[-1]) if families else None
+        if said:
+            out.append((said, a, b))
+    return out
+
+
 @lru_cache(maxsize=2)
 def default_index(bands: int, containment: float) -> Templates:
-    return Templates(TEMPLATES, bands, containment)
+    return Templates(TEMPLATES | {v: [v] for v in VERSIONS}, bands, containment, MUST)
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, bands: int = 64, containment: float = 0.9) -> DataFrame:
@@ -198,7 +240,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 by_text.setdefault(text, {}).setdefault(template, []).append(start)
             matches: list[list[dict]] = [[] for _ in texts]
             for i, found in by_text.items():
-                stretches = [(index.names[t], *x) for t, starts in found.items() for x in confirm(shingles[i], starts, index.sets[t], index.least[t])]
+                stretches = with_versions([(index.names[t], *x) for t, starts in found.items() for x in confirm(shingles[i], starts, index.sets[t], index.least[t], index.first[t], index.must[t])])
                 if stretches:
                     spans = [m.span() for m in words.finditer(texts[i])]
                     ends = [(name, spans[a][0], spans[min(b + SHINGLE, len(spans)) - 1][1]) for name, a, b in stretches]

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import ID, ROW, TEXT, WordHash, cut, join_counted, mix64, pick, shingle_hashes, text_batches
+from tidewell.llm.common import ID, ROW, TEXT, WordHash, column_at, cut, join_counted, mix64, pick, shingle_hashes, text_batches
 
 find_words = re.compile(r"\w+").findall
 
@@ -334,10 +334,13 @@ def keep_one(
     without words all stay.  Nulls among the ids come last.
     """
     bands, rows_ = choose_bands(threshold, recall)
-    docs = signed(df.withColumn(ID, F.col(id_col).cast("long")), text_col, n, bands, rows_)
-    classes = linked_classes(docs, text_col, n, bands, threshold, block, block_grams)
+    # The input's columns go by their places, so no name of theirs can be one of the operator's own.
+    own = [f"c{i}" for i in range(len(df.columns))]
+    text, id_ = own[column_at(df, text_col)], own[column_at(df, id_col)]
+    docs = signed(df.toDF(*own).withColumn(ID, F.col(id_).cast("long")), text, n, bands, rows_)
+    classes = linked_classes(docs, text, n, bands, threshold, block, block_grams)
     total = docs.count()
     many = cut(with_representative(classes, total).where("c > 1 or copies > 1").select("h1", "h2", "copies", F.col("rep.row").alias("stays")))
     rows = docs.select(ROW, F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
     gone = cut(join_counted(rows, many, ["h1", "h2"], "copies", total).where(F.col(ROW) != F.col("stays")).select(ROW))
-    return docs.join(gone, ROW, "left_anti").select(*df.columns)
+    return docs.join(gone, ROW, "left_anti").select(*own).toDF(*df.columns)

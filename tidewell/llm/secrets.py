@@ -13,7 +13,9 @@ decoded and reported only if it parses as
 * `pem`  - a private key in PEM form whose headers say that it is encrypted and name a
   cipher, and whose body decodes to whole cipher blocks.
 
-A run may be wrapped over lines.  One pass over whole texts, however long, no shuffle.
+A run may be wrapped over lines or joined from quoted pieces; its own lengths say where it
+ends.  One pass over whole texts, no shuffle; the work is linear in the text, whatever it
+holds, but that each line of a wrapped run may claim to begin a key of up to 64 KB.
 Nulls count as empty texts (no spans), repeated rows each get a row, an empty table
 gives an empty result; spans are in code points, end exclusive, and of spans that start
 alike the kinds come as listed.  Further columns are neither read nor returned
@@ -31,8 +33,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from tidewell.llm.common import map_text, pick, text_batches
+from tidewell.llm.common import column_at, map_text, pick, text_batches
 
 Span = tuple[str, int, int]
 KINDS = ("assign", "access", "hex", "der", "ssh", "jwt", "pem")
@@ -45,15 +48,26 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: A value may stand right after '='; runs that are cut wrongly do not decode to a structure.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+#: The first letter says that the header begins with a brace or white space.
+JWT = re.compile(r"(?<![A-Za-z0-9_.-])([eICD][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 #: The body may be escaped as in JSON: line ends as \n, \r or \u000a, slashes as \/.
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\+(?:[nrt/]|u000[9aAdD]))+)-----END \1-----")
 #: PEM headers say how the body is encrypted: the body follows an empty line.
-LOCKED = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----\s*\n((?:[A-Za-z-]{1,30}: ?[^\n]{1,200}\n)+)\s*\n([A-Za-z0-9+/=\s]+)-----END \1-----")
-#: Runs of base64 on neighbouring lines, the last of which may be short.
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40,}(?:\r?\n[ \t]*[A-Za-z0-9+/]+)+={0,2}")
+BEGIN_LOCKED = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----[ \t\r]*\n")
+BODY_LINE = re.compile(r"[A-Za-z0-9+/=]*").fullmatch
+HEADER_NAME = re.compile(r"[A-Za-z-]{1,30}").fullmatch
+#: What may stand between two pieces of a value: a line end, or the quotes of two string literals that are joined.
+GAP = r"""(?:\r?\n[ \t]{0,80}|["'][ \t]{0,80}[+.\\]?[ \t]{0,80}(?:\r?\n[ \t]{0,80})?(?:[+.][ \t]{0,80})?["'])"""
+#: Runs of base64 or hex in two pieces or more, the last of which may be short.
+WRAPPED = {
+    "base64": re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{{40,}}(?:{GAP}[A-Za-z0-9+/]+)+={{0,2}}"),
+    "hex": re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{32,}}(?:{GAP}[0-9A-Fa-f]+)+"),
+}
+GAP_AT = re.compile(GAP)
 PEM_GAPS = re.compile(r"\\+(?:[nrt]|u000[9aAdD])|\\+(?=/)|\s+")
-SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-", b"sk-ssh-", b"sk-ecdsa-")
+#: Names of SSH key types, and of how many fields a public key of the type has.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-": 3, b"sk-ssh-": 3, b"sk-ecdsa-": 4}
+SSH_NAMES = tuple(SSH_FIELDS)
 
 
 def decode64(s: str) -> bytes | None:
@@ -140,6 +154,108 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(p, dict)
 
 
+def decode(chars: str, alphabet: str) -> bytes | None:
+    if alphabet == "base64":
+        return decode64(chars)
+    return bytes.fromhex(chars) if len(chars) % 2 == 0 else None
+
+
+def key_length(head: bytes) -> int | None:
+    """Bytes of the key that begins with `head`, as its own first lengths say, or None if none begins so; SSH public keys need all their fields in `head`."""
+    if len(head) >= 16 and head[0] == 0x30 and head[1] in (0x81, 0x82):
+        k = head[1] & 0x7F
+        return 2 + k + int.from_bytes(head[2 : 2 + k], "big")
+    if head[:3] == b"\0\0\0" and head[4:].startswith(SSH_NAMES):
+        fields = next(n for name, n in SSH_FIELDS.items() if head[4:].startswith(name))
+        at = 0
+        for _ in range(fields):
+            if at + 4 > len(head):
+                return None
+            at += 4 + int.from_bytes(head[at : at + 4], "big")
+        return at
+    return None
+
+
+def wrapped_keys(text: str, start: int, end: int, alphabet: str) -> list[Span]:
+    """Keys among the pieces of text[start:end], each from the start of a piece to the end of one.
+
+    A key's own lengths say where it ends, so lines after it, whatever they hold, do no
+    harm.  They are at most 65,539 bytes; each piece is tried as a start once.
+    """
+    pieces, at = [], start
+    for gap in GAP_AT.finditer(text, start, end):
+        pieces.append((at, gap.start()))
+        at = gap.end()
+    pieces.append((at, end))
+
+    def chars(i: int, most: int) -> str:
+        out, n = [], 0
+        while i < len(pieces) and n < most:
+            out.append(text[pieces[i][0] : pieces[i][1]])
+            n, i = n + len(out[-1]), i + 1
+        return "".join(out)[:most]
+
+    spans, i = [], 0
+    while i < len(pieces):
+        per = (4, 3) if alphabet == "base64" else (2, 1)
+        first = chars(i, 32)
+        head = decode(first[: len(first) // 4 * 4].rstrip("="), alphabet) or b""
+        if head[:3] == b"\0\0\0" and head[4:].startswith(SSH_NAMES):  # all fields may be needed
+            whole = chars(i, 24_000).rstrip("=")
+            head = decode(whole[: len(whole) // 4 * 4], alphabet) or b""
+        length = key_length(head)
+        if length is None:
+            i += 1
+            continue
+        need, j = -(-length * per[0] // per[1]), i
+        while j < len(pieces) and need > (n := len(text[pieces[j][0] : pieces[j][1]].rstrip("="))):
+            need, j = need - n, j + 1
+        kind = None
+        if j > i and j < len(pieces) and need == n:  # it ends where a piece ends, and is not in one piece alone
+            data = decode("".join(text[a:b] for a, b in pieces[i : j + 1]), alphabet)
+            kind = ("der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None) if data else None
+        if kind:
+            spans.append((kind, pieces[i][0], pieces[j][1]))
+        i = j + 1 if kind else i + 1
+    return spans
+
+
+def locked_keys(text: str) -> list[Span]:
+    """Encrypted PEM bodies, line by line: a marker, headers, an empty line, the body, the same marker's end.
+
+    Reading stops at the first line that does not fit, and no line fits that has a marker, so
+    no line is read for two markers.
+    """
+    spans = []
+    for m in BEGIN_LOCKED.finditer(text):
+        at, headers, state, body = m.end(), [], "headers", None
+        stop = f"-----END {m[1]}-----"
+        while at < len(text):
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            line = text[at:end].strip(" \t\r\f\v")
+            if state == "headers":
+                name, colon, value = line.partition(":")
+                if colon and HEADER_NAME(name) and value.strip():
+                    headers.append((name, value))
+                elif not line:
+                    state = "body" if headers else state
+                else:
+                    break
+            elif line.startswith(stop) and body:
+                data = decode64("".join(text[body[0] : body[1]].split()))
+                said = dict(headers)
+                if data and len(data) % 8 == 0 and "ENCRYPTED" in said.get("Proc-Type", "") and "DEK-Info" in said:
+                    spans.append(("pem", body[0], at + text[at:end].index(stop)))
+                break
+            elif not BODY_LINE(line):
+                break
+            elif line or body:
+                body = (body[0] if body else at, end)
+            at = end + 1
+    return spans
+
+
 def base_spans(text: str) -> list[Span]:
     spans: list[Span] = []
     low = text.lower()
@@ -153,8 +269,7 @@ def base_spans(text: str) -> list[Span]:
 
 def confirmed_spans(text: str) -> list[Span]:
     spans: set[Span] = set()
-    if "eyJ" in text:
-        spans |= {("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])}
+    spans |= {("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])}
     blocks = [(m.start(2), m.end(2), PEM_GAPS.sub("", m[2])) for m in PEM.finditer(text)] if "-----BEGIN " in text else []
     blocks += [(m.start(), m.end(), m[0]) for m in RUN.finditer(text)]
     for a, b, run in blocks:
@@ -163,19 +278,21 @@ def confirmed_spans(text: str) -> list[Span]:
             spans.add(("der", a, b))
         elif data and is_ssh_key(data):
             spans.add(("ssh", a, b))
-    if "\n" in text:
-        armoured = [(a, b) for a, b, _ in blocks if text[a:b].strip() != text[a:b] or "\\" in text[a:b]]
-        for m in WRAPPED.finditer(text):
-            if any(a <= m.start() and m.end() <= b for a, b in armoured):
+    armoured = [(a, b) for a, b, _ in blocks if text[a:b].strip() != text[a:b] or "\\" in text[a:b]]
+    for alphabet, pattern in WRAPPED.items():
+        inside = 0  # armoured blocks and matches both come in order
+        for m in pattern.finditer(text):
+            while inside < len(armoured) and armoured[inside][1] < m.end():
+                inside += 1
+            if inside < len(armoured) and armoured[inside][0] <= m.start():
                 continue
-            data = decode64(re.sub(r"\s+", "", m[0]))
+            data = decode("".join(GAP_AT.split(m[0])), alphabet)
             if data and (is_der_key(data) or is_ssh_key(data)):
                 spans.add(("der" if is_der_key(data) else "ssh", m.start(), m.end()))
+            else:
+                spans.update(wrapped_keys(text, m.start(), m.end(), alphabet))
     if "PRIVATE KEY-----" in text:
-        for m in LOCKED.finditer(text):
-            data = decode64(re.sub(r"\s+", "", m[3]))
-            if data and len(data) % 8 == 0 and "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]:
-                spans.add(("pem", m.start(3), m.end(3)))
+        spans.update(locked_keys(text))
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0:
             data = bytes.fromhex(m[0])
@@ -223,19 +340,24 @@ def mask(text: str, spans: list[Span], mark: str = "[secret]") -> str:
     return "".join(out) + text[max(end, 0) :] if out else text
 
 
-def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """`df` with the secrets in its text masked and its length column kept true; rows without any are unchanged."""
+def mask_secrets(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """`df` with the secrets in its text masked; rows without any, and further columns of any name, are unchanged.
+
+    `length_col` names an integer column, if there is one, that holds the text's length; it is kept true.
+    """
     names, schema = df.columns, df.schema
-    at = names.index(text_col)
+    at = column_at(df, text_col)
+    n = column_at(df, length_col) if length_col else None
+    if n is not None and not isinstance(schema[n].dataType, T.IntegralType):
+        raise TypeError(f"{names[n]} is no integer column")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _ in text_batches(batches, name=text_col):
+        for batch, _ in text_batches(batches, name=names[at]):
             texts = batch.column(at).to_pylist()
             masked = [t and mask(t, base_spans(t) + confirmed_spans(t)) for t in texts]
             columns = list(batch.columns)
             columns[at] = pa.array(masked, batch.column(at).type)
-            if length_col in names:
-                n = names.index(length_col)
+            if n is not None:
                 columns[n] = pa.array([old if m == t else len(m) for old, m, t in zip(batch.column(n).to_pylist(), masked, texts, strict=True)], batch.column(n).type)
             yield pa.record_batch(columns, names=batch.schema.names)
 

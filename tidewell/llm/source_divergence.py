@@ -1,11 +1,14 @@
 """12. Source divergence audit: how far the words of each source of a language are from those of its others.
 
-Mergeable radix tries.  Every partition counts its terms in one byte trie for each language,
-whose leaves count occurrences and documents by source.  A trie is walked in UTF-8 order into
-rows; these are dealt out by ranges of (lang, term), that is by ranges of prefixes, and each
-range merges what it gets into a trie again and keeps the terms of enough documents.  A trie
-is walked and emptied when it is over a bound, so memory depends neither on the input nor on
-the vocabulary, and a hot source is counted where it lies before anything is shuffled.
+Mergeable radix tries over bytes.  Every partition counts the terms of a language in a trie
+whose root branches by the first `DEPTH` bytes at once and whose nodes hold the terms that
+begin so, each with counters of occurrences and documents by source (a burst trie: a node's
+terms stay a flat container).  The nodes, not the terms, are what is shuffled: they are dealt
+out by ranges of (language, prefix), and each range merges the containers of a node and keeps
+the terms of enough documents, in UTF-8 order.  Counters leave a task when there are too many
+of them, and a node's containers are merged as they come, so memory depends on the terms of
+one prefix and neither on the input nor on how often a term occurs; a hot source is counted
+where it lies before anything is shuffled.
 
 A second walk in UTF-8 order streams the kept terms once more, now with the totals of their
 sources, which come by a join: it adds up what pairs of sources share and holds, for each
@@ -31,8 +34,9 @@ columns are neither read nor returned.  An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -65,118 +69,69 @@ def terms_of(text: bytes, slice_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
         at = end
 
 
-class Node:
-    """A node of a byte trie: edges by first byte, and at a term's end its counts by source."""
+DEPTH = 3  # bytes by which the root branches; terms hold no byte 0 and no blank
+NODES = "lang binary, prefix binary, terms binary, names array<binary>, sources binary, n binary, docs binary"
+KEPT = "lang binary, term binary, source binary, n long"
 
-    __slots__ = ("edges", "leaf")
 
-    def __init__(self) -> None:
-        self.edges: dict[int, tuple[bytes, Node]] = {}
-        self.leaf: dict[bytes, list[int]] | None = None
+def prefixes(terms: pa.Array) -> np.ndarray:
+    """The first DEPTH bytes of each term as a number, in the order of the bytes; shorter terms end in zeros."""
+    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    data = np.append(np.frombuffer(terms.buffers()[2], np.uint8)[: offsets[-1]], np.zeros(DEPTH, np.uint8)).astype(np.int64)
+    start, length = offsets[:-1], np.diff(offsets)
+    code = np.zeros(len(terms), np.int64)
+    for k in range(DEPTH):
+        code = code << 8 | np.where(length > k, data[start + k], 0)
+    return code
 
 
-class RadixTrie:
-    """Terms with counters by source; an edge carries as many bytes as no other term parts from."""
+def nodes(lang: bytes, counters: dict[bytes, tuple[Counter, Counter]], batch: int = 5_000) -> Iterator[pa.RecordBatch]:
+    """The trie of one language's counters (by source: occurrences and documents of each term), a row for each node below the root.
 
-    def __init__(self) -> None:
-        self.root, self.counters = Node(), 0
-
-    def leaf(self, term: bytes) -> dict[bytes, list[int]]:
-        """The counters at `term`, whose path is made if it is not there."""
-        node, at = self.root, 0
-        while at < len(term):
-            edge = node.edges.get(term[at])
-            if edge is None:
-                new = Node()
-                node.edges[term[at]] = (term[at:], new)
-                node = new
-                break
-            label, below = edge
-            if term.startswith(label, at):
-                node, at = below, at + len(label)
-                continue
-            rest = term[at : at + len(label)]
-            same = next(k for k in range(1, len(label)) if k >= len(rest) or label[k] != rest[k])
-            middle = Node()
-            middle.edges[label[same]] = (label[same:], below)
-            node.edges[term[at]] = (label[:same], middle)
-            node, at = middle, at + same
-        if node.leaf is None:
-            node.leaf = {}
-        return node.leaf
-
-    def add(self, term: bytes, source: bytes, n: int, docs: int) -> None:
-        leaf = self.leaf(term)
-        have = leaf.get(source)
-        if have is None:
-            leaf[source] = [n, docs]
-            self.counters += 1
-        else:
-            have[0] += n
-            have[1] += docs
-
-    def merge(self, other: RadixTrie) -> None:
-        for term, leaf in other.walk():
-            for source, (n, docs) in leaf.items():
-                self.add(term, source, n, docs)
-
-    def walk(self) -> Iterator[tuple[bytes, dict[bytes, list[int]]]]:
-        """Terms with their counters, in the order of their bytes, which is that of UTF-8."""
-        stack = [(b"", self.root)]
-        while stack:
-            term, node = stack.pop()
-            if node.leaf is not None:
-                yield term, node.leaf
-            stack.extend((term + label, below) for _, (label, below) in sorted(node.edges.items(), reverse=True))
-
-
-COUNTED = "lang binary, term binary, source binary, n long, docs long"
-
-
-def _rows(names: list[str], columns: list[list], ints: int) -> pa.RecordBatch:
-    """A batch of binary columns and, at the end, `ints` long ones."""
-    k = len(names) - ints
-    return pa.record_batch([pa.array(c, pa.binary() if i < k else pa.int64()) for i, c in enumerate(columns)], names=names)
-
-
-def _walked(lang: bytes, trie: RadixTrie, least_docs: int = 0, batch: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """A trie's counters as rows; the empty term, which only says that a group occurs, is always among them."""
-    names, rows = ["lang", "term", "source", "n", "docs"], []
-    for term, leaf in trie.walk():
-        if not term or sum(c[1] for c in leaf.values()) >= least_docs:
-            rows.extend((lang, term, source, n, docs) for source, (n, docs) in leaf.items())
-        if len(rows) >= batch:
-            yield _rows(names, list(map(list, zip(*rows))), 2)
-            rows = []
-    if rows:
-        yield _rows(names, list(map(list, zip(*rows))), 2)
-
-
-def count_terms(docs: DataFrame, most_counters: int = 400_000) -> DataFrame:
-    """COUNTED rows of every partition's tries; `docs` is (text, lang, source), all binary.
-
-    Occurrences gather in plain counters and go into the tries, which are walked and emptied,
-    when these hold over `most_counters` counts, and at the end.
+    A row without terms names the sources, so that those without any are known too.
+    """
+    names = list(counters)
+    rows = [(b"", b"", names, b"", b"", b"")]
+    sizes = [len(n) for n, _ in counters.values()]
+    if sum(sizes):
+        terms = pa.array((t for n, _ in counters.values() for t in n), pa.binary(), size=sum(sizes))
+        code = prefixes(terms)
+        order = np.argsort(code, kind="stable")
+        code, listed = code[order], terms.take(pa.array(order)).to_pylist()
+        source = np.repeat(np.arange(len(names), dtype=np.int32), sizes)[order]
+        n = np.fromiter((k for n, _ in counters.values() for k in n.values()), np.int64, len(order))[order]
+        docs = np.fromiter((k for n, d in counters.values() for k in map(d.__getitem__, n)), np.int64, len(order))[order]
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+        for a, b in pairwise(cuts):
+            own, at = names, source[a:b]
+            if len(names) > 64:  # only those of the node
+                used, at = np.unique(at, return_inverse=True)
+                own, at = [names[i] for i in used], at.astype(np.int32)
+            rows.append((int(code[a]).to_bytes(DEPTH, "big"), b" ".join(listed[a:b]), own, at.tobytes(), n[a:b].tobytes(), docs[a:b].tobytes()))
+    kinds = [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+    for i in range(0, len(rows), batch):
+        part = list(zip(*rows[i : i + batch]))
+        yield pa.record_batch([pa.array([lang] * len(part[0]), pa.binary()), *map(pa.array, part, kinds)], names=["lang", "prefix", "terms", "names", "sources", "n", "docs"])
+
+
+def count_terms(docs: DataFrame, most_counters: int = 500_000) -> DataFrame:
+    """NODES of every partition's tries; `docs` is (text, lang, source), all binary.
+
+    The tries are sent off and emptied when they hold over `most_counters` counters, and at the end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+        seen: dict[bytes, dict[bytes, tuple[Counter, Counter]]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            tries: dict[bytes, RadixTrie] = {}
-            for (lang, source), (n, docs) in seen.items():
-                trie = tries.setdefault(lang, RadixTrie())
-                trie.add(b"", source, 0, 0)
-                for term, k in n.items():
-                    trie.add(term, source, k, docs[term])
+            for lang, counters in seen.items():
+                yield from nodes(lang, counters)
             seen.clear()
-            for lang, trie in tries.items():
-                yield from _walked(lang, trie)
 
         held = 0
         for batch in batches:
             for text, lang, source in zip(*(batch.column(i) for i in range(3))):
-                n, docs = seen.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                n, docs = seen.setdefault(lang.as_py(), {}).setdefault(source.as_py(), (Counter(), Counter()))
                 held -= len(n)
                 own: set[bytes] = set()
                 for terms in terms_of(text.as_py()):
@@ -189,26 +144,79 @@ def count_terms(docs: DataFrame, most_counters: int = 400_000) -> DataFrame:
                     held = 0
         yield from out()
 
-    return docs.mapInArrow(run, COUNTED)
-
-
-def merge_ranges(counted: DataFrame, least_docs: int, most_counters: int = 200_000) -> DataFrame:
-    """COUNTED rows of the terms of at least `least_docs` documents of a language, merged; in UTF-8 order in each partition."""
+    return docs.mapInArrow(run, NODES)
+
+
+class Container:
+    """The terms below one node, merged from the containers of many tries."""
+
+    def __init__(self, most: int) -> None:
+        self.ids: dict[bytes, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.names: dict[bytes, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.most = 0, most
+
+    def add(self, terms: bytes, names: list[bytes], sources: bytes, n: bytes, docs: bytes) -> None:
+        listed = terms.split(b" ")
+        place = np.array([self.names.setdefault(x, len(self.names)) for x in names], np.int64)
+        ids = np.fromiter(map(self.ids.__getitem__, listed), np.int64, len(listed))
+        self.parts.append((ids << 24 | place[np.frombuffer(sources, np.int32)], np.frombuffer(n, np.int64), np.frombuffer(docs, np.int64)))
+        self.held += len(listed)
+        if self.held > self.most:
+            self.parts = [self.merged()]
+            self.held = 0
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id and source, occurrences, documents), each id and source once, in order of ids."""
+        key, n, docs = map(np.concatenate, zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return key[starts], np.add.reduceat(n[order], starts), np.add.reduceat(docs[order], starts)
+
+    def walk(self, lang: bytes, least_docs: int) -> Iterator[pa.RecordBatch]:
+        """The terms of enough documents, in the order of their bytes, which is that of UTF-8."""
+        if not self.parts:
+            return
+        key, n, docs = self.merged()
+        ids = key >> 24
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        good = np.add.reduceat(docs, starts) >= least_docs
+        if not good.any():
+            return
+        terms, names = list(self.ids), pa.array(list(self.names), pa.binary())
+        ends = np.append(starts[1:], len(ids))
+        kept = sorted((terms[ids[a]], a, b) for a, b in zip(starts[good].tolist(), ends[good].tolist()))
+        rows = np.concatenate([np.arange(a, b) for _, a, b in kept])
+        term = pa.array([t for t, _, _ in kept], pa.binary()).take(pa.array(np.repeat(np.arange(len(kept)), [b - a for _, a, b in kept])))
+        for i in range(0, len(rows), 50_000):
+            part = rows[i : i + 50_000]
+            yield pa.record_batch([pa.array([lang] * len(part), pa.binary()), term.slice(i, len(part)), names.take(pa.array(key[part] & 0xFFFFFF)), pa.array(n[part])], names=["lang", "term", "source", "n"])
+
+
+def merge_ranges(counted: DataFrame, least_docs: int, most_counters: int = 1_000_000) -> DataFrame:
+    """KEPT rows of the terms of at least `least_docs` documents of a language; in UTF-8 order in each partition.
+
+    A row with an empty term says that a source occurs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, now, last = RadixTrie(), None, None
+        node, now = None, None
         for batch in batches:
-            for lang, term, source, n, docs in zip(*(c.to_pylist() for c in batch.columns)):
-                if lang != now or (trie.counters > most_counters and term != last):
-                    if now is not None:
-                        yield from _walked(now, trie, least_docs)
-                    trie, now = RadixTrie(), lang
-                trie.add(term, source, n, docs)
-                last = term
-        if now is not None:
-            yield from _walked(now, trie, least_docs)
-
-    return counted.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, COUNTED)
+            for lang, prefix, terms, names, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, prefix) != now:
+                    if node:
+                        yield from node.walk(now[0], least_docs)
+                    node, now = Container(most_counters), (lang, prefix)
+                if terms:
+                    node.add(terms, names, *columns)
+                else:
+                    yield pa.record_batch([pa.array([lang] * len(names), pa.binary()), pa.array([b""] * len(names), pa.binary()), pa.array(names, pa.binary()), pa.array([0] * len(names), pa.int64())], names=["lang", "term", "source", "n"])
+        if node:
+            yield from node.walk(now[0], least_docs)
+
+    return counted.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix").mapInArrow(run, KEPT)
 
 
 def share(n: int, total: int, terms: int, scale: int = SCALE) -> int:
