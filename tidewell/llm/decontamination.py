@@ -18,7 +18,7 @@ any length.
   A segment's part also counts if at most one of its words is missing where the rest of
   the segment puts it, so one changed word clears no copy; of a part of one word, the
   rest of the item then decides.  A long question without its answer is no leak.
-* An item of fewer than 13 words (`SHORT`) counts only where all its words follow each other
+* An item of fewer than 7 words (`SHORT`) counts only where all its words follow each other
   in the text, question and answer alike.  One without a question or without an answer, such
   as a lone word or a bare short question, has nothing to verify and is never a leak.
 
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import cut, keep_rows, map_text, pick, text_batches, to_pandas
 
 K1, B, BLOCK, STRIDE, NGRAM = 1.2, 0.75, 32, 64, 3
-SHORT = 13  # words under which an item must stand in the text as one run
+SHORT = 7  # words under which an item must stand in the text as one run
 SLACK = 3  # words by which a part may be moved against the rest of its item
 find_words = re.compile(r"\w+").findall
 

@@ -57,7 +57,7 @@ BEGIN_LOCKED = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,30}PRIVATE KEY)-----[ \t\r]*
 BODY_LINE = re.compile(r"[A-Za-z0-9+/=]*").fullmatch
 HEADER_NAME = re.compile(r"[A-Za-z-]{1,30}").fullmatch
 #: What may stand between two pieces of a value: a line end, or the quotes of two string literals that are joined.
-GAP = r"""(?:\r?\n[ \t]{0,80}|["'][ \t]{0,80}[+.\\]?[ \t]{0,80}(?:\r?\n[ \t]{0,80})?(?:[+.][ \t]{0,80})?["'])"""
+GAP = r"""(?:\r?\n[ \t]{0,80}|["'][ \t]{0,80}(?:[+.\\][ \t]{0,80})?(?:\r?\n[ \t]{0,80})?(?:[+.][ \t]{0,80})?["'])"""
 #: Runs of base64 or hex in two pieces or more, the last of which may be short.
 WRAPPED = {
     "base64": re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{{40,}}(?:{GAP}[A-Za-z0-9+/]+)+={{0,2}}"),
