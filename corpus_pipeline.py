@@ -12,6 +12,7 @@ it out.  Equal rows leave one.  An empty table gives an empty result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 from tidewell.llm import decontamination, mixing, near_duplicates, secrets, toxicity
 from tidewell.llm.common import cut, read
@@ -33,8 +34,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; all documents stay."""
-    return secrets.mask_secrets(docs)
+    """Secrets are masked in the text, and n_chars, if it is a number, is kept true; all documents stay."""
+    length = [f.name for f in docs.schema if f.name == "n_chars" and isinstance(f.dataType, IntegralType)]
+    return secrets.mask_secrets(docs, length_col=length[0] if length else None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
