@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions import vector as V
-from tidewell.functions.chunking import segment_column
-
-# The marks of the speakers in a chunk.
-USER, ASSISTANT = "[用户]", "[助手]"
+from tidewell.functions.chunking import ASSISTANT, USER, chunk_column, event_segments
 
 
 def paired_turns(turns: DataFrame, session: str = "session_id", position: str = "position", own_prompts: list[str] = ()) -> DataFrame:
@@ -30,12 +27,17 @@ def paired_turns(turns: DataFrame, session: str = "session_id", position: str =
 
 
 def dialogue_chunks(turns: DataFrame, session: str = "session_id", position: str = "position", most: int = 2000) -> DataFrame:
-    """The paired turns without tool noise, cut where they are longer than `most`, without what is noise by itself and with secrets redacted."""
+    """The paired turns without tool noise, cut where they are longer than `most`, without what is noise by itself and with secrets redacted.
+
+    A long text is cut into event segments (`part`), and a segment that is still too long into chunks (`piece`).
+    """
     whole = paired_turns(turns, session, position).withColumn("text", T.compress_output(F.col("text")))
-    long = F.length("text") > most
-    parts = whole.withColumn("__parts", segment_column(F.when(long, F.col("text"))))
-    cut = parts.select(*(c for c in whole.columns if c != "text"), F.posexplode(F.when(F.length("text") > most, F.col("__parts")).otherwise(F.array("text"))).alias("part", "text"))
-    return cut.where(~T.is_noise(F.col("text"))).withColumn("text", T.redact(F.col("text")))
+    others, long = [c for c in whole.columns if c != "text"], F.length("text") > most
+    short = whole.where(~long).select(*others, F.lit(0).alias("part"), "text")
+    cut = event_segments(whole.where(long), "text", most).select(*others, F.col("segment_no").alias("part"), F.col("segment").alias("text"))
+    pieces = F.when(long, chunk_column(F.when(long, F.col("text")))).otherwise(F.array("text"))
+    every = short.unionByName(cut).select(*others, "part", F.posexplode(pieces).alias("piece", "text"))
+    return every.where(~T.is_noise(F.col("text"))).withColumn("text", T.redact(F.col("text")))
 
 
 # What is never taken for noise.

@@ -80,7 +80,6 @@ REPORTS: dict[str, str] = {
     "W4_budget": "SELECT scope, id, chars FROM (SELECT scope, id, sum(length(text)) OVER (PARTITION BY scope ORDER BY importance DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chars, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, i) AS rn FROM {notes}) b WHERE chars <= 8000 OR rn = 1",
     "O4_priority_sort": "SELECT id, category, importance FROM {notes} ORDER BY category, importance DESC, i LIMIT 50",
     "O2_omitted": "SELECT scope, count(*) - least(count(*), 20) AS omitted FROM {notes} GROUP BY scope",
-    "U4_jaccard": "SELECT a.source_memory_id AS a, b.source_memory_id AS b, round(count(*) / CAST(a.n + b.n - count(*) AS DOUBLE), 6) AS jaccard FROM (SELECT t.source_memory_id, t.object, c.n FROM (SELECT DISTINCT source_memory_id, object FROM {triples}) t JOIN (SELECT source_memory_id, count(DISTINCT object) AS n FROM {triples} GROUP BY source_memory_id) c ON t.source_memory_id = c.source_memory_id) a JOIN (SELECT t.source_memory_id, t.object, c.n FROM (SELECT DISTINCT source_memory_id, object FROM {triples}) t JOIN (SELECT source_memory_id, count(DISTINCT object) AS n FROM {triples} GROUP BY source_memory_id) c ON t.source_memory_id = c.source_memory_id) b ON a.object = b.object AND a.source_memory_id <> b.source_memory_id AND CAST(a.source_memory_id AS BIGINT) % 100 = 0 WHERE a.n >= 2 AND b.n >= 2 GROUP BY a.source_memory_id, b.source_memory_id, a.n, b.n",
     "U5_entities": "SELECT subject AS entity FROM {triples} UNION SELECT object FROM {triples}",
     "U6_edge_dedup": "SELECT DISTINCT subject, predicate, object FROM {triples}",
     "U7_except": "SELECT id FROM {notes} EXCEPT SELECT id FROM {memories}",
@@ -100,7 +99,6 @@ REPORTS: dict[str, str] = {
     "B16_orphan_scopes": "SELECT id, scope FROM (SELECT id, scope, access_count, count(*) OVER (PARTITION BY canonical_key) AS n FROM {notes}) s WHERE n = 1 AND access_count = 0",
     "B17_stale_keywords": "SELECT w.word, count(*) AS hits, sum(CASE WHEN n.access_count = 0 THEN 1 ELSE 0 END) AS dead FROM {notes} n JOIN (SELECT 'Version' AS word UNION ALL SELECT 'License' UNION ALL SELECT 'token') w ON n.text LIKE concat('%', w.word, '%') GROUP BY w.word",
     "B21_outliers": f"SELECT sum(CASE WHEN scope = '' THEN 1 ELSE 0 END) AS empty_scope, sum(CASE WHEN importance >= 0.8 AND access_count = 0 THEN 1 ELSE 0 END) AS unused_important, sum(CASE WHEN tier = 'working' AND {_AGE} > 60 THEN 1 ELSE 0 END) AS old_working FROM {{notes}}",
-    "B22_jaccard_bands": "SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'mid' ELSE 'low' END AS band, count(*) AS n, round(avg(confidence), 6) AS mean, round(max(confidence), 6) AS most FROM {triples} GROUP BY CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'mid' ELSE 'low' END",
     "B23_dashboard": f"SELECT count(*) AS total, sum(CASE WHEN ts >= {NOW - 7 * DAY} THEN 1 ELSE 0 END) AS week, sum(CASE WHEN ts >= {NOW - 30 * DAY} THEN 1 ELSE 0 END) AS month FROM {{notes}}",
     "B24_summary": "SELECT round(100.0 * sum(CASE WHEN access_count = 0 THEN 1 ELSE 0 END) / count(*), 4) AS dead_pct, min(ts) AS oldest, max(ts) AS newest, round(avg(importance), 6) AS importance FROM {notes}",
     # extras on the same tables
@@ -117,11 +115,9 @@ REPORTS: dict[str, str] = {
     "X7_pins": "SELECT id, round(2 * hits + 3 * own - 0.01 * position, 6) AS score FROM (SELECT id, CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%token%' THEN 1 ELSE 0 END AS hits, CASE WHEN scope_root = 'src1' THEN 1 ELSE 0 END AS own, row_number() OVER (ORDER BY ts DESC, i) - 1 AS position FROM (SELECT id, text, scope_root, ts, i FROM {notes} WHERE tier = 'core' ORDER BY ts DESC, i LIMIT 200) newest) p WHERE 2 * hits + 3 * own > 0",
     "G10_orient": "SELECT scope, count(*) AS total, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS active, max(ts) AS newest, CASE WHEN count(*) >= 10 THEN 'run' ELSE 'skip' END AS decision FROM {notes} GROUP BY scope",
     "G14_forget_scope": "SELECT t.subject, t.predicate, t.object FROM {triples} t LEFT JOIN {notes} n ON n.id = t.source_memory_id AND n.scope_root = 'src1' WHERE n.id IS NULL",
-    "G21_skill_scan": "SELECT topic, size, round(importance, 6) AS importance, reads FROM (SELECT topic, count(*) AS size, avg(importance) AS importance, sum(access_count) AS reads FROM {memories} WHERE category IN ('cases', 'patterns') GROUP BY topic) c WHERE size >= 3 AND importance >= 0.5",
     "G27_graph_edges": "SELECT source, target, kind FROM (SELECT id AS source, superseded_by AS target, 'evolution' AS kind FROM {notes} WHERE superseded_by IS NOT NULL UNION ALL SELECT id, consolidated_into, 'consolidation' FROM {notes} WHERE consolidated_into IS NOT NULL UNION ALL SELECT id, lead(id) OVER (PARTITION BY version_group ORDER BY confidence DESC, i), 'version' FROM {notes} WHERE version_group IS NOT NULL) e WHERE target IN (SELECT id FROM {notes})",
     "G28_conflict_fingerprint": "SELECT md5(concat(canonical_key, '/', category)) AS fingerprint, count(*) AS n, CASE WHEN max(access_count) >= 8 THEN 'escalated' WHEN max(ts) < 1706140800000 THEN 'stale' WHEN max(ts) < 1706572800000 THEN 'aging' ELSE 'fresh' END AS attention FROM {notes} GROUP BY canonical_key, category HAVING count(*) > 1",
     "G29_conflict_advice": "SELECT existing, id AS incoming, CASE WHEN text = t0 THEN 'keep' WHEN confidence > c0 + 0.2 THEN 'accept' WHEN c0 > confidence + 0.2 THEN 'keep' ELSE 'manual' END AS advice FROM (SELECT n.id, n.i, n.text, n.confidence, f.id AS existing, f.i AS i0, f.text AS t0, f.confidence AS c0 FROM {notes} n JOIN (SELECT canonical_key, min(i) AS first FROM {notes} GROUP BY canonical_key HAVING count(*) > 1) k ON n.canonical_key = k.canonical_key JOIN {notes} f ON f.i = k.first) x WHERE i <> i0",
-    "G34_stage_trace": "SELECT 'active' AS stage, count(*) AS rows_in, sum(CASE WHEN status IN ('active', 'pending_review') THEN 1 ELSE 0 END) AS rows_out FROM {notes} UNION ALL SELECT 'min_score', sum(CASE WHEN status IN ('active', 'pending_review') THEN 1 ELSE 0 END), sum(CASE WHEN status IN ('active', 'pending_review') AND importance >= 0.4 THEN 1 ELSE 0 END) FROM {notes}",
     "R5_dream_trigger": "SELECT scope, count(*) AS writes FROM {observations} WHERE outcome <> 'failure' GROUP BY scope HAVING count(*) >= 10",
     # lifecycle as relations
     "G12_retention": f"SELECT id, CASE WHEN {_AGE} > 25 THEN 'age' ELSE 'count' END AS reason FROM (SELECT id, ts, row_number() OVER (PARTITION BY scope ORDER BY ts DESC, i) AS rn FROM {{notes}} WHERE status <> 'archived') r WHERE {_AGE} > 25 OR rn > 10",

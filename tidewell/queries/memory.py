@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -169,24 +171,66 @@ def f9(spark: Spark, d: str) -> DataFrame:
     return said.withColumn("family", T.noise_family(F.col("text"))).where("family is not null").select("conv_id", "turn", "family")
 
 
-@query("F10_skip_search")
+def _any_sql(column: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '" + p.replace("'", "''") + "')" for p in patterns) + ")"
+
+
+#: Messages as they are, and with cues before and after some of them, so that every branch has hits, misses and near misses.
+_SAID = """SELECT conv_id, turn, text FROM conversations
+  UNION ALL SELECT conv_id, 1000 + turn, concat(CASE (conv_id + turn) % 12 WHEN 0 THEN 'Do you remember ' WHEN 1 THEN 'the auto-recall of ' WHEN 2 THEN 'ok' WHEN 3 THEN '上次 ' WHEN 4 THEN 'git log ' WHEN 5 THEN 'on 2024-01-05 '
+    WHEN 6 THEN '下次要 ' WHEN 7 THEN 'REMEMBER: ' WHEN 8 THEN 'edit notes.md ' WHEN 9 THEN '继续' WHEN 10 THEN '谢谢，好的' ELSE 'mv a b, ' END, CASE WHEN (conv_id + turn) % 12 IN (2, 9, 10) THEN '' ELSE substring(text, 1, 40) END) FROM conversations
+  UNION ALL SELECT conv_id, 2000 + turn, substring(text, 1, CAST(conv_id % 23 AS INT)) FROM conversations"""
+
+
+def _said(spark: Spark, d: str) -> DataFrame:
+    return model._views(spark, d, _SAID, "conversations")
+
+
+_ALONE = "NOT regexp_matches(t, '\\s') OR regexp_matches(t, '[?？]')"
+#: This engine writes code points in patterns in braces.
+_BRACED = lambda p: re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", p)
+_CJK = _BRACED(f"regexp_matches(t, '[{T.HAN}\\u3040-\\u30ff]')")
+
+
+@query("F10_skip_search", f"WITH s AS (SELECT conv_id, turn, trim(text) AS t FROM ({_SAID}) x) SELECT conv_id, turn, NOT {_any_sql('t', gates.FORCE_SEARCH)} AND (length(t) < CASE WHEN {_CJK} THEN 2 ELSE 4 END OR {_any_sql('t', gates.SKIP_SEARCH)} OR (length(t) < CASE WHEN {_CJK} THEN 2 ELSE 15 END AND NOT ({_ALONE}))) AS skip FROM s")
 def f10(spark: Spark, d: str) -> DataFrame:
-    return _conversation(spark, d).select("conv_id", "turn", gates.skip_search(F.col("text")).alias("skip"))
+    return _said(spark, d).select("conv_id", "turn", gates.skip_search(F.col("text")).alias("skip"))
 
 
-@query("F11_recall_gate")
+_IN = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+_FLUFF = gates.FLUFF.replace("'", "''")
+#: A cue's edges as characters that are taken, as this engine has no look-around.
+_CUES_EN = [p.replace(r"(?<![\w-])", r"(^|[^\w-])").replace(r"(?![\w-])", r"([^\w-]|$)") for p in gates.FORCE_EN]
+_GATE = f"""WITH s AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM ({_SAID}) x), b AS (SELECT *, lower(t) AS low, regexp_replace(lower(t), '{_FLUFF}', '') AS bare FROM s),
+p AS (SELECT *, list_filter(regexp_split_to_array(bare, '[\\s,，。!！~]+'), lambda x: x <> '') AS parts FROM b),
+g AS (SELECT conv_id, turn, CASE WHEN t = '' THEN 'skip-all/skip:empty' WHEN {_any_sql('t', list(gates.FORCE))} THEN 'full-recall/force:memory-cue-zh' WHEN {_any_sql('low', _CUES_EN)} THEN 'full-recall/force:memory-cue-en' WHEN length(t) > 80 THEN 'pass/pass:long'
+  WHEN regexp_matches(t, '^/\\S+') THEN 'skip-all/skip:slash' WHEN regexp_matches(t, '(?i)^HEARTBEAT') THEN 'skip-all/skip:heartbeat' WHEN length(t) <= 60 AND regexp_matches(t, '{_BRACED(gates.COMMAND)}') THEN 'skip-all/skip:cli' WHEN bare IN {_IN(gates.GREETINGS)} THEN 'skip-all/skip:greeting'
+  WHEN bare <> '' AND (bare IN {_IN(gates.ACKS)} OR (len(parts) > 1 AND len(list_filter(parts, lambda x: regexp_replace(x, '{_FLUFF}', '') NOT IN {_IN(gates.ACKS)})) = 0)) THEN 'skip-all/skip:ack' WHEN bare IN {_IN(gates.RESUME)} THEN 'resume-only/resume:continuity' ELSE 'pass/pass:default' END AS g FROM p)
+SELECT conv_id, turn, string_split(g, '/')[1] AS decision, string_split(g, '/')[2] AS rule FROM g"""
+
+
+@query("F11_recall_gate", _GATE)
 def f11(spark: Spark, d: str) -> DataFrame:
-    return _conversation(spark, d).withColumn("g", gates.recall_gate(F.col("text"))).select("conv_id", "turn", "g.decision", "g.rule")
+    return _said(spark, d).withColumn("g", gates.recall_gate(F.col("text"))).select("conv_id", "turn", "g.decision", "g.rule")
+
+
+def _noise_case() -> str:
+    cases = ["WHEN length(t) < 5 THEN true"]
+    for family, patterns in T.NOISE.items():
+        cases.append(f"WHEN {_any_sql('t', patterns)} THEN true")
+        if family == "boilerplate":
+            cases.append(f"WHEN length(t) <= 10 AND {_any_sql('t', T.SHORT_NOISE)} THEN true")
+    return f"CASE {' '.join(cases)} ELSE false END"
 
 
-@query("F17_salient")
+@query("F17_salient", f"WITH s AS (SELECT conv_id, turn, trim(text) AS t FROM ({_SAID}) x) SELECT conv_id, turn, length(t) >= 20 AND NOT {_noise_case()} AS salient FROM s")
 def f17(spark: Spark, d: str) -> DataFrame:
-    return _conversation(spark, d).select("conv_id", "turn", gates.salient(F.col("text")).alias("salient"))
+    return _said(spark, d).select("conv_id", "turn", gates.salient(F.col("text")).alias("salient"))
 
 
-@query("F20_temporal_or_action")
+@query("F20_temporal_or_action", f"SELECT conv_id, turn, {_any_sql('text', [gates.DATES, gates.FILE_OPERATIONS, gates.INSTRUCTIONS, gates.CORRECTIONS])} AS hit FROM ({_SAID}) x")
 def f20(spark: Spark, d: str) -> DataFrame:
-    return _conversation(spark, d).select("conv_id", "turn", gates.temporal_or_action(F.col("text")).alias("hit"))
+    return _said(spark, d).select("conv_id", "turn", gates.temporal_or_action(F.col("text")).alias("hit"))
 
 
 @query("T17_error_signatures")
@@ -359,26 +403,6 @@ def k12(spark: Spark, d: str) -> DataFrame:
     return search.knn_batch(memories(spark, d).where("category = 'patterns'"), _query_vectors(spark, d), 5).select("query_id", "id", F.round("cos", 6).alias("cos"))
 
 
-_QUERIES = [("a", "released under the license version"), ("b", "token erhe thing"), ("c", "que les mente ción")]
-_QSQL = " UNION ALL ".join(f"SELECT '{k}' AS query_id, {_TOKENS.replace('text', repr(q))} AS t" for k, q in _QUERIES)
-_BM25 = f"tok AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_TOKENS} AS t FROM documents), ix AS (SELECT id, len(t) AS len, term, count(*) AS tf FROM (SELECT id, t, unnest(t) AS term FROM tok) u GROUP BY id, len(t), term), st AS (SELECT count(*) AS n, avg(len) AS mean FROM (SELECT DISTINCT id, len FROM ix) l), df AS (SELECT term, count(*) AS df FROM ix GROUP BY term), qq AS (SELECT DISTINCT query_id, unnest(t) AS term FROM ({_QSQL}) q), sc AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS raw FROM ix JOIN qq USING (term) JOIN df USING (term), st GROUP BY query_id, id), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, id) AS rank FROM sc)"
-
-
-def _index(spark: Spark, d: str) -> DataFrame:
-    """The inverted index, written once, its rows sorted by term so that a reader skips what it does not ask for."""
-    index = search.postings(model.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
-    return graph.materialise(index.sortWithinPartitions("term"))
-
-
-def _text_queries(spark: Spark) -> DataFrame:
-    return spark.createDataFrame(_QUERIES, "query_id string, query string")
-
-
-@query("K2_bm25", f"WITH {_BM25} SELECT query_id, id, rank, round(raw, 6) AS raw, round(1 / (1 + exp(-raw / 5)), 6) AS score FROM rk WHERE rank <= 20")
-def k2(spark: Spark, d: str) -> DataFrame:
-    return search.bm25(_index(spark, d), _text_queries(spark)).select("query_id", "id", "rank", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
-
-
 def _channels(spark: Spark, d: str) -> list[DataFrame]:
     m = memories(spark, d)
     ch = lambda k, c: m.where(f"i % {k} = 0").select((F.col("i") % 4).cast("string").alias("query_id"), "id", F.col(c).alias("score"))
@@ -443,14 +467,6 @@ def k9(spark: Spark, d: str) -> DataFrame:
     return out.select("query_id", "id", "position", F.round("score", 6).alias("score"))
 
 
-@query("K10_hybrid_pipeline")
-def k10(spark: Spark, d: str) -> DataFrame:
-    texts = F.array(*(F.lit(x) for _, x in _QUERIES))
-    q = _query_vectors(spark, d).withColumn("query", F.element_at(texts, ((F.col("query_id").cast("long") / 100).cast("int") % len(_QUERIES) + 1).cast("int")))
-    out = retrieval.hybrid_pipeline(memories(spark, d), q, _index(spark, d), retrieval.PROFILES["debug"], NOW)
-    return out.select("query_id", "id", "position", F.round("score", 6).alias("score"))
-
-
 @query("K14_auto_recall", f"{N} SELECT query_id, id, round(s, 6) AS score FROM (SELECT scope AS query_id, id, i, s, row_number() OVER (PARTITION BY scope ORDER BY s DESC, id) AS rn FROM (SELECT *, importance * CASE WHEN tier = 'peripheral' THEN 0.85 ELSE 1.0 END AS s FROM notes) x) y WHERE rn <= 5")
 def k14(spark: Spark, d: str) -> DataFrame:
     s = F.col("importance") * F.when(F.col("tier") == "peripheral", 0.85).otherwise(1.0)
@@ -641,11 +657,6 @@ def g6(spark: Spark, d: str) -> DataFrame:
     return graph.components(after.select(F.col("i").alias("a"), "b")).select(F.col("id").cast("string").alias("id"), "root")
 
 
-@query("G7_greedy_clusters")
-def g7(spark: Spark, d: str) -> DataFrame:
-    return lifecycle.cluster_groups(memories(spark, d), 0.3)
-
-
 @query("G8_canonical", f"{N}, g AS (SELECT id, i, canonical_key, round(importance * (1 + ln(1 + evo_access_count)), 9) AS s FROM notes WHERE canonical_key IN (SELECT canonical_key FROM notes GROUP BY canonical_key HAVING count(*) > 1)) SELECT id, first_value(id) OVER (PARTITION BY canonical_key ORDER BY s DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS canonical FROM g")
 def g8(spark: Spark, d: str) -> DataFrame:
     n = notes(spark, d)
@@ -697,12 +708,6 @@ def g18(spark: Spark, d: str) -> DataFrame:
     return x.select("id", lifecycle.write_disposition(F.col("category"), F.col("k").isNotNull(), F.coalesce(F.col("text") == F.col("t"), F.lit(False)), F.col("i") % 2 == 0).alias("disposition"))
 
 
-@query("G20_promotable")
-def g20(spark: Spark, d: str) -> DataFrame:
-    c = lifecycle.cluster_groups(memories(spark, d).where("layer = 'evidence'"), 0.3).join(memories(spark, d).select("id", "importance"), "id")
-    return lifecycle.promotable(c, 2, 0.5).select("scope", "cluster", "size", F.round("importance", 6).alias("importance"))
-
-
 @query("G23_predictions", f"{N} SELECT kind, subject, round(c, 6) AS confidence FROM (SELECT kind, subject, weight * CASE kind WHEN 'routine' THEN 1.0 WHEN 'gap' THEN 0.9 WHEN 'trend' THEN 0.85 ELSE 0.8 END AS c FROM (SELECT CASE i % 4 WHEN 0 THEN 'routine' WHEN 1 THEN 'gap' WHEN 2 THEN 'trend' ELSE 'other' END AS kind, id AS subject, importance AS weight FROM notes) s) x WHERE c >= 0.6 ORDER BY round(c, 9) DESC, kind, subject LIMIT 5")
 def g23(spark: Spark, d: str) -> DataFrame:
     kind = F.when(F.col("i") % 4 == 0, "routine").when(F.col("i") % 4 == 1, "gap").when(F.col("i") % 4 == 2, "trend").otherwise("other")
@@ -856,9 +861,9 @@ def w9(spark: Spark, d: str) -> DataFrame:
     return store.last_of_each(model.table(spark, d, "events").select("user_id", "event_id", F.col("event_id").alias("seq")), "user_id").select("user_id", "event_id")
 
 
-@query("O5_sample")
+@query("O5_sample", f"{N} SELECT id FROM notes ORDER BY md5(id), id LIMIT 200")
 def o5(spark: Spark, d: str) -> DataFrame:
-    return notes(spark, d).orderBy(F.xxhash64("id"), "id").limit(200).select("id")
+    return notes(spark, d).orderBy(F.md5(F.col("id").cast("binary")), "id").limit(200).select("id")
 
 
 @query("T9_chunks")
@@ -868,13 +873,6 @@ def t9(spark: Spark, d: str) -> DataFrame:
     return model.table(spark, d, "documents").select("doc_id", F.posexplode(chunk_column("text")).alias("position", "chunk")).select("doc_id", "position", F.length("chunk").alias("n"))
 
 
-@query("T8_segments")
-def t8(spark: Spark, d: str) -> DataFrame:
-    from tidewell.functions.chunking import segment_column
-
-    return _conversation(spark, d).select("conv_id", "turn", F.posexplode(segment_column("text")).alias("position", "segment")).select("conv_id", "turn", "position", F.length("segment").alias("n"))
-
-
 @query("S19_dialogue", "SELECT conv_id AS file, count(*) AS turns FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
 def s19(spark: Spark, d: str) -> DataFrame:
     from tidewell.sources import readers

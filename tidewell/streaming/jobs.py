@@ -7,12 +7,12 @@ streaming one to the end of what is there and hands back its rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidewell.streaming import stateful
 
 LATE = "7 days"
 
@@ -31,38 +31,19 @@ def write_rate(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.window("ts", "60 seconds", "10 seconds"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("window.start").alias("start"), "n")
 
 
-def limit_rate(times: list[float], held: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
-    """Which of the sorted times are let through, if only `most` that were let through may fall in any `seconds` before."""
-    out = []
-    for t in times:
-        held = [h for h in held if h > t - seconds]
-        out.append(len(held) < most)
-        if out[-1]:
-            held.append(t)
-    return out, held
-
-
-def _limited(events: DataFrame, most: int, seconds: float) -> DataFrame:
-    """(key, event_id, accepted) of events (key, event_id, ts): each key carries the times it has let through (at most `most`)."""
-
-    def f(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        ok, held = limit_rate((rows["ts"].astype("int64") / 1e9 if rows["ts"].dtype.kind == "i" else rows["ts"].map(lambda t: t.timestamp())).tolist(), held, most, seconds)
-        state.update((held,))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "accepted": ok})
-
-    return events.select("key", "event_id", "ts").groupBy("key").applyInPandasWithState(f, "key long, event_id long, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def rate_limiter(events: DataFrame, most: int = 50, seconds: float = 60.0) -> DataFrame:
-    """R1, W7 exactly: only accepted writes count."""
-    return _limited(events.withColumn("key", F.col("user_id")), most, seconds).withColumnRenamed("key", "user_id")
+    """R1, W7 exactly: (user_id, event_id, accepted): only accepted writes count; late ones are refused."""
+    return stateful.limited(events, F.col("user_id"), most, seconds, LATE).withColumnRenamed("key", "user_id")
 
 
 def access_reinforcement(events: DataFrame, memories: int = 100, seconds: float = 300.0) -> DataFrame:
     """R2: (id, event_id, counted): an access counts if the last one that counted lies `seconds` or more before; one that does not count does not put the next off."""
-    return _limited(events.withColumn("key", F.col("event_id") % memories), 1, seconds).select(F.col("key").alias("id"), "event_id", F.col("accepted").alias("counted"))
+    return stateful.limited(events, F.col("event_id") % memories, 1, seconds, LATE).select(F.col("key").alias("id"), "event_id", F.col("accepted").alias("counted"))
+
+
+def access_flush(events: DataFrame, memories: int = 100, cooldown: float = 300.0, flush: float = 5.0) -> DataFrame:
+    """R2: (id, accesses, flushed_us): what counts of each memory's accesses, in batches of `flush` seconds."""
+    return stateful.flushed_accesses(events, F.col("event_id") % memories, cooldown, flush).withColumnRenamed("key", "id")
 
 
 def hit_counters(events: DataFrame) -> DataFrame:
@@ -104,6 +85,7 @@ def on_threshold(events: DataFrame, least: int, act: Callable[[DataFrame], None]
 def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream over all that is there and return its rows, which the executors write below `folder`; none passes through the driver.
 
+    The state store is one that keeps typed states; the session's setting comes back afterwards.
     A batch that is run again overwrites its own folder.  In complete mode the last batch has all rows, in append mode each has its own.
     """
     if not df.isStreaming:
@@ -114,7 +96,13 @@ def run_once(df: DataFrame, mode: str, folder: str) -> DataFrame:
         written[n] = f"{where}/rows/{n}"
         batch.write.mode("overwrite").parquet(written[n])
 
-    df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    conf = df.sparkSession.conf
+    before = conf.get(stateful.STATE_STORE[0])
+    conf.set(*stateful.STATE_STORE)
+    try:
+        df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(stateful.STATE_STORE[0], before)
     if not written:
         return df.sparkSession.createDataFrame([], df.schema)
     return df.sparkSession.read.schema(df.schema).parquet(*([written[max(written)]] if mode == "complete" else written.values()))
