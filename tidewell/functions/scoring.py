@@ -39,15 +39,17 @@ def bm25_normalised(raw: Column) -> Column:
     return F.when(raw > 0, sigmoid(raw / 5)).otherwise(0.5)
 
 
-def multi_vector_blend(score: Column, l0: Column, l1: Column, query_tokens: int) -> Column:
+def multi_vector_blend(score: Column, l0: Column, l1: Column, query_tokens: Column | int) -> Column:
     """Weighted mean of the score and what the abstract and the overview share with the query; absent ones count out.
 
     Weights by query length: the shorter the query, the more its summaries count.
     """
-    w, w0, w1 = (0.50, 0.25, 0.25) if query_tokens <= 3 else (0.65, 0.20, 0.15) if query_tokens <= 10 else (0.80, 0.10, 0.10)
+    n = F.lit(query_tokens) if isinstance(query_tokens, int) else query_tokens
+    by_length = lambda short, middle, long: F.when(n <= 3, short).when(n <= 10, middle).otherwise(long)
+    w, w0, w1 = by_length(0.50, 0.65, 0.80), by_length(0.25, 0.20, 0.10), by_length(0.25, 0.15, 0.10)
     part = lambda x, k: F.when(x.isNotNull(), x * k).otherwise(0.0)
-    some = lambda x, k: F.when(x.isNotNull(), F.lit(k)).otherwise(0.0)
-    return (score * w + part(l0, w0) + part(l1, w1)) / (F.lit(w) + some(l0, w0) + some(l1, w1))
+    some = lambda x, k: F.when(x.isNotNull(), k).otherwise(0.0)
+    return (score * w + part(l0, w0) + part(l1, w1)) / (w + some(l0, w0) + some(l1, w1))
 
 
 def anchor_boost(score: Column, overlap: Column) -> Column:

@@ -171,20 +171,28 @@ def bm25(index: DataFrame, queries: DataFrame, k: int = MOST, k1: float = 1.2, b
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", S.bm25_normalised(F.col("raw")))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, graph: DataFrame, short: bool = False, vector_weight: float = 0.7, keyword_weight: float = 0.3) -> DataFrame:
-    """K4: weighted average of the channels (query_id, id, score) with bonuses where they agree; no reciprocal ranks."""
-    vw, bw = (vector_weight * 0.7, min(keyword_weight * 1.5, 0.6)) if short else (vector_weight, keyword_weight)
+def fuse(vector: DataFrame, keyword: DataFrame, graph: DataFrame, short: bool | DataFrame = False, vector_weight: float = 0.7, keyword_weight: float = 0.3) -> DataFrame:
+    """Weighted average of the channels (query_id, id, score) with bonuses where they agree; no reciprocal ranks.
+
+    `short` is for all queries, or a table (query_id, short): short queries lean on keywords.
+    """
     named = lambda df, c: df.select("query_id", "id", F.col("score").alias(c))
     all_ = named(vector, "v").join(named(keyword, "b"), ["query_id", "id"], "full_outer").join(named(graph, "g"), ["query_id", "id"], "full_outer")
+    if isinstance(short, bool):
+        brief = F.lit(short)
+    else:
+        all_, brief = all_.join(short.select("query_id", F.col("short").alias("__short")), "query_id", "left"), F.coalesce("__short", F.lit(False))
+    vw = F.when(brief, vector_weight * 0.7).otherwise(vector_weight)
+    bw = F.when(brief, min(keyword_weight * 1.5, 0.6)).otherwise(keyword_weight)
     v, b, g = F.col("v"), F.col("b"), F.col("g")
     bonus = F.coalesce(g, F.lit(0.0)) * 0.15
     fused = (
         F.when(v.isNotNull() & b.isNotNull(), S.clamp01((vw * v + bw * b) / (vw + bw) * 1.05 + bonus))
         .when(v.isNotNull(), S.clamp01(v + bonus))
         .when(g.isNotNull(), S.clamp01(g + F.when(F.coalesce(b, F.lit(0.0)) > 0, 0.10).otherwise(0.0)))
-        .otherwise(S.clamp01(b * (1.15 if short else 1.0)))
+        .otherwise(S.clamp01(b * F.when(brief, 1.15).otherwise(1.0)))
     )
-    return all_.withColumn("score", fused)
+    return all_.withColumn("score", fused).drop("__short")
 
 
 def supplement(main: DataFrame, keyword: DataFrame, most: int = 3) -> DataFrame:
@@ -212,6 +220,15 @@ def graph_scores(triples: DataFrame, ranks: DataFrame, k: int = MOST) -> DataFra
     return two.withColumn("s", best).where("s > 0").groupBy(F.col("source_memory_id").alias("id")).agg(F.max("s").alias("score")).orderBy(F.round("score", 9).desc(), "id").limit(k)
 
 
+def graph_scores_batch(triples: DataFrame, ranks: DataFrame, k: int = MOST) -> DataFrame:
+    """K3 for many queries: (query_id, id, score) of the k best memories of each by `ranks` (query_id, entity, rank_score)."""
+    entities = F.explode(F.array("subject", "object")).alias("entity")
+    hit = triples.select("source_memory_id", "confidence", entities).join(ranks, "entity")
+    best = hit.withColumn("s", F.col("rank_score") * F.col("confidence")).where("s > 0").groupBy("query_id", F.col("source_memory_id").alias("id")).agg(F.max("s").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "id", "score")
+
+
 # Least score by category, and profiles that scale them.
 CATEGORY_MIN = {"profile": 0.25, "preferences": 0.25, "entities": 0.30, "events": 0.35, "cases": 0.40, "patterns": 0.45}
 

@@ -9,8 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import scoring as S
+from tidewell.functions import text as T
+from tidewell.functions import vector as V
 from tidewell.operators import search, selecting
 from tidewell.operators.lifecycle import is_active
+from tidewell.plans.trace import Trace, staged
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ PROFILES = {
 }
 
 
-def shared_stages(df: DataFrame, profile: Profile, now: int) -> DataFrame:
+def shared_stages(df: DataFrame, profile: Profile, now: int, trace: Trace | None = None) -> DataFrame:
     """The stages both pipelines share, in their order.
 
     Each stage is a projection of its own: a stage reads its score several times, so
@@ -62,21 +65,21 @@ def shared_stages(df: DataFrame, profile: Profile, now: int) -> DataFrame:
             "__decay": S.decay_score(F.coalesce("valid_from", "ts"), c("evo_access_count"), c("last_accessed_at"), c("importance"), now),
         }
     )
-    stages = [
-        S.recency_boost(s, c("ts"), now, profile.half_life, profile.recency),
-        S.importance_weight(s, c("importance")),
-        S.confidence_weight(s, c("confidence")),
-        S.boundary_weight(s, c("layer"), c("authority"), c("scope")),
-        S.asset_weight(s, c("scope")),
-        S.length_norm(s, F.length("text"), profile.length_anchor),
-        S.time_decay(s, c("ts"), c("__half"), c("__tier"), None, c("__exempt"), now),
-        S.evolution_blend(s, c("__decay"), c("__exempt")),
-        S.access_boost(s, c("evo_access_count")),
-    ]
+    stages = {
+        "recency_boost": S.recency_boost(s, c("ts"), now, profile.half_life, profile.recency),
+        "importance_weight": S.importance_weight(s, c("importance")),
+        "confidence_weight": S.confidence_weight(s, c("confidence")),
+        "boundary_weight": S.boundary_weight(s, c("layer"), c("authority"), c("scope")),
+        "asset_type_weight": S.asset_weight(s, c("scope")),
+        "length_norm": S.length_norm(s, F.length("text"), profile.length_anchor),
+        "time_decay": S.time_decay(s, c("ts"), c("__half"), c("__tier"), None, c("__exempt"), now),
+        "evolution_blend": S.evolution_blend(s, c("__decay"), c("__exempt")),
+        "access_boost": S.access_boost(s, c("evo_access_count")),
+    }
     if profile.hotness:
-        stages.append(S.hotness_blend(s, c("access_count"), c("last_accessed_at"), now, profile.hotness))
-    for stage in stages:
-        df = df.withColumn("score", stage)
+        stages["hotness_blend"] = S.hotness_blend(s, c("access_count"), c("last_accessed_at"), now, profile.hotness)
+    for name, stage in stages.items():
+        df = staged(trace, df.withColumn("score", stage), name)
     return df.drop("__tier", "__exempt", "__half", "__decay")
 
 
@@ -86,25 +89,69 @@ def finalise(df: DataFrame, limit: int) -> DataFrame:
     return df.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 
 
-def vector_pipeline(df: DataFrame, queries: DataFrame, profile: Profile, now: int, limit: int = 10) -> DataFrame:
-    """K9: nearest neighbours of active rows, then the shared stages.  Filters come before ranking."""
-    active = df.where(is_active(F.col("status")))
-    near = search.knn_batch(active, queries, profile.candidates)
-    scored = near.select("query_id", "id", S.clamp01(1 / (2 - F.col("cos"))).alias("score")).join(active.drop("score"), "id")
-    return finalise(shared_stages(scored, profile, now), limit)
+SHORT_TOKENS, SHORT_FACTOR = 4, 0.6
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """`queries` (query_id, query, query_vector) with their tokens and whether they are short."""
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector", T.tokens(F.col("query")).alias("__q"))
+    return asked.withColumn("short", F.size("__q") <= SHORT_TOKENS)
+
 
+def _place(score: str = "score") -> Column:
+    return F.row_number().over(W.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "id"))
 
-def hybrid_pipeline(df: DataFrame, queries: DataFrame, index: DataFrame, profile: Profile, now: int, limit: int = 10, graph: DataFrame | None = None) -> DataFrame:
-    """Vectors, keywords and the graph, fused by weight, then the shared stages, then diversity of sources.
 
-    `queries` is (query_id, query, query_vector).
+def vector_pipeline(df: DataFrame, queries: DataFrame, profile: Profile, now: int, limit: int = 10, suppressed: DataFrame | None = None, trace: Trace | None = None) -> DataFrame:
+    """K9: nearest neighbours of active rows, then the shared stages.  Filters come before ranking.
+
+    With the queries' text (a column `query`) the profile's least score holds and anchors count (P2); `suppressed`
+    (id) are rows that the session does not want to see again (P18).
     """
     active = df.where(is_active(F.col("status")))
-    near = search.knn_batch(active, queries.select("query_id", "query_vector"), profile.candidates).select("query_id", "id", S.clamp01(1 / (2 - F.col("cos"))).alias("score"))
-    words = search.bm25(index, queries.select(F.col("query_id").cast("string"), "query"), profile.candidates)
-    nothing = near.where(F.lit(False))
-    fused = search.fuse(near, words, nothing if graph is None else graph, False, profile.vector_weight, profile.keyword_weight)
-    w = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
-    best = fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 2 * limit).select("query_id", "id", "score")
-    scored = shared_stages(best.join(active.drop("score"), "id"), profile, now)
-    return selecting.source_diversity(scored, limit, "scope_root")
+    near = search.knn_batch(active, queries, profile.candidates)
+    scored = near.select("query_id", "id", S.clamp01(1 / (2 - F.col("cos"))).alias("score"))
+    if "query" in queries.columns:
+        asked = _asked(queries)
+        least = F.lit(profile.least_score) * F.when(F.col("short"), SHORT_FACTOR).otherwise(1.0)
+        scored = scored.join(asked.drop("query_vector"), "query_id").where(F.col("score") >= least)
+    scored = staged(trace, scored, "vector_search").join(active.drop("score"), "id")
+    if "query" in queries.columns:
+        boost = S.anchor_boost(F.col("score"), T.overlap(F.col("__q"), T.tokens(F.col("anchor"))))
+        scored = staged(trace, scored.withColumn("score", boost).drop("__q", "short"), "anchor_boost")
+    scored = shared_stages(scored, profile, now, trace)
+    if suppressed is not None:
+        seen = suppressed.select("id", F.lit(True).alias("__seen")).distinct()
+        scored = scored.join(seen, "id", "left").withColumn("score", S.suppress(F.col("score"), F.coalesce("__seen", F.lit(False)))).drop("__seen")
+        scored = staged(trace, scored, "session_suppression")
+    return staged(trace, finalise(scored, limit), "finalise")
+
+
+def hybrid_pipeline(df: DataFrame, queries: DataFrame, words: DataFrame, profile: Profile, now: int, limit: int = 10, graph: DataFrame | None = None, judged: DataFrame | None = None, trace: Trace | None = None) -> DataFrame:
+    """Vectors, keywords and the graph, fused by weight; summaries (P1), anchors (P2), the least score, a second look (P3 or P4), the shared stages, diversity of sources.
+
+    `queries` is (query_id, query, query_vector); `words` and `graph` are the other channels'
+    (query_id, id, score), `judged` what a cross-encoder said of (query_id, id), where one is
+    at hand; without it the cosine takes its place.
+    """
+    active, asked = df.where(is_active(F.col("status"))), _asked(queries)
+    live = lambda rows: rows.select("query_id", "id", "score").join(active.select("id"), "id", "left_semi")
+    near = search.knn_batch(active, asked.select("query_id", "query_vector"), profile.candidates).select("query_id", "id", S.clamp01(1 / (2 - F.col("cos"))).alias("score"))
+    near = staged(trace, near, "vector_search", ())
+    found = staged(trace, live(words), "bm25_search", ())
+    linked = near.where(F.lit(False)) if graph is None else staged(trace, live(graph), "graph_search", ())
+    fused = search.fuse(near, found, linked, asked.select("query_id", "short"), profile.vector_weight, profile.keyword_weight)
+    fused = staged(trace, fused, "fusion", ("vector_search", "bm25_search", *(() if graph is None else ("graph_search",))))
+    rows = fused.select("query_id", "id", "score").join(active.drop("score"), "id").join(asked, "query_id")
+    share = lambda c: F.when(F.col(c).isNotNull(), T.overlap(F.col("__q"), T.tokens(F.col(c))))
+    rows = staged(trace, rows.withColumn("score", S.multi_vector_blend(F.col("score"), share("l0_abstract"), share("l1_overview"), F.size("__q"))), "multi_vector_blend")
+    rows = staged(trace, rows.withColumn("score", S.anchor_boost(F.col("score"), T.overlap(F.col("__q"), T.tokens(F.col("anchor"))))), "anchor_boost")
+    rows = staged(trace, rows.where(F.col("score") >= F.lit(profile.least_score) * F.when(F.col("short"), SHORT_FACTOR).otherwise(1.0)), "min_score_filter")
+    rows = rows.withColumn("__place", _place()).where(F.col("__place") <= 2 * limit).drop("__place")
+    if judged is None:
+        again = S.cosine_rerank(F.col("score"), V.cosine("vector", "query_vector"))
+    else:
+        rows = rows.join(judged.select("query_id", "id", F.col("judged").alias("__judged")), ["query_id", "id"], "left")
+        again = S.rerank_blend(F.col("score"), F.col("__judged"))
+    rows = staged(trace, rows.withColumn("score", again).drop("__judged", "__q", "short", "query_vector"), "rerank")
+    return staged(trace, selecting.source_diversity(shared_stages(rows, profile, now, trace), limit, "scope_root"), "finalise")
