@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as T
+
 DETECT, RESOLVE = "detect", "resolve"
 
 
@@ -66,3 +68,40 @@ def attention(states: DataFrame, now: int, day: int, aging: float = 3, stale: fl
     age = (F.lit(now) - F.coalesce("reopened_at", "opened_at")) / day
     level = F.when((F.col("age") >= escalated) | (F.col("reopens") >= reopens), "escalated").when(F.col("age") >= stale, "stale").when(F.col("age") >= aging, "aging").otherwise("fresh")
     return states.where("status = 'open'").withColumn("age", age).withColumn("attention", level)
+
+
+#: Why a record is a conflict.
+KEY_TAKEN, PROMOTION = "canonical_key_conflicts_with_existing_durable", "promotion_conflicts_with_existing_durable"
+
+
+def advise(records: DataFrame, tighter: int = 2, alike: float = 0.72, apart: float = 0.35) -> DataFrame:
+    """`records` with similarity, resolution, confidence and cluster_key.
+
+    `records` is (conflict_id, canonical_key, reason, existing_text, existing_category,
+    incoming_text, incoming_category, reopens, attention).  Texts are compared without
+    punctuation, symbols and blanks; similarity is that of their character trigrams, in
+    hundredths.  Of two that say nearly the same the one shorter by more than `tighter`
+    characters wins.
+    """
+    compact = lambda t: F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[\p{P}\p{S}\s]+", "")
+    rows = records.withColumns({"__a": compact(F.col("existing_text")), "__b": compact(F.col("incoming_text"))})
+    equal = (F.col("__a") == F.col("__b")) & (F.col("__a") != "")
+    similar = F.when(equal, 1.0).otherwise(T.set_similarity(T.trigrams(F.col("existing_text")), T.trigrams(F.col("incoming_text"))))
+    rows = rows.withColumn("similarity", F.round(similar, 2))
+    same = F.col("existing_category") == F.col("incoming_category")
+    near = (F.col("reason") == PROMOTION) & same & (F.col("similarity") >= alike)
+    shorter = F.length("__b") + tighter < F.length("__a")
+    longer = F.length("__a") + tighter < F.length("__b")
+    pick = lambda a, b: F.struct(F.lit(a).alias("resolution"), b.alias("confidence"))
+    c = F.lit
+    advice = (
+        F.when(equal, pick("keep_existing", c("high")))
+        .when((F.col("reason") == KEY_TAKEN) & ~same, pick("keep_existing", F.when(F.col("reopens") > 0, "high").otherwise("medium")))
+        .when(near & shorter, pick("accept_incoming", c("medium")))
+        .when(near & longer, pick("keep_existing", c("medium")))
+        .when(near, pick("manual_review", c("low")))
+        .when(F.col("similarity") < apart, pick("manual_review", F.when(F.col("attention").isin("stale", "escalated"), "high").otherwise("medium")))
+        .otherwise(pick("manual_review", c("low")))
+    )
+    key = F.concat_ws("::", F.coalesce(F.nullif(T.canonical_key(F.col("canonical_key")), F.lit("")), F.lit("na")), "reason", "incoming_category")
+    return rows.withColumn("__advice", advice).select(*records.columns, "similarity", "__advice.resolution", "__advice.confidence", F.substring(key, 1, 240).alias("cluster_key"))

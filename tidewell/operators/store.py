@@ -124,9 +124,18 @@ def with_triple_id(df: DataFrame) -> DataFrame:
 
 
 def collapse_triples(batch: DataFrame, most_sources: int = 200) -> DataFrame:
-    """One row for each triple: highest confidence, distinct sources (as many as are kept) and how many there are."""
-    rows = with_triple_id(batch).groupBy("triple_id", "subject", "predicate", "object")
-    return rows.agg(F.max("confidence").alias("confidence"), F.slice(F.sort_array(F.collect_set("source_memory_id")), 1, most_sources).alias("sources"), F.count_distinct("source_memory_id").alias("mention_count"))
+    """One row for each triple: highest confidence, distinct sources (the first `most_sources` of them) and how many there are.
+
+    Sources are made distinct and numbered before they are gathered, so a triple that half the
+    table is a source of is no row without a bound; only the first of each task leave it.
+    """
+    rows, key = with_triple_id(batch), ["triple_id", "subject", "predicate", "object"]
+    every = rows.groupBy(*key, "source_memory_id").agg(F.max("confidence").alias("confidence"))
+    totals = every.groupBy(*key).agg(F.max("confidence").alias("confidence"), F.count("source_memory_id").alias("mention_count"))
+    place = F.row_number().over(W.partitionBy("triple_id").orderBy("source_memory_id"))
+    first = every.where("source_memory_id is not null").select("triple_id", "source_memory_id").withColumn("__n", place).where(F.col("__n") <= most_sources)
+    sources = first.groupBy("triple_id").agg(F.sort_array(F.collect_list("source_memory_id")).alias("sources"))
+    return totals.join(sources, "triple_id", "left").select(*key, "confidence", F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "mention_count")
 
 
 def merge_triples(old: DataFrame, batch: DataFrame) -> DataFrame:
@@ -172,3 +181,11 @@ def stale_sources(beats: DataFrame, now: int, days: int = 7) -> DataFrame:
     """The last beat of each source and whole days since, where that is over the limit."""
     last = beats.groupBy("source").agg(F.max("at_ms").alias("last_ms"))
     return last.withColumn("days", F.floor((F.lit(now) - F.col("last_ms")) / 86_400_000)).where(F.col("days") > days)
+
+
+def repair_versions(rows: DataFrame, group: str = "version_group", fields: tuple[str, ...] = ("version_rank",)) -> DataFrame:
+    """`rows` (id, group, ...) with version groups of a single row dissolved: group and `fields` become null; `repaired` says where."""
+    sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("__n")).where("__n = 1").select(group, F.lit(True).alias("__alone"))
+    marked = rows.join(sizes, group, "left").withColumn("repaired", F.coalesce("__alone", F.lit(False))).drop("__alone")
+    cleared = {c: F.when(~F.col("repaired"), F.col(c)) for c in (group, *fields) if c in rows.columns}
+    return marked.select(*(cleared[c].alias(c) if c in cleared else F.col(c) for c in rows.columns), "repaired")

@@ -117,11 +117,9 @@ REPORTS: dict[str, str] = {
     "G14_forget_scope": "SELECT t.subject, t.predicate, t.object FROM {triples} t LEFT JOIN {notes} n ON n.id = t.source_memory_id AND n.scope_root = 'src1' WHERE n.id IS NULL",
     "G27_graph_edges": "SELECT source, target, kind FROM (SELECT id AS source, superseded_by AS target, 'evolution' AS kind FROM {notes} WHERE superseded_by IS NOT NULL UNION ALL SELECT id, consolidated_into, 'consolidation' FROM {notes} WHERE consolidated_into IS NOT NULL UNION ALL SELECT id, lead(id) OVER (PARTITION BY version_group ORDER BY confidence DESC, i), 'version' FROM {notes} WHERE version_group IS NOT NULL) e WHERE target IN (SELECT id FROM {notes})",
     "G28_conflict_fingerprint": "SELECT md5(concat(canonical_key, '/', category)) AS fingerprint, count(*) AS n, CASE WHEN max(access_count) >= 8 THEN 'escalated' WHEN max(ts) < 1706140800000 THEN 'stale' WHEN max(ts) < 1706572800000 THEN 'aging' ELSE 'fresh' END AS attention FROM {notes} GROUP BY canonical_key, category HAVING count(*) > 1",
-    "G29_conflict_advice": "SELECT existing, id AS incoming, CASE WHEN text = t0 THEN 'keep' WHEN confidence > c0 + 0.2 THEN 'accept' WHEN c0 > confidence + 0.2 THEN 'keep' ELSE 'manual' END AS advice FROM (SELECT n.id, n.i, n.text, n.confidence, f.id AS existing, f.i AS i0, f.text AS t0, f.confidence AS c0 FROM {notes} n JOIN (SELECT canonical_key, min(i) AS first FROM {notes} GROUP BY canonical_key HAVING count(*) > 1) k ON n.canonical_key = k.canonical_key JOIN {notes} f ON f.i = k.first) x WHERE i <> i0",
     "R5_dream_trigger": "SELECT scope, count(*) AS writes FROM {observations} WHERE outcome <> 'failure' GROUP BY scope HAVING count(*) >= 10",
     # lifecycle as relations
     "G12_retention": f"SELECT id, CASE WHEN {_AGE} > 25 THEN 'age' ELSE 'count' END AS reason FROM (SELECT id, ts, row_number() OVER (PARTITION BY scope ORDER BY ts DESC, i) AS rn FROM {{notes}} WHERE status <> 'archived') r WHERE {_AGE} > 25 OR rn > 10",
-    "G16_singletons": "SELECT n.id, CASE WHEN g.n = 1 THEN 'clear' ELSE 'keep' END AS repair FROM {notes} n JOIN (SELECT canonical_key, category, count(*) AS n FROM {notes} GROUP BY canonical_key, category) g ON n.canonical_key = g.canonical_key AND n.category = g.category",
     "G22_skill_outcomes": "SELECT workflow_id, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM {observations} GROUP BY workflow_id",
     "G35_duplicate_ids": "SELECT id FROM (SELECT id FROM {notes} UNION ALL SELECT id FROM {memories}) u GROUP BY id HAVING count(*) > 1",
     "G26_checkup": f"SELECT 'orphans' AS check_name, count(*) AS n FROM {{notes}} WHERE scope IS NULL OR trim(scope) = '' UNION ALL SELECT 'core', count(*) FROM (SELECT {_TIER} AS t FROM {{notes}}) x WHERE t = 'core' UNION ALL SELECT 'unranked_groups', count(DISTINCT version_group) FROM {{notes}} WHERE version_group IS NOT NULL AND confidence < 0.1 UNION ALL SELECT 'bad_dimension', count(*) FROM {{memories}} WHERE cardinality(vector) <> 64 UNION ALL SELECT 'cold', count(*) FROM {{notes}} WHERE access_count >= 6 AND evo_access_count <= 0 UNION ALL SELECT 'open_conflicts', count(*) FROM (SELECT canonical_key FROM {{notes}} WHERE status = 'active' GROUP BY canonical_key HAVING count(*) > 1) c UNION ALL SELECT 'stale_sources', count(*) FROM (SELECT scope_root FROM {{notes}} GROUP BY scope_root HAVING max(ts) < {NOW - 7 * DAY}) s UNION ALL SELECT 'singleton_groups', count(*) FROM (SELECT version_group FROM {{notes}} WHERE version_group IS NOT NULL GROUP BY version_group HAVING count(*) = 1) v",

@@ -221,8 +221,7 @@ _DEPENDS = "SELECT n_nationkey, concat('f', CAST(n_nationkey AS STRING)) AS ref,
 )
 def f24(spark: Spark, d: str) -> DataFrame:
     """Every note depends on a file and a revision named after nations; what these are now is a table."""
-    model.table(spark, d, "nation").createOrReplaceTempView("nation")
-    now = spark.sql(_DEPENDS)
+    now = model._views(spark, d, _DEPENDS, "nation")
     state = now.select(F.explode(F.array(*map(F.lit, C.DEPENDENCY_KINDS))).alias("kind"), "ref", F.col("rev").alias("current"))
     i = F.col("i")
     key = {"git-rev": F.concat(F.lit("f"), (i % 25).cast("string")), "file": F.concat(F.lit("f"), (i * 3 % 25).cast("string"))}

@@ -286,12 +286,6 @@ def t15(spark: Spark, d: str) -> DataFrame:
     return notes(spark, d).withColumn("e", T.emotion(F.col("text"))).select("id", F.round("e.valence", 6).alias("valence"), F.col("e.arousal").alias("arousal"))
 
 
-@query("T12_pii", "SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}')) AS email, len(regexp_extract_all(text, '1[3-9][0-9]{9}')) AS phone, len(regexp_extract_all(text, '(?i)[\"'']?(?:api[_-]?key|token|secret)[\"'']?\\s*[=:]\\s*[\"'']?[A-Za-z0-9_\\-]{20,}')) AS api_key FROM documents")
-def t12(spark: Spark, d: str) -> DataFrame:
-    c = T.pii_counts(F.col("text"))
-    return model.table(spark, d, "documents").select("doc_id", *(c[k].cast("long").alias(k) for k in ("email", "phone", "api_key")))
-
-
 @query("T13_redact")
 def t13(spark: Spark, d: str) -> DataFrame:
     """Every document; the rules need look-around, so a test holds them against plain patterns instead of SQL."""
