@@ -253,3 +253,14 @@ def test_families_of_licenses_and_repeated_notices(spark):
     got = {x["doc_id"]: x for x in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["licenses"] for i in range(1, 7)] == [["AGPL-3.0"], ["LGPL"], ["GPL", "GPL-3.0"], ["MIT"], [], ["GPL", "GPL-2.0"]]
     assert got[4]["n_matches"] == 2
+
+
+def test_evidence_is_the_mean_likelihood_ratio_of_the_passages():
+    r = np.random.default_rng(8)
+    for n in (1, 3, 4, 5, 50):
+        ratios = r.normal(size=n)
+        sums = [ratios[i : i + 4].sum() for i in range(n - 3)] if n > 4 else [ratios.sum()]
+        assert abs(toxicity.text_evidence(ratios) - np.log(np.mean(np.exp(sums))) / min(n, 4)) < 1e-9 or n <= 4 and abs(toxicity.text_evidence(ratios) - ratios.mean()) < 1e-9
+    ordinary = [toxicity.text_evidence(r.normal(-0.5, 0.5, n)) for n in [40] * 300 + [4000] * 300]
+    assert abs(np.mean(ordinary[:300]) - np.mean(ordinary[300:])) < 0.05  # length says nothing
+    assert toxicity.text_evidence(np.zeros(0)) == 0 and np.isfinite(toxicity.text_evidence(np.full(100, 800.0)))

@@ -4,12 +4,14 @@ Two interpolated Kneser-Ney models over the characters of words, one of toxic an
 one of ordinary texts.  Only the highest order has counts of its own for each
 class; what it lacks comes from continuation counts that both share and that are
 gathered over *all* documents, so a rare expression is smoothed alike in both and
-only evidence separates them.  A passage's evidence is the difference of its two
-log-likelihoods, normalised by its length in words; passages are `passage` words and
-start at every word, and a text has the evidence of its most toxic one, since what makes
-a text toxic may be a few words of thousands.  A text shorter than that is one passage.
-Logistic calibration on labelled rows that the counts have not seen turns evidence
-into a score.
+only evidence separates them.  What makes a text toxic may be a few words of thousands,
+so a toxic text is one that has a toxic passage of `passage` words anywhere, all places
+alike likely, and is ordinary beside it.  A text's evidence is the log-likelihood of
+being so less that of being ordinary throughout, normalised by the passage's length: the
+logarithm of the mean, over the passages at every word, of their likelihood ratios.  It
+does not grow with the length of an ordinary text, as a maximum would.  A text shorter
+than a passage is one.  Logistic calibration on labelled rows that the counts have not
+seen turns evidence into a score.
 
 All counts are exact: each gram and each context has its own 64-bit key and no two
 share a count, so the tables grow with what the corpus holds.  The class counts come
@@ -212,19 +214,21 @@ def gather_classes(docs: DataFrame, sample: DataFrame) -> tuple[dict[str, np.nda
     return {"grams": g, "count": count, "contexts": h, "total": total, "kinds": kinds}, wanted
 
 
-def most_toxic(ratios: np.ndarray, passage: int = PASSAGE) -> float:
-    """The highest mean of `passage` neighbouring words' ratios."""
+def text_evidence(ratios: np.ndarray, passage: int = PASSAGE) -> float:
+    """Log of the mean likelihood ratio of the passages, by word of a passage; `ratios` are the words' log ratios."""
     if len(ratios) <= passage:
         return float(ratios.mean()) if len(ratios) else 0.0
-    sums = np.cumsum(ratios)
-    return float(max(sums[passage - 1], (sums[passage:] - sums[:-passage]).max()) / passage)
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    sums = sums[passage:] - sums[:-passage]
+    top = sums.max()
+    return float((top + np.log(np.exp(sums - top).mean())) / passage)
 
 
 def passages(texts: list[str], known: Evidence, passage: int) -> list[float]:
-    """Evidence of each text's most toxic passage."""
+    """Evidence of each text."""
     words = [find_words(t.lower()) for t in texts]
     known.learn(set().union(*words))
-    return [most_toxic(np.fromiter(map(known.__getitem__, w), np.float64, len(w)), passage) for w in words]
+    return [text_evidence(np.fromiter(map(known.__getitem__, w), np.float64, len(w)), passage) for w in words]
 
 
 def evidence(docs: DataFrame, model: object, passage: int = PASSAGE, keep: str = "") -> DataFrame:
