@@ -170,12 +170,6 @@ def best_pairs(df: DataFrame, threshold: float, group: list[str], most: int, blo
     return _similar(df, threshold, group, block, differ, top, "a string, b string, cos double").orderBy(F.round("cos", 9).desc(), "a", "b").limit(most)
 
 
-def predictions(signals: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
-    """Signals (kind, subject, weight) whose weight times that of their kind is enough, the strongest first."""
-    kind = F.when(F.col("kind") == "routine", 1.0).when(F.col("kind") == "gap", 0.9).when(F.col("kind") == "trend", 0.85).otherwise(0.8)
-    return signals.withColumn("confidence", F.col("weight") * kind).where(F.col("confidence") >= least).orderBy(F.round("confidence", 9).desc(), "kind", "subject").limit(most)
-
-
 def triggered(reminders: DataFrame, message: str, now: int) -> DataFrame:
     """Pending reminders (id, trigger, expires_at) all of whose words of 2 characters or more are in the message."""
     words = F.filter(F.split(F.lower("trigger"), r"[\s,;，；]+"), lambda w: F.length(w) >= 2)

@@ -34,10 +34,8 @@ REPORTS: dict[str, str] = {
     "F6_validity": f"SELECT id, CASE WHEN valid_until IS NOT NULL AND valid_until < {NOW} THEN round(importance * 0.2, 6) ELSE round(importance, 6) END AS score FROM {{notes}} WHERE valid_from IS NULL OR valid_from <= {NOW}",
     "F8_temporal": f"SELECT id, ts FROM {{notes}} WHERE ts BETWEEN {NOW - 20 * DAY} AND {NOW - 10 * DAY}",
     "F12_category_min_score": "SELECT id, category, round(importance, 6) AS score FROM {notes} WHERE importance >= CASE category WHEN 'profile' THEN 0.25 WHEN 'preferences' THEN 0.25 WHEN 'entities' THEN 0.30 WHEN 'events' THEN 0.35 WHEN 'cases' THEN 0.40 ELSE 0.45 END",
-    "F14_topic": "SELECT id FROM {memories} WHERE topic = 3",
     "F18_legacy_scope": "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN scope IS NULL THEN 'missing' WHEN trim(scope) = '' THEN 'empty' WHEN trim(scope) = 'global' THEN 'global' ELSE 'scoped' END AS kind FROM {notes}) k GROUP BY kind",
     "F19_evidence": "SELECT id, layer FROM {notes} WHERE layer = 'evidence'",
-    "F21_privacy": "SELECT id, CASE i % 4 WHEN 0 THEN 'ephemeral' WHEN 1 THEN 'private' ELSE 'durable' END AS tier FROM {notes} WHERE i % 4 NOT IN (0, 1)",
     "F23_usage_status": "SELECT id, CASE WHEN access_count <= 0 THEN 'unused' WHEN evo_access_count <= 0 AND access_count >= 6 THEN 'cold' WHEN evo_access_count / CAST(access_count AS DOUBLE) >= 0.3 THEN 'hot' ELSE 'warm' END AS usage FROM {notes}",
     "F25_after_before": f"SELECT id, ts FROM {{notes}} WHERE ts >= {NOW - 25 * DAY} AND ts < {NOW - 5 * DAY} ORDER BY importance DESC, i LIMIT 20",
     "F26_scope_fallback": "SELECT id FROM {notes} WHERE scope = 'nowhere:en' OR (scope_root = 'src1' AND NOT EXISTS (SELECT 1 FROM {notes} x WHERE x.scope = 'nowhere:en'))",
@@ -51,7 +49,6 @@ REPORTS: dict[str, str] = {
     "J12_orphan_links": "SELECT n.id, n.consolidated_into FROM {notes} n LEFT JOIN {notes} t ON n.consolidated_into = t.id WHERE n.consolidated_into IS NOT NULL AND t.id IS NULL",
     "J13_point_in_time": f"SELECT id FROM {{notes}} WHERE coalesce(valid_from, ts) <= {NOW - 3 * DAY} AND coalesce(valid_until, {NOW * 2}) >= {NOW - 3 * DAY}",
     "J14_topic_coverage": f"SELECT q.topic FROM (SELECT DISTINCT topic FROM {{memories}}) q WHERE NOT EXISTS (SELECT 1 FROM {{memories}} m WHERE m.topic = q.topic AND m.ts >= {NOW - 4 * DAY})",
-    "J16_cue_scope": "SELECT cue, min(scope_root) AS scope, count(DISTINCT scope_root) AS scopes, CASE WHEN count(DISTINCT scope_root) = 1 THEN 1 ELSE 0 END AS decides FROM (SELECT c.cue, n.scope_root FROM {notes} n JOIN (SELECT 'idiot' AS cue UNION ALL SELECT 'AKIA' UNION ALL SELECT 'Apache' UNION ALL SELECT 'token') c ON n.text LIKE concat('%', c.cue, '%')) h GROUP BY cue",
     # aggregates
     "A1_grouping_sets": "SELECT scope, category, count(*) AS n FROM {notes} GROUP BY GROUPING SETS ((scope), (category), ())",
     "A2_legacy_audit": "SELECT count(*) AS total, sum(CASE WHEN scope IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN scope = '' THEN 1 ELSE 0 END) AS empty_scope, sum(CASE WHEN scope = 'global' THEN 1 ELSE 0 END) AS global_scope, max(ts) AS newest FROM {notes}",
@@ -66,13 +63,11 @@ REPORTS: dict[str, str] = {
     "A14_workflow_windows": f"SELECT workflow_id, days, count(*) AS total, {_WINDOW} FROM {{observations}} o CROSS JOIN (SELECT 7 AS days, TIMESTAMP '2024-01-25 00:00:00' AS since UNION ALL SELECT 30, TIMESTAMP '2024-01-02 00:00:00') w WHERE o.recorded_at >= w.since GROUP BY workflow_id, days",
     "A14_top_signals": "SELECT workflow_id, signal, n FROM (SELECT workflow_id, signal, n, row_number() OVER (PARTITION BY workflow_id ORDER BY n DESC, signal) AS rn FROM (SELECT workflow_id, signal, count(*) AS n FROM {observations} WHERE signal IS NOT NULL AND outcome <> 'success' GROUP BY workflow_id, signal) c) r WHERE rn <= 3",
     "A15_dashboard": f"SELECT scope, workflow_id, total, issues, CASE WHEN failures >= 1 OR missed >= 2 OR issues >= 3 OR (total >= 4 AND successes / CAST(total AS DOUBLE) < 0.5) THEN 'critical' WHEN issues >= 1 OR successes / CAST(total AS DOUBLE) < 0.75 THEN 'watch' ELSE 'healthy' END AS status FROM (SELECT scope, workflow_id, count(*) AS total, {_WINDOW} FROM {{observations}} WHERE recorded_at >= TIMESTAMP '2024-01-02 00:00:00' GROUP BY scope, workflow_id) g",
-    "A16_status": f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN failures >= 1 OR missed >= 2 OR issues >= 3 THEN 'critical' WHEN issues >= 1 THEN 'watch' ELSE 'healthy' END AS status FROM (SELECT workflow_id, scope, {_WINDOW} FROM {{observations}} WHERE value > 90 GROUP BY workflow_id, scope) g) s GROUP BY status",
     "A17_conflict_clusters": "SELECT canonical_key, count(*) AS n, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS open_n, max(ts) AS latest FROM {notes} GROUP BY canonical_key HAVING count(*) > 1",
     "A18_conflict_summary": "SELECT count(*) AS clusters, sum(n) AS members, max(n) AS largest FROM (SELECT canonical_key, count(*) AS n FROM {notes} GROUP BY canonical_key HAVING count(*) > 1) c",
     "A21_uptake": "SELECT scope_root, round(sum(CASE WHEN access_count > 0 THEN 1 ELSE 0 END) / CAST(nullif(count(*), 0) AS DOUBLE), 6) AS uptake FROM {notes} WHERE category = 'patterns' GROUP BY scope_root",
     "A22_dominant_category": "SELECT topic, category, n, round(most, 6) AS most FROM (SELECT topic, category, n, max(m) OVER (PARTITION BY topic) AS most, row_number() OVER (PARTITION BY topic ORDER BY n DESC, category) AS rn FROM (SELECT topic, category, count(*) AS n, max(importance) AS m FROM {memories} GROUP BY topic, category) c) r WHERE rn = 1",
     "A23_skip_counts": f"SELECT sum(CASE WHEN r = 'short' THEN 1 ELSE 0 END) AS short_n, sum(CASE WHEN r = 'copy' THEN 1 ELSE 0 END) AS copy_n, sum(CASE WHEN r = 'new' THEN 1 ELSE 0 END) AS new_n FROM (SELECT CASE WHEN length(text) < 100 THEN 'short' WHEN row_number() OVER (PARTITION BY {_NORM} ORDER BY i) > 1 THEN 'copy' ELSE 'new' END AS r FROM {{notes}}) x",
-    "A24_health_score": f"SELECT greatest(0, least(100, 100 - dup * 5 - CAST(floor(stale * 0.5) AS BIGINT) - orphan * 3)) AS health FROM (SELECT sum(CASE WHEN i % 97 = 0 THEN 1 ELSE 0 END) AS dup, sum(CASE WHEN {_AGE} > 31.9 AND access_count <= 1 THEN 1 ELSE 0 END) AS stale, sum(CASE WHEN scope = '' THEN 1 ELSE 0 END) AS orphan FROM {{notes}}) f",
     "A26_extents": "SELECT min(ts) AS min_ts, max(ts) AS max_ts, max(access_count) AS most FROM {notes}",
     # windows, sorts, sets
     "W1_channel_rank": "SELECT id, scope, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, i) AS rank FROM {notes}",
@@ -82,12 +77,9 @@ REPORTS: dict[str, str] = {
     "O2_omitted": "SELECT scope, count(*) - least(count(*), 20) AS omitted FROM {notes} GROUP BY scope",
     "U5_entities": "SELECT subject AS entity FROM {triples} UNION SELECT object FROM {triples}",
     "U6_edge_dedup": "SELECT DISTINCT subject, predicate, object FROM {triples}",
-    "U7_except": "SELECT id FROM {notes} EXCEPT SELECT id FROM {memories}",
     # analytical reports
     "B1_category_tier": f"SELECT category, t AS tier, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM (SELECT category, {_TIER} AS t FROM {{notes}}) x GROUP BY category, t",
-    "B2_timeline": f"SELECT CAST(floor((ts - 1704067200000) / CAST({7 * DAY} AS DOUBLE)) AS BIGINT) AS week, sum(CASE WHEN category = 'profile' THEN 1 ELSE 0 END) AS profile, sum(CASE WHEN category = 'preferences' THEN 1 ELSE 0 END) AS preferences, sum(CASE WHEN category = 'entities' THEN 1 ELSE 0 END) AS entities, sum(CASE WHEN category = 'events' THEN 1 ELSE 0 END) AS events_n, sum(CASE WHEN category = 'cases' THEN 1 ELSE 0 END) AS cases, sum(CASE WHEN category = 'patterns' THEN 1 ELSE 0 END) AS patterns FROM {{notes}} GROUP BY CAST(floor((ts - 1704067200000) / CAST({7 * DAY} AS DOUBLE)) AS BIGINT)",
     "B3_daily": f"SELECT CAST(floor(ts / CAST({DAY} AS DOUBLE)) AS BIGINT) AS day, count(*) AS n FROM {{notes}} WHERE ts >= {NOW - 90 * DAY} GROUP BY CAST(floor(ts / CAST({DAY} AS DOUBLE)) AS BIGINT)",
-    "B4_hours": "SELECT h AS hour, count(*) AS n FROM (SELECT CAST(floor(ts / CAST(3600000 AS DOUBLE)) AS BIGINT) % 24 AS h FROM {notes}) x GROUP BY h",
     "B5_histograms": "SELECT least(19, CAST(floor(importance * 20) AS BIGINT)) AS bin, least(29, CAST(floor(least(length(text), 3000) / CAST(100 AS DOUBLE)) AS BIGINT)) AS length_bin, count(*) AS n FROM {notes} GROUP BY least(19, CAST(floor(importance * 20) AS BIGINT)), least(29, CAST(floor(least(length(text), 3000) / CAST(100 AS DOUBLE)) AS BIGINT))",
     "B6_buckets": f"SELECT CASE WHEN access_count = 0 THEN '0' WHEN access_count <= 2 THEN '1-2' WHEN access_count <= 5 THEN '3-5' ELSE '6+' END AS accesses, CASE WHEN {_AGE} < 7 THEN '<7' WHEN {_AGE} < 30 THEN '<30' ELSE '30+' END AS age, count(*) AS n FROM {{notes}} GROUP BY CASE WHEN access_count = 0 THEN '0' WHEN access_count <= 2 THEN '1-2' WHEN access_count <= 5 THEN '3-5' ELSE '6+' END, CASE WHEN {_AGE} < 7 THEN '<7' WHEN {_AGE} < 30 THEN '<30' ELSE '30+' END",
     "B7_scope_matrix": "SELECT n.scope, n.category, count(*) AS n FROM {notes} n JOIN (SELECT scope FROM (SELECT scope, row_number() OVER (ORDER BY count(*) DESC, scope) AS rn FROM {notes} GROUP BY scope) r WHERE rn <= 10) t ON n.scope = t.scope GROUP BY n.scope, n.category",
@@ -96,7 +88,6 @@ REPORTS: dict[str, str] = {
     "B13_fingerprint_dups": "SELECT id, fp_n FROM (SELECT id, count(*) OVER (PARTITION BY substring(text, 1, 100)) AS fp_n, row_number() OVER (PARTITION BY substring(text, 1, 100) ORDER BY access_count DESC, length(text) DESC, ts, i) AS rn FROM {notes}) d WHERE fp_n > 1 AND rn = 1",
     "B14_exact_dups": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY text ORDER BY access_count DESC, ts, i) AS rn FROM {notes}) d WHERE rn > 1",
     "B15_scope_ecology": "SELECT count(*) AS scopes, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS single, sum(CASE WHEN n <= 5 THEN 1 ELSE 0 END) AS tiny, round(max(n) / CAST(sum(n) AS DOUBLE), 6) AS top_share FROM (SELECT scope, count(*) AS n FROM {notes} GROUP BY scope) s",
-    "B16_orphan_scopes": "SELECT id, scope FROM (SELECT id, scope, access_count, count(*) OVER (PARTITION BY canonical_key) AS n FROM {notes}) s WHERE n = 1 AND access_count = 0",
     "B17_stale_keywords": "SELECT w.word, count(*) AS hits, sum(CASE WHEN n.access_count = 0 THEN 1 ELSE 0 END) AS dead FROM {notes} n JOIN (SELECT 'Version' AS word UNION ALL SELECT 'License' UNION ALL SELECT 'token') w ON n.text LIKE concat('%', w.word, '%') GROUP BY w.word",
     "B21_outliers": f"SELECT sum(CASE WHEN scope = '' THEN 1 ELSE 0 END) AS empty_scope, sum(CASE WHEN importance >= 0.8 AND access_count = 0 THEN 1 ELSE 0 END) AS unused_important, sum(CASE WHEN tier = 'working' AND {_AGE} > 60 THEN 1 ELSE 0 END) AS old_working FROM {{notes}}",
     "B23_dashboard": f"SELECT count(*) AS total, sum(CASE WHEN ts >= {NOW - 7 * DAY} THEN 1 ELSE 0 END) AS week, sum(CASE WHEN ts >= {NOW - 30 * DAY} THEN 1 ELSE 0 END) AS month FROM {{notes}}",
@@ -109,12 +100,7 @@ REPORTS: dict[str, str] = {
     "U3_candidates": "SELECT id, origin FROM (SELECT id, origin, row_number() OVER (PARTITION BY id ORDER BY priority) AS rn FROM (SELECT id, 'direct' AS origin, 1 AS priority FROM {notes} WHERE importance > 0.9 UNION ALL SELECT source_memory_id, 'kg', 2 FROM {triples} WHERE subject LIKE 'n%' UNION ALL SELECT superseded_by, 'evolution', 3 FROM {notes} WHERE superseded_by IS NOT NULL) u) r WHERE rn = 1",
     "W2_top_two": "SELECT scope, id FROM (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY confidence DESC, i) AS rn FROM {notes}) x WHERE rn <= 2",
     "F22_prefilter": "SELECT query_id, id FROM (SELECT scope AS query_id, id, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, i) AS rn FROM {notes} WHERE importance >= 0.40) x WHERE rn <= 10",
-    "T30_template": "SELECT id, concat('Pattern: ', category, ' | scope ', scope, ' | used ', CAST(access_count AS STRING), ' times') AS text FROM {notes} WHERE category = 'patterns'",
-    "X2_useful": "SELECT id FROM {notes} WHERE (coalesce(authority, '') = 'structured' AND category IN ('cases', 'patterns')) OR (category <> 'cases' AND layer = 'durable') OR (category = 'cases' AND length(text) >= 80 AND importance >= 0.70 AND text LIKE '%the%')",
-    "X5_workflow_fallback": "SELECT scope, workflow_id, round(4 * max(CASE WHEN signal IS NOT NULL THEN 1 ELSE 0 END) + count(*) / CAST(10 AS DOUBLE) + max(CASE WHEN outcome = 'failure' THEN 2 ELSE 0 END), 6) AS score FROM {observations} GROUP BY scope, workflow_id",
-    "X7_pins": "SELECT id, round(2 * hits + 3 * own - 0.01 * position, 6) AS score FROM (SELECT id, CASE WHEN text LIKE '%the%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%token%' THEN 1 ELSE 0 END AS hits, CASE WHEN scope_root = 'src1' THEN 1 ELSE 0 END AS own, row_number() OVER (ORDER BY ts DESC, i) - 1 AS position FROM (SELECT id, text, scope_root, ts, i FROM {notes} WHERE tier = 'core' ORDER BY ts DESC, i LIMIT 200) newest) p WHERE 2 * hits + 3 * own > 0",
     "G10_orient": "SELECT scope, count(*) AS total, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS active, max(ts) AS newest, CASE WHEN count(*) >= 10 THEN 'run' ELSE 'skip' END AS decision FROM {notes} GROUP BY scope",
-    "G14_forget_scope": "SELECT t.subject, t.predicate, t.object FROM {triples} t LEFT JOIN {notes} n ON n.id = t.source_memory_id AND n.scope_root = 'src1' WHERE n.id IS NULL",
     "G27_graph_edges": "SELECT source, target, kind FROM (SELECT id AS source, superseded_by AS target, 'evolution' AS kind FROM {notes} WHERE superseded_by IS NOT NULL UNION ALL SELECT id, consolidated_into, 'consolidation' FROM {notes} WHERE consolidated_into IS NOT NULL UNION ALL SELECT id, lead(id) OVER (PARTITION BY version_group ORDER BY confidence DESC, i), 'version' FROM {notes} WHERE version_group IS NOT NULL) e WHERE target IN (SELECT id FROM {notes})",
     "G28_conflict_fingerprint": "SELECT md5(concat(canonical_key, '/', category)) AS fingerprint, count(*) AS n, CASE WHEN max(access_count) >= 8 THEN 'escalated' WHEN max(ts) < 1706140800000 THEN 'stale' WHEN max(ts) < 1706572800000 THEN 'aging' ELSE 'fresh' END AS attention FROM {notes} GROUP BY canonical_key, category HAVING count(*) > 1",
     "R5_dream_trigger": "SELECT scope, count(*) AS writes FROM {observations} WHERE outcome <> 'failure' GROUP BY scope HAVING count(*) >= 10",

@@ -27,4 +27,4 @@ for _name in _reports.REPORTS:
     QUERIES[_name] = lambda spark, sf_dir, n=_name: _reports.report(n, spark, sf_dir)
     ORACLE_SQL[_name] = _reports.oracle(_name)
 
-from tidewell.queries import scoring, memory, rounds, kept, retrieval, writing, streams, capture, gates, files  # noqa: E402, F401
+from tidewell.queries import scoring, memory, rounds, kept, retrieval, writing, measures, streams, capture, gates, files  # noqa: E402, F401

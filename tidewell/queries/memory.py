@@ -360,11 +360,6 @@ def b10(spark: Spark, d: str) -> DataFrame:
     return words.where(~F.col("word").isin(T.STOP_EN)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(40)
 
 
-@query("B12_years", "SELECT y AS year, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '\\b(20[0-9][0-9])\\b', 1)) AS y FROM pages) x GROUP BY y")
-def b12(spark: Spark, d: str) -> DataFrame:
-    return model.table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"\b(20[0-9][0-9])\b"), F.lit(1))).alias("year")).groupBy("year").agg(F.count("*").alias("n"))
-
-
 _NAMES = "regexp_extract_all(text, '[A-Za-z0-9_\\x{00c0}-\\x{024f}]+')"
 
 
@@ -702,13 +697,6 @@ def g18(spark: Spark, d: str) -> DataFrame:
     return x.select("id", lifecycle.write_disposition(F.col("category"), F.col("k").isNotNull(), F.coalesce(F.col("text") == F.col("t"), F.lit(False)), F.col("i") % 2 == 0).alias("disposition"))
 
 
-@query("G23_predictions", f"{N} SELECT kind, subject, round(c, 6) AS confidence FROM (SELECT kind, subject, weight * CASE kind WHEN 'routine' THEN 1.0 WHEN 'gap' THEN 0.9 WHEN 'trend' THEN 0.85 ELSE 0.8 END AS c FROM (SELECT CASE i % 4 WHEN 0 THEN 'routine' WHEN 1 THEN 'gap' WHEN 2 THEN 'trend' ELSE 'other' END AS kind, id AS subject, importance AS weight FROM notes) s) x WHERE c >= 0.6 ORDER BY round(c, 9) DESC, kind, subject LIMIT 5")
-def g23(spark: Spark, d: str) -> DataFrame:
-    kind = F.when(F.col("i") % 4 == 0, "routine").when(F.col("i") % 4 == 1, "gap").when(F.col("i") % 4 == 2, "trend").otherwise("other")
-    s = notes(spark, d).select(kind.alias("kind"), F.col("id").alias("subject"), F.col("importance").alias("weight"))
-    return lifecycle.predictions(s).select("kind", "subject", F.round("confidence", 6).alias("confidence"))
-
-
 @query("G24_reminders", f"{N} SELECT id FROM notes WHERE (valid_until IS NULL OR valid_until >= {NOW}) AND language IN ('en', 'fr') AND scope_root IN ('src1', 'src2')")
 def g24(spark: Spark, d: str) -> DataFrame:
     r = notes(spark, d).select("id", F.concat_ws(" ", "scope_root", "language").alias("trigger"), F.col("valid_until").alias("expires_at"))
@@ -768,11 +756,6 @@ def g25(spark: Spark, d: str) -> DataFrame:
     return tag("duplicate", dup).unionByName(tag("stale", stale)).unionByName(tag("orphan", orphan)).unionByName(tag("cold", m.where("access_count >= 6 and evo_access_count <= 0")))
 
 
-@query("B18_near_dup_rate", f"{M} SELECT count(*) AS pairs FROM memories m JOIN memories q ON m.topic = q.topic AND m.id < q.id WHERE {_COS} >= 0.4")
-def b18(spark: Spark, d: str) -> DataFrame:
-    return lifecycle.similar_links(memories(spark, d), 0.4, ["topic"]).agg(F.coalesce(F.floor(F.sum("links") / 2), F.lit(0)).cast("long").alias("pairs"))
-
-
 def _features(spark: Spark, d: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
