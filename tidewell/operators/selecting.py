@@ -132,7 +132,7 @@ def collapse_to_budget(df: DataFrame, budget: int = 8000) -> DataFrame:
 
 
 def batch_dedup(vectors: list[np.ndarray], threshold: float = 0.93) -> list[bool]:
-    """Which rows of a batch stay, the earlier of two near-duplicates first."""
+    """D8 for one short list: which rows stay, the earlier of two near-duplicates first; `similar.batch_dedup` is for tables."""
     kept: list[int] = []
     out = []
     for i, v in enumerate(vectors):

@@ -491,12 +491,31 @@ def _ranked(spark: Spark, d: str) -> DataFrame:
     return memories(spark, d).withColumn("rn", F.row_number().over(w)).where("rn <= 20").withColumns({"query_id": F.col("topic").cast("string"), "score": F.col("importance")})
 
 
-@query("D1_mmr")
+#: The lists with their rows' earlier near ones, for loops as recursion.
+_LISTS = f"""t AS (SELECT *, CAST(topic AS VARCHAR) AS query_id, importance AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY importance DESC, id) AS rn FROM memories) x WHERE rn <= 20),
+near AS (SELECT m.query_id, m.rn, list(q.rn) AS earlier FROM t q JOIN t m ON q.query_id = m.query_id AND q.rn < m.rn AND {_COS} > 0.3 GROUP BY m.query_id, m.rn)"""
+
+
+@query(
+    "D1_mmr",
+    f"""{M.replace('WITH', 'WITH RECURSIVE')}, {_LISTS}, c AS (SELECT query_id, 0::BIGINT AS rn, []::BIGINT[] AS taken FROM (SELECT DISTINCT query_id FROM t) x
+      UNION ALL SELECT c.query_id, c.rn + 1, CASE WHEN n.earlier IS NOT NULL AND list_has_any(n.earlier, c.taken) THEN c.taken ELSE list_append(c.taken, c.rn + 1) END FROM c JOIN t ON t.query_id = c.query_id AND t.rn = c.rn + 1 LEFT JOIN near n ON n.query_id = c.query_id AND n.rn = c.rn + 1),
+    l AS (SELECT query_id, arg_max(taken, rn) AS taken FROM c GROUP BY query_id)
+    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY list_contains(taken, rn) DESC, rn) AS position FROM t JOIN l USING (query_id)""",
+)
 def d1(spark: Spark, d: str) -> DataFrame:
     return selecting.mmr(_ranked(spark, d), 0.3)
 
 
-@query("D2_interference")
+@query(
+    "D2_interference",
+    f"""{M.replace('WITH', 'WITH RECURSIVE')}, {_LISTS}, c AS (SELECT query_id, 0::BIGINT AS rn, []::BIGINT[] AS kept, []::BIGINT[] AS cids, []::BIGINT[] AS late FROM (SELECT DISTINCT query_id FROM t) x
+      UNION ALL SELECT query_id, rn, CASE WHEN fate = 'keep' THEN list_append(kept, rn) ELSE kept END, CASE WHEN fate = 'keep' THEN list_append(cids, coalesce(cid, rn)) ELSE cids END, CASE WHEN fate = 'late' THEN list_append(late, rn) ELSE late END
+      FROM (SELECT *, CASE WHEN m IS NULL THEN 'keep' WHEN score < best * 0.8 THEN 'drop' WHEN len(list_filter(cids, lambda x: x = cid)) >= 3 THEN 'late' ELSE 'keep' END AS fate
+        FROM (SELECT w.*, cids[list_position(kept, m)] AS cid, b.score AS best FROM (SELECT c.query_id, c.rn + 1 AS rn, c.kept, c.cids, c.late, t.score, list_min(list_intersect(n.earlier, c.kept)) AS m FROM c JOIN t ON t.query_id = c.query_id AND t.rn = c.rn + 1 LEFT JOIN near n ON n.query_id = c.query_id AND n.rn = c.rn + 1) w LEFT JOIN t b ON b.query_id = w.query_id AND b.rn = w.m) y) z),
+    l AS (SELECT query_id, max(rn) AS n, arg_max(kept, rn) AS kept, arg_max(late, rn) AS late FROM c GROUP BY query_id)
+    SELECT query_id, id, CASE WHEN n > 2 AND list_contains(late, rn) THEN score * 0.5 ELSE score END AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 2 AND list_contains(late, rn) THEN 1 ELSE 0 END, rn) AS position FROM t JOIN l USING (query_id) WHERE n <= 2 OR list_contains(kept, rn) OR list_contains(late, rn)""",
+)
 def d2(spark: Spark, d: str) -> DataFrame:
     return selecting.interference(_ranked(spark, d), 0.3)
 
@@ -524,7 +543,13 @@ def d6(spark: Spark, d: str) -> DataFrame:
     return selecting.govern(df, notes(spark, d).where("i % 4 = 0")).select("query_id", "id", "position")
 
 
-@query("D7_collapse")
+@query(
+    "D7_collapse",
+    f"""WITH RECURSIVE notes AS ({model.NOTES_SQL}), t AS (SELECT scope AS query_id, id, importance AS score, CAST(ceil(length(text) * 0.25) AS BIGINT) AS f, CAST(ceil(length(l1_overview) * 0.25) AS BIGINT) AS m, CAST(ceil(length(l0_abstract) * 0.25) AS BIGINT) AS l, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, id) AS rn FROM notes),
+    c AS (SELECT query_id, 0::BIGINT AS rn, 0::BIGINT AS used, NULL::VARCHAR AS level FROM (SELECT DISTINCT query_id FROM t) x
+      UNION ALL SELECT query_id, rn, used + CASE level WHEN 'L2' THEN f WHEN 'L1' THEN m WHEN 'L0' THEN l ELSE 0 END, level FROM (SELECT c.query_id, c.rn + 1 AS rn, c.used, t.f, t.m, t.l, CASE WHEN t.score >= 0.85 AND c.used + t.f <= 8000 THEN 'L2' WHEN t.score >= 0.65 AND c.used + t.m <= 8000 THEN 'L1' WHEN t.score >= 0.50 AND c.used + t.l <= 8000 THEN 'L0' ELSE 'drop' END AS level FROM c JOIN t ON t.query_id = c.query_id AND t.rn = c.rn + 1) y)
+    SELECT t.query_id, t.id, c.level FROM c JOIN t ON t.query_id = c.query_id AND t.rn = c.rn""",
+)
 def d7(spark: Spark, d: str) -> DataFrame:
     df = notes(spark, d).select(F.col("scope").alias("query_id"), "id", F.col("importance").alias("score"), T.token_estimate(F.col("text")).alias("full"), T.token_estimate(F.col("l1_overview")).alias("middle"), T.token_estimate(F.col("l0_abstract")).alias("least"))
     return selecting.collapse_to_budget(df)
