@@ -385,3 +385,13 @@ def test_trace(spark):
     df = t.stage(df.where("id > 3"), "two")
     assert t.stage(df.where("score > 0.8"), "three").count() == 1
     assert t.rows() == [(1, "one", 0, 10, 0, 0.0, 0.9), (2, "two", 10, 6, 4, 0.4, 0.9), (3, "three", 6, 1, 5, 0.9, 0.9)]
+
+
+def test_signatures_of_cases(spark):
+    from tidewell.functions import errors
+
+    rows = [(1, "Error: disk is full now", "", "exit code 0, all well", []), (2, "", None, "still fails: exit code 7", ["ran it"]), (3, None, None, None, ["TypeError: x is not a function"]), (4, "calm", "quiet", "exit code 0", ["exit code 0"])]
+    df = spark.createDataFrame(rows, "i int, p string, c string, o string, s array<string>")
+    got = {r["i"]: r["x"] for r in df.select("i", errors.case_signatures(F.col("p"), F.col("c"), F.col("o"), F.col("s")).alias("x")).collect()}
+    assert got[1] == ["Error: disk is full now"] and got[4] == []
+    assert any("exit code 7" in x for x in got[2]) and any("TypeError" in x for x in got[3])

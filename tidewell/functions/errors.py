@@ -56,6 +56,18 @@ def error_signatures(text: Column, most: int = 4) -> Column:
     return F.transform(F.array(tidy), ranked)[0]
 
 
+# Fixed value: what says that an outcome or a step is of a failure.
+FAILURE_HINT = r"(?i)(error|fail|failed|failure|exception|not found|cannot|denied|timeout|拒绝|失败|报错|错误|异常|不能|无法|超时|崩溃)"
+
+
+def case_signatures(problem: Column, context: Column, outcome: Column, steps: Column, most: int = 4) -> Column:
+    """T17 of a case: its problem and context, and its outcome and steps only if they speak of a failure, as outcomes mostly tell of success."""
+    tail = F.array_join(F.concat(F.array(F.coalesce(outcome, F.lit(""))), F.coalesce(steps, F.array().cast("array<string>"))), "\n")
+    said = F.when((F.trim(tail) != "") & tail.rlike(FAILURE_HINT), tail)
+    corpus = F.array_join(F.filter(F.array(problem, context, said), lambda x: F.length(F.trim(x)) > 0), "\n")
+    return error_signatures(corpus, most)
+
+
 # Words that are no entities, and questions that follow a relation, with its predicate.
 NO_ENTITIES = [
     "the", "a", "an", "is", "are", "was", "were", "be", "been",

@@ -45,7 +45,8 @@ REPORTS: dict[str, str] = {
     "J5_semi": "SELECT subject, object FROM {triples} t WHERE subject IN (SELECT object FROM {triples}) AND object IN (SELECT object FROM {triples})",
     "J7_entity_or": "SELECT subject, predicate, object FROM {triples} WHERE subject = 'n3' UNION ALL SELECT subject, predicate, object FROM {triples} WHERE object = 'n3' AND subject <> 'n3'",
     "J8_evolution_links": "SELECT a.id AS id, b.id AS linked, 'next' AS way FROM {notes} a JOIN {notes} b ON a.superseded_by = b.id UNION ALL SELECT b.id, a.id, 'previous' FROM {notes} a JOIN {notes} b ON a.superseded_by = b.id",
-    "J9_narrative_siblings": "SELECT id, sibling, round(score, 6) AS score FROM (SELECT a.id AS id, b.id AS sibling, b.importance * 0.7 AS score, row_number() OVER (PARTITION BY a.id ORDER BY b.ts DESC, b.i) AS rn FROM {notes} a JOIN {notes} b ON a.superseded_by IS NOT NULL AND b.superseded_by IS NOT NULL AND a.scope = b.scope AND a.id <> b.id) s WHERE rn <= 3",
+    # The newest four of a scope hold the three that are not the row itself, so no scope joins with itself.
+    "J9_narrative_siblings": "SELECT id, sibling, round(score, 6) AS score FROM (SELECT a.id AS id, b.id AS sibling, b.importance * 0.7 AS score, row_number() OVER (PARTITION BY a.id ORDER BY b.ts DESC, b.i) AS rn FROM {notes} a JOIN (SELECT id, i, ts, scope, importance FROM (SELECT id, i, ts, scope, importance, row_number() OVER (PARTITION BY scope ORDER BY ts DESC, i) AS newest FROM {notes} WHERE superseded_by IS NOT NULL) n WHERE newest <= 4) b ON a.scope = b.scope AND a.id <> b.id WHERE a.superseded_by IS NOT NULL) s WHERE rn <= 3",
     "J12_orphan_links": "SELECT n.id, n.consolidated_into FROM {notes} n LEFT JOIN {notes} t ON n.consolidated_into = t.id WHERE n.consolidated_into IS NOT NULL AND t.id IS NULL",
     "J13_point_in_time": f"SELECT id FROM {{notes}} WHERE coalesce(valid_from, ts) <= {NOW - 3 * DAY} AND coalesce(valid_until, {NOW * 2}) >= {NOW - 3 * DAY}",
     "J14_topic_coverage": f"SELECT q.topic FROM (SELECT DISTINCT topic FROM {{memories}}) q WHERE NOT EXISTS (SELECT 1 FROM {{memories}} m WHERE m.topic = q.topic AND m.ts >= {NOW - 4 * DAY})",
@@ -103,7 +104,6 @@ REPORTS: dict[str, str] = {
     "G10_orient": "SELECT scope, count(*) AS total, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS active, max(ts) AS newest, CASE WHEN count(*) >= 10 THEN 'run' ELSE 'skip' END AS decision FROM {notes} GROUP BY scope",
     "G27_graph_edges": "SELECT source, target, kind FROM (SELECT id AS source, superseded_by AS target, 'evolution' AS kind FROM {notes} WHERE superseded_by IS NOT NULL UNION ALL SELECT id, consolidated_into, 'consolidation' FROM {notes} WHERE consolidated_into IS NOT NULL UNION ALL SELECT id, lead(id) OVER (PARTITION BY version_group ORDER BY confidence DESC, i), 'version' FROM {notes} WHERE version_group IS NOT NULL) e WHERE target IN (SELECT id FROM {notes})",
     "G28_conflict_fingerprint": "SELECT md5(concat(canonical_key, '/', category)) AS fingerprint, count(*) AS n, CASE WHEN max(access_count) >= 8 THEN 'escalated' WHEN max(ts) < 1706140800000 THEN 'stale' WHEN max(ts) < 1706572800000 THEN 'aging' ELSE 'fresh' END AS attention FROM {notes} GROUP BY canonical_key, category HAVING count(*) > 1",
-    "R5_dream_trigger": "SELECT scope, count(*) AS writes FROM {observations} WHERE outcome <> 'failure' GROUP BY scope HAVING count(*) >= 10",
     # lifecycle as relations
     "G12_retention": f"SELECT id, CASE WHEN {_AGE} > 25 THEN 'age' ELSE 'count' END AS reason FROM (SELECT id, ts, row_number() OVER (PARTITION BY scope ORDER BY ts DESC, i) AS rn FROM {{notes}} WHERE status <> 'archived') r WHERE {_AGE} > 25 OR rn > 10",
     "G22_skill_outcomes": "SELECT workflow_id, sum(CASE WHEN outcome = 'success' THEN 1 ELSE 0 END) AS ok, sum(CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END) AS failed, count(*) AS n FROM {observations} GROUP BY workflow_id",

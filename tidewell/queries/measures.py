@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import model
+from tidewell.functions import errors
+from tidewell.functions import text as T
 from tidewell.operators import store
 from tidewell.plans import measures
 from tidewell.queries import query
+from tidewell.queries.memory import _TOKENS
 from tidewell.queries.rounds import _COS, _TWINS, _twins
 
 NOW, DAY = model.NOW, model.DAY_MS
@@ -240,3 +243,35 @@ def s10(spark: Spark, d: str) -> DataFrame:
     old = model.notes(spark, d)
     p = old.where("i % 4 in (1, 2)").select("id", F.when(F.col("i") % 4 == 1, "merged").otherwise("linked").alias("status"), F.when(F.col("i") % 4 == 1, (F.col("i") - 1).cast("string")).alias("superseded_by"))
     return store.patch(old.select("id", "status", "superseded_by"), p, ["status", "superseded_by"])
+
+
+@query("S1_migrate", f"{N} SELECT id, scope, CAST(NULL AS VARCHAR) AS metadata, CASE WHEN i % 3 = 0 THEN 'en' ELSE language END AS language, md5(text) AS digest FROM notes")
+def s1(spark: Spark, d: str) -> DataFrame:
+    """A table of an older version, without the columns added since, and with nulls in one of them."""
+    old = model.notes(spark, d).select("id", "text", "category", "scope", "importance", F.col("ts").alias("timestamp"), F.when(F.col("i") % 3 != 0, F.col("language")).alias("language"))
+    return model.evolve(old).select("id", "scope", "metadata", "language", F.md5(F.col("fts_text").cast("binary")).alias("digest"))
+
+
+@query("A7_collapse", f"WITH tr AS ({model.TRIPLES_SQL}), s AS (SELECT subject, predicate, object, max(confidence) AS confidence, list_sort(list_distinct(list(source_memory_id))) AS all_ FROM tr GROUP BY ALL) SELECT subject, predicate, object, round(confidence, 6) AS confidence, len(all_) AS mention_count, array_to_string(all_[1:3], ',') AS sources FROM s".replace("GROUP BY ALL", "GROUP BY subject, predicate, object"))
+def a7(spark: Spark, d: str) -> DataFrame:
+    c = store.collapse_triples(model.triples(spark, d), 3)
+    return c.select("subject", "predicate", "object", F.round("confidence", 6).alias("confidence"), "mention_count", F.array_join("sources", ",").alias("sources"))
+
+
+_LIST = lambda c: _TOKENS.replace("lower(text)", f"lower({c})")
+
+
+@query("T4_overlap", f"{N}, x AS (SELECT id, {_LIST('anchor')} AS q, {_LIST('l1_overview')} AS c FROM notes), h AS (SELECT *, len(list_filter(q, lambda t: list_contains(c, t))) AS hits FROM x) SELECT id, round(CASE WHEN len(q) = 0 OR len(c) = 0 THEN 0.0 ELSE 0.7 * hits / len(q) + 0.3 * hits / len(c) END, 6) AS overlap, len(q) <= 4 AS short FROM h")
+def t4(spark: Spark, d: str) -> DataFrame:
+    """What the anchor and the overview of a note share, and whether the anchor would be a short query."""
+    x = model.notes(spark, d).select("id", T.tokens(F.col("anchor")).alias("q"), T.tokens(F.col("l1_overview")).alias("c"))
+    return x.select("id", F.round(T.overlap(F.col("q"), F.col("c")), 6).alias("overlap"), (F.size("q") <= 4).alias("short"))
+
+
+@query("T17_case_signatures")
+def t17(spark: Spark, d: str) -> DataFrame:
+    """Conversations as cases: outcomes of success say nothing, those of failure count."""
+    c = model.table(spark, d, "conversations")
+    t = F.col("conv_id") + F.col("turn")
+    outcome = F.when(t % 3 == 0, F.concat(F.lit("All fine, exit code 0: "), F.substring("text", 1, 20))).when(t % 3 == 1, "It failed with error: disk not found, exit code 5")
+    return c.select("conv_id", "turn", F.array_join(errors.case_signatures(F.col("text"), F.lit(None).cast("string"), outcome, F.when(t % 5 == 0, F.array(F.lit("step one"), F.lit("TypeError: x is undefined in /a/b.ts")))), "|").alias("signatures"))

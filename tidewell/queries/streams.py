@@ -44,3 +44,4 @@ _add("R4_once_per_session", jobs.once_per_session, "append", "SELECT DISTINCT us
 _add("R6_heartbeats", jobs.heartbeats, "complete", "SELECT event_type AS source, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1", ["source", "unix_micros(cast(last AS timestamp)) AS last_us"])
 _add("R7_health_windows", jobs.health_windows, "complete", "SELECT CAST(s AS BIGINT) AS start_s, count(*) AS total, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS failures FROM (SELECT event_type, unnest([floor(epoch(ts) / 86400) * 86400 - 86400 * k FOR k IN range(7)]) AS s FROM events) x GROUP BY s", ["unix_seconds(start) AS start_s", "total", "failures"])
 _add("R9_sessions", jobs.sessions, "complete", "SELECT user_id, CAST(min(epoch_us(ts)) AS BIGINT) AS start_us, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS b FROM events) x) y GROUP BY user_id, s", ["user_id", "unix_micros(cast(start AS timestamp)) AS start_us", "n"])
+_add("R5_dream_trigger", lambda e: jobs.scopes_due(e.where("event_type <> 'error'"), "user_id", 50), "complete", "SELECT user_id AS scope, count(*) AS writes FROM events WHERE event_type <> 'error' GROUP BY user_id HAVING count(*) >= 50", ["*"])

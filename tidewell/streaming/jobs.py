@@ -73,6 +73,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(w, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def scopes_due(events: DataFrame, scope: str = "user_id", least: int = 10) -> DataFrame:
+    """(scope, writes) of the scopes whose writes since the last run have reached a threshold, kept up to date."""
+    return events.groupBy(F.col(scope).alias("scope")).agg(F.count("*").alias("writes")).where(F.col("writes") >= least)
+
+
 def on_threshold(events: DataFrame, least: int, act: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A sink that acts on the scopes whose writes in a batch reach a threshold."""
 
