@@ -68,11 +68,12 @@ def place(keys: np.ndarray, order: int) -> np.ndarray:
 
 
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key stands in a sorted table, or -1."""
+    """Where each key stands in a sorted table, or -1.  Distinct keys are looked up once and in order, so the search walks the table instead of jumping about in it."""
     if not len(table):
         return np.full(len(keys), -1)
+    keys, back = np.unique(keys, return_inverse=True)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+    return np.where(table[at] == keys, at, -1)[back]
 
 
 def top(keys: list[np.ndarray], pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
