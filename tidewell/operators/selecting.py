@@ -182,9 +182,9 @@ def preference_action(cos: Column) -> Column:
     return F.when(score >= 0.92, "skip").when(score >= 0.78, "merge").otherwise("create")
 
 
-def admission(text: Column, noise: Column, importance: Column, recent_writes: Column) -> Column:
+def admission(text: Column, noise: Column, importance: Column, recent_writes: Column, least_chars: int = 10, least_importance: float = 0.2, most_recent: int = 50) -> Column:
     """F16: why a write is refused, null if it is not."""
-    return F.when(F.length(F.trim(text)) < 10, "too_short").when(noise, "noise").when(importance < 0.2, "low_importance").when(recent_writes >= 50, "rate_limited")
+    return F.when(F.length(F.trim(text)) < least_chars, "too_short").when(noise, "noise").when(importance < least_importance, "low_importance").when(recent_writes >= most_recent, "rate_limited")
 
 
 def layer_admission(df: DataFrame, evidence: Column, least: int = 3) -> DataFrame:

@@ -55,8 +55,7 @@ def write_memories(batch: DataFrame, store: DataFrame, now: int, most_per_minute
             "recent": F.count("*").over(minute),
         }
     )
-    full = F.when(F.col("recent") >= most_per_minute, 50).otherwise(0)
-    rows = rows.withColumn("reason", selecting.admission(c("text"), T.is_noise(c("text"), own_prompts), c("importance"), full))
+    rows = rows.withColumn("reason", selecting.admission(c("text"), T.is_noise(c("text"), own_prompts), c("importance"), c("recent"), most_recent=most_per_minute))
     rows = rows.withColumns({"id": T.content_id(c("scope"), c("text")), "canonical_key": T.default_key(c("category"), c("text"))})
     rows = materialise(rows)  # redaction and keys are worked out once
 

@@ -253,11 +253,16 @@ def f13(spark: Spark, d: str) -> DataFrame:
     return selecting.layer_admission(notes(spark, d).withColumn("query_id", F.col("scope")), F.coalesce("layer", F.lit("")) == "evidence").select("query_id", "id")
 
 
-@query("F16_admission", f"{N} SELECT id, CASE WHEN length(trim(text)) < 10 THEN 'too_short' WHEN importance < 0.35 THEN 'low_importance' WHEN n >= 3 THEN 'rate_limited' END AS reason FROM (SELECT *, count(*) OVER (PARTITION BY scope_root ORDER BY ts RANGE BETWEEN 86400000 PRECEDING AND 1 PRECEDING) AS n FROM notes) x")
+_F16 = "SELECT id, scope_root, ts, importance, CASE WHEN i % 9 = 1 THEN ' tiny ' WHEN i % 9 = 2 THEN concat('I don\\'t recall ', substring(text, 1, 50)) ELSE text END AS text FROM notes"
+
+
+@query("F16_admission", f"{N}, r AS ({_F16.replace(chr(92) + chr(39), chr(39) * 2)}), w AS (SELECT id, importance, trim(text) AS t, count(*) OVER (PARTITION BY scope_root ORDER BY ts RANGE BETWEEN 86400000 PRECEDING AND 1 PRECEDING) AS n FROM r) SELECT id, CASE WHEN length(t) < 10 THEN 'too_short' WHEN {_noise_case()} THEN 'noise' WHEN importance < 0.35 THEN 'low_importance' WHEN n >= 3 THEN 'rate_limited' END AS reason FROM w")
 def f16(spark: Spark, d: str) -> DataFrame:
+    """Notes as writes, some of them short or noise; three writes of a source in a day are enough."""
+    rows = spark.sql(_F16.replace("FROM notes", "FROM {notes}"), notes=notes(spark, d))
     w = W.partitionBy("scope_root").orderBy("ts").rangeBetween(-DAY, -1)
-    df = notes(spark, d).withColumn("n", F.count("*").over(w))
-    return df.select("id", selecting.admission(F.col("text"), F.lit(False), F.when(F.col("importance") < 0.35, 0.0).otherwise(1.0), F.when(F.col("n") >= 3, 50).otherwise(0)).alias("reason"))
+    df = rows.withColumn("n", F.count("*").over(w))
+    return df.select("id", selecting.admission(F.col("text"), T.is_noise(F.col("text")), F.col("importance"), F.col("n"), least_importance=0.35, most_recent=3).alias("reason"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_EN)
