@@ -201,7 +201,7 @@ def g20(spark: Spark, d: str) -> DataFrame:
 _DRAFTS = "SELECT id, i, topic, concat('When ', l1_overview, chr(10), 'Tools: ', scope_root, CASE WHEN i % 4 = 0 THEN ', awk, sed' ELSE '' END) AS text, access_count % 5 AS readers FROM memories WHERE category = 'patterns'"
 _CASES = "SELECT concat(id, 'c', k) AS id, i, topic, k, concat(CASE WHEN (i + k) % 3 = 0 THEN 'Nothing of it' ELSE substring(l1_overview, 1, 90) END, chr(10), 'Tools: ', CASE WHEN (i + k) % 2 = 0 THEN scope_root ELSE 'grep' END) AS text, (access_count + k) % 5 AS readers FROM memories, (SELECT unnest([0, 1, 2]) AS k) ks WHERE category = 'patterns'"
 _TOKENS = """list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_./-]{3,}'), lambda w: NOT list_contains(STOP, w)))""".replace("STOP", "[" + ", ".join(f"'{w}'" for w in promotion.EMPTY_WORDS) + "]")
-_TOOLS = "list_distinct(list_filter(list_transform(string_split(regexp_extract(text, '(?:^|\n)Tools:\s*([^\n]+)', 1), ','), lambda t: lower(trim(t))), lambda t: t <> ''))"
+_TOOLS = r"list_distinct(list_filter(list_transform(string_split(regexp_extract(text, '(?:^|\n)Tools:\s*([^\n]+)', 1), ','), lambda t: lower(trim(t))), lambda t: t <> ''))"
 
 
 @query(
