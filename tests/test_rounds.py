@@ -395,3 +395,27 @@ def test_signatures_of_cases(spark):
     got = {r["i"]: r["x"] for r in df.select("i", errors.case_signatures(F.col("p"), F.col("c"), F.col("o"), F.col("s")).alias("x")).collect()}
     assert got[1] == ["Error: disk is full now"] and got[4] == []
     assert any("exit code 7" in x for x in got[2]) and any("TypeError" in x for x in got[3])
+
+
+def test_low_thresholds_compare_whole_groups_in_blocks(spark):
+    """Every near pair of a group comes once, however it is cut; rows of other lengths, empty and zero vectors are near to none."""
+    rng = np.random.default_rng(8)
+    vectors = clouds(rng, 160, 0.6)
+    rows = [(f"p{i:03}", i % 2, v) for i, v in enumerate(vectors)] + [("short", 0, [1.0, 2.0]), ("none", 0, []), ("null", 0, None), ("zero", 0, [0.0] * len(vectors[0]))]
+    df = spark.createDataFrame(rows, "id string, g int, vector array<double>")
+    truth = {(f"p{i:03}", f"p{j:03}") for i in range(160) for j in range(i + 1, 160) if i % 2 == j % 2 and cos(vectors[i], vectors[j]) >= 0.5}
+    for most in (16, 1000):
+        found = similar._block_pairs(df, 0.5, ["g"], spread=3, small=8, most=most).collect()
+        assert {(r["a"], r["b"]) for r in found} == truth and len(found) == len(truth) > 100
+        assert all(abs(r["cos"] - cos(vectors[int(r["a"][1:])], vectors[int(r["b"][1:])])) < 1e-12 for r in found)
+    found = similar.near_pairs(df, 0.5, ["g"], recall=0.5).collect()
+    assert {(r["a"], r["b"]) for r in found} == truth  # bands of that recall would miss some
+
+
+def test_near_pairs_at_low_thresholds_carry_a_row_a_few_times(spark):
+    """What is dealt grows with blocks, not with bands: at 0.75 bands took each row up to 159 times."""
+    rows = [(f"x{i:03}", np.random.default_rng(i).normal(size=8).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    assert similar.choose_bands(0.75)[0] > 100
+    plan = similar.near_pairs(df, 0.75)._jdf.queryExecution().optimizedPlan().toString()
+    assert "buckets" not in plan and "parts" in plan

@@ -18,6 +18,9 @@ from tidewell.operators.graph import materialise
 from tidewell.operators.similar import first_centers, near_pairs, oriented, vector_classes
 
 
+SUMMED = 32  # elements of a vector that one row of sums has
+
+
 def clusters(df: DataFrame, least_cos: float, group: list[str], order: list[Column], recall: float = 0.9999) -> DataFrame:
     """(group, id, center, cos): every row with a vector and the center that it belongs to, the nearest of those near enough, ties by order.
 
@@ -37,21 +40,23 @@ def clusters(df: DataFrame, least_cos: float, group: list[str], order: list[Colu
 
 def oriented_with_cos(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """`similar.oriented` with the pair's cosine and the later row's place `o2`."""
-    placed = rows.select("id", "o")
-    back = oriented(pairs, placed).join(placed.select(F.col("id").alias("late"), F.col("o").alias("o2")), "late")
-    cos = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "cos")
-    return back.withColumns({"x": F.least("early", "late"), "y": F.greatest("early", "late")}).join(cos, ["x", "y"]).drop("x", "y")
+    one, two = rows.select(F.col("id").alias("a"), F.col("o").alias("oa")), rows.select(F.col("id").alias("b"), F.col("o").alias("ob"))
+    early = F.col("oa") < F.col("ob")
+    pick = lambda x, y: F.when(early, F.col(x)).otherwise(F.col(y))
+    return pairs.join(one, "a").join(two, "b").select(pick("a", "b").alias("early"), pick("b", "a").alias("late"), pick("oa", "ob").alias("o"), pick("ob", "oa").alias("o2"), "cos")
 
 
 def cluster_sums(df: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
     """(group, center, n, tightness, importance, reads, readers) of each cluster, from sums that merge.
 
     `tightness` is the mean cosine over the pairs of its members, by the square of the sum of
-    their unit vectors, whose elements are summed one by one.
+    their unit vectors, whose elements are summed `SUMMED` to a row.
     """
     rows = members.select("id", "center", *group).join(df.select("id", V.unit("vector").alias("u"), "importance", "reads", "readers"), "id")
-    flat = rows.select(*group, "center", F.posexplode("u").alias("pos", "x")).groupBy(*group, "center", "pos").agg(F.sum("x").alias("s"))
-    square = flat.groupBy(*group, "center").agg(F.sum(F.col("s") * F.col("s")).alias("square"))
+    pieces = rows.where("size(u) > 0").select(*group, "center", F.explode(F.sequence(F.lit(0), F.size("u") - 1, F.lit(SUMMED))).alias("pos"), "u")
+    summed = pieces.groupBy(*group, "center", "pos").agg(*(F.sum(F.get("u", F.col("pos") + k)).alias(f"s{k}") for k in range(SUMMED)))
+    squares = sum((F.coalesce(F.col(f"s{k}") * F.col(f"s{k}"), F.lit(0.0)) for k in range(SUMMED)), F.lit(0.0))
+    square = summed.groupBy(*group, "center").agg(F.sum(squares).alias("square"))
     sums = rows.groupBy(*group, "center").agg(F.count("*").alias("n"), F.avg("importance").alias("importance"), F.sum("reads").alias("reads"), F.max("readers").alias("readers"))
     tight = F.when(F.col("n") > 1, (F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0)
     return sums.join(square, [*group, "center"]).withColumn("tightness", tight).drop("square")

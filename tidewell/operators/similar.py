@@ -5,6 +5,9 @@ the threshold shares a band with the chance asked for (`recall`), a pair of unre
 vectors hardly ever.  Only rows of one bucket are compared, exactly; a bucket larger than a
 block is cut into blocks and each pair of blocks is a unit of work, so no task grows with a
 bucket.  Equal vectors should be one row (`vector_classes`), or they fill buckets for nothing.
+At thresholds whose bands would be many and short, a row would travel once for each of them;
+there all pairs of a group are compared in blocks (`_block_pairs`), a row travelling only as
+often as its group has blocks, and none is missed.
 
 `first_centers` takes the lexicographically first independent set of such a graph: what a
 loop over the rows in their order would take, worked out in rounds over the edges left.
@@ -73,13 +76,16 @@ def _banded(bands: int, bits: int, seed: int) -> object:
     return run
 
 
-def near_pairs(df: DataFrame, least_cos: float, group: list[str] | None = None, recall: float = 0.9999, block: int = 512, most_bits: int = 2048, seed: int = 11) -> DataFrame:
+def near_pairs(df: DataFrame, least_cos: float, group: list[str] | None = None, recall: float = 0.9999, block: int = 512, most_bits: int = 2048, seed: int = 11, least_bits: int = 16) -> DataFrame:
     """(a, b, cos), a < b: pairs of one group whose cosine is at least that; each pair is found with the chance `recall` or a higher one.
 
     `df` is (id, vector and the group's columns), ids unique.  Every pair is checked exactly
-    and comes once: from the first bucket that both are in.
+    and comes once: from the first bucket that both are in.  Bands of fewer than `least_bits`
+    bits tell too little apart: then all pairs of a group are compared, and all near ones found.
     """
     bands, bits = choose_bands(least_cos, recall, most_bits)
+    if bits < least_bits:
+        return _block_pairs(df, least_cos, group or [])
     rows = materialise(df.select(F.col("id").cast("string").alias("id"), F.xxhash64(F.lit(0), *(group or [])).alias("gr"), "vector").where("vector is not null"))
     entries = rows.mapInArrow(_banded(bands, bits, seed), "id string, gr long, band long, signs long").select("id", F.xxhash64("gr", "band", "signs").alias("bucket"))
     entries = materialise(entries)
@@ -141,6 +147,73 @@ def _unit_pairs(rows: list[tuple], least_cos: float) -> tuple[list[str], list[st
     return [p[0] for p in pairs], [p[1] for p in pairs], cos[np.array(first, bool)] if first else cos[:0]
 
 
+BLOCK_ROWS = 32_768  # rows of one block at most
+CELLS = 2_000_000  # products that a task holds at once
+
+
+def _block_pairs(df: DataFrame, least_cos: float, group: list[str], spread: int = 8, small: int = 2048, most: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, cos), a < b: all pairs of one group whose cosine is at least that.
+
+    A group is cut into up to `spread` blocks of `small` rows or more, and into more only where
+    a block would have over `most` rows; a pair of blocks is one unit.  Products are taken in
+    single precision first, and what may be near is worked out again in double precision.
+    """
+    rows = df.where("size(vector) > 0").select(F.col("id").cast("string").alias("id"), F.xxhash64(F.lit(0), F.size("vector"), *group).alias("gr"), F.col("vector").cast("array<double>").alias("vector"))
+    rows = materialise(rows)
+    parts = F.greatest(F.least(F.ceil(F.col("c") / small), F.lit(spread)), F.ceil(F.col("c") / most)).cast("int")
+    sizes = materialise(rows.groupBy("gr").agg(F.count("*").alias("c")).where("c > 1").select("gr", parts.alias("parts")))
+    placed = rows.join(sizes, "gr").withColumn("at", F.pmod(F.xxhash64(F.lit(2), "id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = placed.select("gr", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "id", "vector")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units come whole and one after the other, as rows are sorted by them."""
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if (unit := tuple(keys[:, a].tolist())) != now:
+                    yield from _near_in_unit(now, held, least_cos)
+                    held, now = [], unit
+                held.append(batch.slice(a, b - a))
+        yield from _near_in_unit(now, held, least_cos)
+
+    dealt = units.repartition("gr", "i", "j").sortWithinPartitions("gr", "i", "j")
+    return dealt.mapInArrow(verify, "a string, b string, cos double")
+
+
+def _near_in_unit(unit: tuple[int, int, int] | None, held: list[pa.RecordBatch], least_cos: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, cos) of the near pairs of one unit, whose rows are (group, i, j, at, id, vector), all vectors of one length."""
+    if sum(b.num_rows for b in held) < 2:
+        return
+    ids, at = pa.concat_arrays([b.column(4) for b in held]), np.concatenate([b.column(3).to_numpy() for b in held])
+    m = np.concatenate([b.column(5).flatten().to_numpy(zero_copy_only=False) for b in held]).reshape(len(ids), -1).astype(np.float64)
+    norm = np.linalg.norm(m, axis=1)
+    m /= np.where(norm > 0, norm, 1)[:, None]
+    short = m.astype(np.float32)
+    _, one, two = unit
+    left, right = (np.arange(len(ids)),) * 2 if one == two else (np.flatnonzero(at == one), np.flatnonzero(at == two))
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(np.array(ids.to_pylist(), dtype=object))] = np.arange(len(ids))
+    least = np.float32(least_cos - (m.shape[1] + 8) * 1.2e-7)  # more than what single precision may be off by
+    other, step = short[right].T, max(1, CELLS // max(len(right), 1))
+    for k in range(0, len(left), step):
+        part = left[k : k + step]
+        i, j = np.divmod(np.flatnonzero(short[part] @ other >= least), max(len(right), 1))
+        i, j = part[i], right[j]
+        if one == two:
+            i, j = i[i < j], j[i < j]
+        cos = np.concatenate([np.zeros(0), *(np.einsum("rd,rd->r", m[i[x : x + 65_536]], m[j[x : x + 65_536]]) for x in range(0, len(i), 65_536))])
+        near = cos >= least_cos - 1e-12
+        i, j, cos = i[near], j[near], cos[near]
+        if len(i):
+            a, b = np.where(place[i] < place[j], i, j), np.where(place[i] < place[j], j, i)
+            yield pa.record_batch([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(cos)], names=["a", "b", "cos"])
+
+
 def first_centers(edges: DataFrame) -> DataFrame:
     """(id, center) of the rows that a loop over all in their order would pass over, and the first center that each is near to.
 
