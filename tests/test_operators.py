@@ -269,3 +269,14 @@ def test_streams_write_their_rows_in_every_mode(spark, tmp_path):
     assert sorted(r["event_id"] for r in each.collect()) == list(range(6))
     (tmp_path / "none").mkdir()
     assert jobs.run_once(stream(str(tmp_path / "none")).select("event_id"), "append", str(tmp_path / "empty")).collect() == []
+
+
+def test_words_of_gates_end_at_ascii_edges(spark):
+    """`Testö` holds the word `Test` for the reference's patterns and for the SQL; Java's own edge takes ö into the word."""
+    from tidewell.functions import gates
+
+    skip = lambda s: one(spark, gates.skip_search(F.lit(s)))
+    assert skip("Testö sch auein erie einügeung lichlichtz pfie") and not skip("Tests of what this is about")
+    assert not skip("run äago of it, and what else there was")
+    assert one(spark, gates.temporal_or_action(F.lit("am 2024-01-05ö")))
+    assert one(spark, T.stance(F.lit("ünot so")))["denies"] == 1

@@ -13,14 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.text import HAN, any_of
-
-#: The edge of an ASCII word, which Java's own \b is not.
-EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-
-
-def _ascii(pattern: str) -> str:
-    return pattern.replace(r"\b", EDGE)
-
+from tidewell.functions.text import ascii_edges as _ascii
 
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -291,7 +284,7 @@ COUNTING = [r"(?i)\b(?:how many|how much|all the|every|list all|total number|cou
 
 
 def counts_things(query: Column) -> Column:
-    return any_of(query, [_ascii(p) for p in COUNTING])
+    return any_of(query, COUNTING)
 
 
 def pool_size(query: Column, limit: Column, size: int = 20, multiplier: float = 1.0) -> Column:
