@@ -419,3 +419,16 @@ def test_near_pairs_at_low_thresholds_carry_a_row_a_few_times(spark):
     assert similar.choose_bands(0.75)[0] > 100
     plan = similar.near_pairs(df, 0.75)._jdf.queryExecution().optimizedPlan().toString()
     assert "buckets" not in plan and "parts" in plan
+
+
+def test_sets_little_alike_are_pairs_too(spark):
+    """Without a threshold every pair of sets with a common item comes, down to the least alike."""
+    rng = random.Random(3)
+    items = [(f"s{i:02}", f"x{rng.randrange(30)}") for i in range(25) for _ in range(2 + i % 5)]
+    by = {i: {x for j, x in items if j == i} for i, _ in items}
+    firsts = {min(j for j in by if by[j] == by[i]) for i in by if len(by[i]) > 1}
+    want = {(a, b): len(by[a] & by[b]) / len(by[a] | by[b]) for a in firsts for b in firsts if a < b and by[a] & by[b]}
+    got = sets.similar_sets(sets.set_classes(spark.createDataFrame(items, "id string, item string"), 2), 0.0).collect()
+    assert {(r["a"], r["b"]): pytest.approx(r["jaccard"]) for r in got} == want and min(want.values()) < 0.2
+    sql = __import__("tidewell.queries", fromlist=["ORACLE_SQL"]).ORACLE_SQL["U4_jaccard"]
+    assert "0.5" not in sql

@@ -34,7 +34,10 @@ def jaccard(a: Column, b: Column, na: Column, nb: Column) -> Column:
 
 
 def similar_sets(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs of different sets of at least that similarity, each set by its class; `classes` is of set_classes()."""
+    """(a, b, jaccard), a < b: pairs of different sets of at least that similarity, each set by its class; `classes` is of set_classes().
+
+    A threshold of 0 asks for every pair with a common item.
+    """
     own = materialise(classes.where("id = class").select("id", "items", "n"))
     prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
     heads = own.select("id", "n", F.explode(F.slice("items", F.lit(1), prefix)).alias("item"))

@@ -84,11 +84,11 @@ def g8_run(spark: Spark, d: str) -> DataFrame:
 _SETS = f"""tr AS ({model.TRIPLES_SQL}), s AS (SELECT source_memory_id AS id, list_sort(list_distinct(list(object))) AS items FROM tr GROUP BY source_memory_id), k AS (SELECT min(id) AS id, items FROM s WHERE len(items) >= 2 GROUP BY items)"""
 
 
-@query("U4_jaccard", f"WITH {_SETS} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))::DOUBLE, 6) AS jaccard FROM k a JOIN k b ON a.id < b.id WHERE len(list_intersect(a.items, b.items)) >= 0.5 * (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))")
+@query("U4_jaccard", f"WITH {_SETS} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.items, b.items)) / (len(a.items) + len(b.items) - len(list_intersect(a.items, b.items)))::DOUBLE, 6) AS jaccard FROM k a JOIN k b ON a.id < b.id WHERE len(list_intersect(a.items, b.items)) > 0")
 def u4(spark: Spark, d: str) -> DataFrame:
-    """Pairs of different sets of objects, each set by the first memory that has it."""
+    """Pairs of different sets of objects that share one, however little alike, each set by the first memory that has it; members are in U4_set_classes."""
     classes = sets.set_classes(model.triples(spark, d).select(F.col("source_memory_id").alias("id"), F.col("object").alias("item")), 2)
-    return sets.similar_sets(classes, 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return sets.similar_sets(classes, 0.0).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("U4_set_classes", f"WITH {_SETS} SELECT s.id, k.id AS class FROM s JOIN k USING (items)")
