@@ -432,3 +432,12 @@ def test_sets_little_alike_are_pairs_too(spark):
     assert {(r["a"], r["b"]): pytest.approx(r["jaccard"]) for r in got} == want and min(want.values()) < 0.2
     sql = __import__("tidewell.queries", fromlist=["ORACLE_SQL"]).ORACLE_SQL["U4_jaccard"]
     assert "0.5" not in sql
+
+
+def test_years_of_the_whole_century_count(spark):
+    from tidewell.plans import measures
+    from tidewell.queries import ORACLE_SQL
+
+    df = spark.createDataFrame([("since 2021, legacy of 2019 and 2027, not 1999",)], "html string")
+    assert {r["year"]: r["n"] for r in measures.years(df, "html").collect()} == {2019: 1, 2021: 1, 2027: 1}
+    assert "BETWEEN" not in ORACLE_SQL["B12_years"]

@@ -119,8 +119,8 @@ def orphan_scopes(df: DataFrame, scope: str = "scope") -> DataFrame:
 # --- Text reports ------------------------------------------------------------------------------------
 
 
-def years(df: DataFrame, text: str, first: int = 2020, last: int = 2026) -> DataFrame:
-    """(year, n): how often a text names a year of the range."""
+def years(df: DataFrame, text: str, first: int = 2000, last: int = 2099) -> DataFrame:
+    """(year, n): how often a text names a year of the range; every 20.. by default."""
     found = df.select(F.explode(F.regexp_extract_all(text, F.lit("(20[0-9]{2})"), F.lit(1))).alias("year")).select(F.col("year").cast("int"))
     return found.where(F.col("year").between(first, last)).groupBy("year").agg(F.count("*").alias("n"))
 

@@ -127,7 +127,7 @@ def b16(spark: Spark, d: str) -> DataFrame:
 _DATED = "SELECT page_id, concat(html, CASE page_id % 6 WHEN 0 THEN ' since 2021, legacy of 2019' WHEN 1 THEN ' TODO 2024 and 2024' WHEN 2 THEN ' Deprecated 20245' WHEN 3 THEN ' 临时 2026 2027' ELSE '' END) AS html FROM pages"
 
 
-@query("B12_years", f"WITH p AS ({_DATED}) SELECT CAST(y AS INT) AS year, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '20[0-9]{{2}}')) AS y FROM p) x WHERE CAST(y AS INT) BETWEEN 2020 AND 2026 GROUP BY y")
+@query("B12_years", f"WITH p AS ({_DATED}) SELECT CAST(y AS INT) AS year, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '20[0-9]{{2}}')) AS y FROM p) x GROUP BY y")
 def b12(spark: Spark, d: str) -> DataFrame:
     return measures.years(_on(spark, _DATED, pages=model.table(spark, d, "pages")), "html")
 
