@@ -280,3 +280,35 @@ def test_words_of_gates_end_at_ascii_edges(spark):
     assert not skip("run äago of it, and what else there was")
     assert one(spark, gates.temporal_or_action(F.lit("am 2024-01-05ö")))
     assert one(spark, T.stance(F.lit("ünot so")))["denies"] == 1
+
+
+def test_queries_against_all_rows_without_pairs(spark):
+    """T18 and T21 in blocks of queries against plain loops; no pair of rows is ever one."""
+    import random
+
+    from tidewell.operators import overlap
+
+    rng = random.Random(2)
+    rows = [(f"n{i}", f"s{i % 2}" if i < 58 else "alone" if i == 58 else None, i, "".join(rng.choice("abcñ😀") for _ in range(rng.choice([1, 2, 9, 40])))) for i in range(60)]
+    grams = lambda t: {t} if len(t) < 3 else {t[k : k + 3] for k in range(len(t) - 2)}
+    want = {}
+    for a in rows[::4] + rows[58:59]:
+        like = [len(grams(a[3]) & grams(b[3])) / len(grams(a[3]) | grams(b[3])) for b in rows if a[1] == b[1] and a[2] != b[2]]
+        if like and a[1] is not None:
+            want[a[0]] = pytest.approx(max(like))
+    df = spark.createDataFrame(rows, "id string, scope string, i long, text string").repartition(3)
+    for chars in (10**6, 60):
+        found = overlap.likest(df, df.where("i % 4 = 0 or i = 58"), chars)
+        assert {r["id"]: r["sim"] for r in found.collect()} == want and 0 < len(want) < 16
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    said = [(f"n{i}", i, (rng.choice([0, 1, 2]), rng.choice([0, 1, 6])), rng.sample(range(-40, 40), rng.choice([0, 1, 5]))) for i in range(300)]
+    df = spark.createDataFrame(said, "id string, i long, stance struct<denies:int,asserts:int>, words array<long>").repartition(3)
+    want = {}
+    for a in said[::2]:
+        hits = [b[1] for b in said if a[1] != b[1] and (a[2][0] & b[2][1] or b[2][0] & a[2][1]) and set(a[3]) & set(b[3])]
+        if hits:
+            want[a[0]] = (len(hits), min(hits))
+    for block in (1000, 40):
+        found = overlap.contradicted(df, df.where("i % 2 = 0"), block)
+        assert {r["id"]: (r["contradicted_by"], r["first"]) for r in found.collect()} == want and len(want) > 50
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
