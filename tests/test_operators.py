@@ -312,3 +312,14 @@ def test_queries_against_all_rows_without_pairs(spark):
         found = overlap.contradicted(df, df.where("i % 2 = 0"), block)
         assert {r["id"]: (r["contradicted_by"], r["first"]) for r in found.collect()} == want and len(want) > 50
         assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_known_words_are_worked_out_once(spark):
+    """Neither the sources nor a sentence are split again for each word; shares stay those of a plain loop."""
+    from tidewell.functions import capture as C
+
+    df = spark.createDataFrame([("Alpha beta gamma stand. Delta epsilon zeta go. No.", "alpha beta gamma"), ("no", "alpha"), ("Alpha one two three four", "")], "text string, source string")
+    column = C.lexical_coverage(F.col("text"), F.array("source"))
+    assert [r[0] for r in df.select(column).collect()] == [0.5, 0.0, 0.0]
+    plan = df.select(column)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(lower(source") + plan.count("split(lower(lambda") <= 2

@@ -225,7 +225,9 @@ def lexical_coverage(text: Column, sources: Column) -> Column:
         return F.filter(F.split(F.lower(s), r"\s+"), lambda w: F.length(w) > 2)
 
     known = F.array_distinct(F.flatten(F.transform(sources, words)))
-    return _share(text, lambda s: F.coalesce(F.size(F.filter(words(s), lambda w: F.array_contains(known, w))) / F.nullif(F.size(words(s)), F.lit(0)) > 0.3, F.lit(False)))
+    # The known words and a sentence's own are worked out once each, not once for every word.
+    share = lambda own, k: F.coalesce(F.size(F.filter(own, lambda w: F.array_contains(k, w))) / F.nullif(F.size(own), F.lit(0)) > 0.3, F.lit(False))
+    return _with(known, lambda k: _share(text, lambda s: _with(words(s), lambda own: share(own, k))))
 
 
 # --- T26, T31: abstracts, steps, tools ---------------------------------------------------------------
