@@ -18,3 +18,14 @@ def test_set_similarity_works_its_arrays_out_once(spark):
     out = rows.select(T.set_similarity(T.trigrams(F.col("a")), T.trigrams(F.col("b"))).alias("s"))
     assert [round(x["s"], 6) for x in out.collect()] == [round(1 / 3, 6), 0.0, 1.0]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(") == 2
+
+
+def test_cue_scopes_works_a_text_out_once(spark):
+    from tidewell.plans import measures
+
+    rows = spark.createDataFrame([("1", "MIT\n License"), ("2", "none"), ("3", "mit license apache")], "id string, text string")
+    cues = spark.createDataFrame([("mit license", "m"), ("Apache", "a")], "cue string, scope string")
+    out = measures.cue_scopes(rows, cues)
+    assert {x["id"]: (x["scope"], x["reason"]) for x in out.collect()} == {"1": ("m", "matched"), "2": (None, "no cue match"), "3": (None, "conflicting cues: a, m")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join") < plan.index("regexp_replace")  # below the join, so not within what runs for each cue

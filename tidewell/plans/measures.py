@@ -163,8 +163,9 @@ def cue_scopes(rows: DataFrame, cues: DataFrame) -> DataFrame:
     Cues are a setting, a few hundred at most, and go along as one row; texts are read once.
     """
     listed = cues.agg(F.collect_list(F.struct(F.lower("cue").alias("cue"), "scope")).alias("cues"))
-    low = F.lower(F.regexp_replace("text", r"\s+", " "))
-    hit = rows.crossJoin(F.broadcast(listed)).withColumn("scopes", F.array_sort(F.array_distinct(F.transform(F.filter("cues", lambda c: low.contains(c["cue"])), lambda c: c["scope"]))))
+    # Below the join, or the text would be worked out again for each cue.
+    low = rows.select("id", F.lower(F.regexp_replace("text", r"\s+", " ")).alias("low"))
+    hit = low.crossJoin(F.broadcast(listed)).withColumn("scopes", F.array_sort(F.array_distinct(F.transform(F.filter("cues", lambda c: F.col("low").contains(c["cue"])), lambda c: c["scope"]))))
     one = F.size("scopes") == 1
     reason = F.when(F.size("cues") == 0, "no cues configured").when(one, "matched").when(F.size("scopes") > 1, F.concat(F.lit("conflicting cues: "), F.array_join("scopes", ", "))).otherwise("no cue match")
     return hit.select("id", F.when(one, F.col("scopes")[0]).alias("scope"), reason.alias("reason"))
