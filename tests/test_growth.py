@@ -29,3 +29,23 @@ def test_cue_scopes_works_a_text_out_once(spark):
     assert {x["id"]: (x["scope"], x["reason"]) for x in out.collect()} == {"1": ("m", "matched"), "2": (None, "no cue match"), "3": (None, "conflicting cues: a, m")}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.index("Join") < plan.index("regexp_replace")  # below the join, so not within what runs for each cue
+
+
+def test_ingest_reads_batches_of_many_files(spark, tmp_path):
+    import glob
+
+    from tidewell.operators.graph import shared_path
+    from tidewell.queries.kept import r8
+
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    held, most = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    before = set(glob.glob(f"{shared_path(spark).removeprefix('file:')}/ingest/*"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        r8(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", held)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    (new,) = set(glob.glob(f"{shared_path(spark).removeprefix('file:')}/ingest/*")) - before
+    assert len(glob.glob(f"{new}/in/*.parquet")) > 3

@@ -72,22 +72,22 @@ _BATCHES = 3
 
 @query("R8_ingest", "SELECT id, max(seq) AS seq, arg_max(text, seq) AS text FROM (SELECT CAST(doc_id % 400 AS VARCHAR) AS id, doc_id * 3 + 1 AS seq, md5(text) AS text FROM documents) x GROUP BY id")
 def r8(spark: Spark, d: str) -> DataFrame:
-    """Documents as versions of 400 rows, in three files; the stream fails after the second batch and starts again."""
+    """Documents as versions of 400 rows, in three batches of files; the stream fails after the second batch and starts again."""
     where = f"{shared_path(spark)}/ingest/{uuid.uuid4().hex}"
     rows = model.table(spark, d, "documents").select((F.col("doc_id") % 400).cast("string").alias("id"), (F.col("doc_id") * 3 + 1).alias("seq"), F.md5(F.col("text").cast("binary")).alias("text"), "doc_id")
-    for k in range(_BATCHES):
-        rows.where(F.col("doc_id") % _BATCHES == k).drop("doc_id").coalesce(1).write.mode("append").parquet(f"{where}/in")
     table = ingest.KeptTable(spark, f"{where}/table", "id string, seq long, text string", most_segments=2)
-    stream = lambda: spark.readStream.schema("id string, seq long, text string").option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    stream = lambda: spark.readStream.schema("id string, seq long, text string").parquet(f"{where}/in")
 
     def fail(number: int) -> None:
         if number == 1:
             raise RuntimeError("lost after the commit")
 
-    try:
-        ingest.ingest(stream(), table, f"{where}/state", before_commit=fail)
-    except Exception as e:  # the stream's own, with ours as its cause
-        if "lost after the commit" not in str(e):
-            raise
-    ingest.ingest(stream(), table, f"{where}/state")
+    for k in range(_BATCHES):  # what is new since the last run is one batch
+        rows.where(F.col("doc_id") % _BATCHES == k).drop("doc_id").write.mode("append").parquet(f"{where}/in")
+        try:
+            ingest.ingest(stream(), table, f"{where}/state", before_commit=fail)
+        except Exception as e:  # the stream's own, with ours as its cause
+            if "lost after the commit" not in str(e):
+                raise
+            ingest.ingest(stream(), table, f"{where}/state")
     return table.current()
