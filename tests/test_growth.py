@@ -49,3 +49,9 @@ def test_ingest_reads_batches_of_many_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", most)
     (new,) = set(glob.glob(f"{shared_path(spark).removeprefix('file:')}/ingest/*")) - before
     assert len(glob.glob(f"{new}/in/*.parquet")) > 3
+
+
+def test_band_join_sums_pairs_where_they_are(spark):
+    from tidewell.queries.memory import j15
+
+    assert _plan(j15(spark, SF)).split("Initial Plan")[0].count("Exchange hashpartitioning") == 2  # the two sides, no pairs
