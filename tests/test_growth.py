@@ -55,3 +55,13 @@ def test_band_join_sums_pairs_where_they_are(spark):
     from tidewell.queries.memory import j15
 
     assert _plan(j15(spark, SF)).split("Initial Plan")[0].count("Exchange hashpartitioning") == 2  # the two sides, no pairs
+
+
+def test_components_broadcast_no_table(spark, monkeypatch):
+    from tidewell.operators import graph
+
+    plans, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df: (plans.append(_plan(df)), write(df))[1])
+    out = graph.components(spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8)], "a long, b long"))
+    assert {x["id"]: x["root"] for x in out.collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7}
+    assert plans and not any("Broadcast" in p for p in plans)

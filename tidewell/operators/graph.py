@@ -127,13 +127,16 @@ def chain(links: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
 
 
 def components(edge: DataFrame) -> DataFrame:
-    """(id, root) for undirected edges (a, b): the smallest id of each component, by hooking and shortcutting."""
+    """(id, root) for undirected edges (a, b): the smallest id of each component, by hooking and shortcutting.
+
+    Tables of ids are small as files and large in memory, so no join may broadcast them.
+    """
     e = materialise(edge.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).where("id <> root").distinct())
     while True:
         low = materialise(e.groupBy("id").agg(F.min("root").alias("low")))
         up = low.select(F.col("id").alias("root"), F.col("low").alias("above"))
-        if low.count() == e.count() and not low.join(up, F.col("low") == up["root"], "left_semi").limit(1).count():
+        if low.count() == e.count() and not low.join(up.hint("merge"), F.col("low") == up["root"], "left_semi").limit(1).count():
             return low.withColumnRenamed("low", "root").unionByName(low.select(F.col("low").alias("id"), F.col("low").alias("root")).distinct())
-        under = e.join(low, "id").select(F.explode(F.array(F.struct("id", F.col("low").alias("root")), F.struct(F.col("root").alias("id"), F.col("low").alias("root")))).alias("e")).select("e.id", "e.root").where("root <> id")
-        raised = under.join(up, "root", "left")
+        under = e.join(low.hint("merge"), "id").select(F.explode(F.array(F.struct("id", F.col("low").alias("root")), F.struct(F.col("root").alias("id"), F.col("low").alias("root")))).alias("e")).select("e.id", "e.root").where("root <> id")
+        raised = under.join(up.hint("merge"), "root", "left")
         e = materialise(raised.select("id", F.coalesce("above", "root").alias("root")).unionByName(raised.where("above is not null").select(F.col("root").alias("id"), F.col("above").alias("root"))).distinct())
