@@ -65,3 +65,20 @@ def test_components_broadcast_no_table(spark, monkeypatch):
     out = graph.components(spark.createDataFrame([(5, 4), (4, 3), (3, 9), (7, 8)], "a long, b long"))
     assert {x["id"]: x["root"] for x in out.collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 7: 7, 8: 7}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_similar_links_hold_few_products_and_rows_travel_seldom(spark, monkeypatch):
+    import random
+
+    from tidewell.operators import lifecycle
+
+    r = random.Random(3)
+    rows = [(f"{i:04}", "g", [r.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, grp string, vector array<double>")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    near = lambda v, w: sum(x * y for x, y in zip(v, w)) / norm(v) / norm(w) >= 0.8
+    want = {i: sum(near(v, w) for j, _, w in rows if i != j) for i, _, v in rows}
+    monkeypatch.setattr(lifecycle, "CELLS", 3_000)
+    for block in (2048, 20):  # one unit, and 8 blocks of 50 rows, not 20 of 20
+        got = {x["id"]: x["links"] for x in lifecycle.similar_links(df, 0.8, ["grp"], block).collect()}
+        assert got == {i: n for i, n in want.items() if n}

@@ -119,15 +119,21 @@ def canonical_members(pairs: DataFrame, df: DataFrame) -> DataFrame:
     return scored.select("id", "root", best.alias("canonical"))
 
 
-def _similar(df: DataFrame, threshold: float, group: list[str], block: int, differ: str | None, out: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+BLOCK_ROWS = 32_768  # rows of one block at most
+CELLS = 2_000_000  # products that a unit holds at once
+
+
+def _similar(df: DataFrame, threshold: float, group: list[str], block: int, differ: str | None, out: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """`out` of the linked pairs (ids, i, j, cos) of each unit: rows of a group with at least that cosine, that differ in `differ` if given.
 
-    A group is cut into blocks by hash and each pair of blocks is a unit of work, so the
-    size of a group does not bound a task; vectors travel once for each partner block.
+    A group is cut into up to 8 blocks of `block` rows or more by hash, into more only where a
+    block would have over BLOCK_ROWS rows, and each pair of blocks is a unit of work; vectors
+    travel once for each partner block.  A unit holds the products of a few rows at a time, and
+    `merge` sums up what `out` said of them.
     """
     sized = df.groupBy(*group).agg(F.count("*").alias("__n"))
     rows = df.select(*group, "id", "vector", (F.col(differ) if differ else F.lit(None).cast("string")).alias("__kind"))
-    rows = rows.join(sized, group).withColumn("__parts", F.ceil(F.col("__n") / block).cast("int"))
+    rows = rows.join(sized, group).withColumn("__parts", F.greatest(F.least(F.ceil(F.col("__n") / block), F.lit(8)), F.ceil(F.col("__n") / BLOCK_ROWS)).cast("int"))
     at = F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int")
     rows = rows.withColumn("__at", at).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
     rows = rows.select(*group, F.least("__at", "__other").alias("__i"), F.greatest("__at", "__other").alias("__j"), "__at", "__kind", "id", "vector")
@@ -138,36 +144,45 @@ def _similar(df: DataFrame, threshold: float, group: list[str], block: int, diff
         n = np.linalg.norm(m, axis=1)
         m = m / np.where(n > 0, n, 1)[:, None]
         ids, at, kind = g["id"].to_numpy(), g["__at"].to_numpy(), g["__kind"].to_numpy()
-        i, j = np.nonzero(np.triu(m @ m.T >= threshold - 1e-12, 1))
-        good = np.ones(len(i), bool)
-        if g["__i"].iloc[0] != g["__j"].iloc[0]:
-            good &= at[i] != at[j]
-        if differ:
-            good &= kind[i] != kind[j]
-        i, j = i[good], j[good]
-        return out(ids, i, j, (m[i] * m[j]).sum(axis=1))
+        same = g["__i"].iloc[0] == g["__j"].iloc[0]
+        found, step = [], max(1, CELLS // len(m))
+        for k in range(0, len(m), step):
+            i, j = np.nonzero(m[k : k + step] @ m.T >= threshold - 1e-12)
+            i = i + k
+            good = i < j
+            if not same:
+                good &= at[i] != at[j]
+            if differ:
+                good &= kind[i] != kind[j]
+            i, j = i[good], j[good]
+            found.append(out(ids, i, j, (m[i] * m[j]).sum(axis=1)))
+            if sum(map(len, found)) > CELLS // 4:
+                found = [merge(pd.concat(found))]
+        return merge(pd.concat(found))
 
     return rows.groupBy(*group, "__i", "__j").applyInPandas(f, schema)
 
 
-def similar_links(df: DataFrame, threshold: float, group: list[str], block: int = 256, differ: str | None = None) -> DataFrame:
+def similar_links(df: DataFrame, threshold: float, group: list[str], block: int = 2048, differ: str | None = None) -> DataFrame:
     """(id, links): how many rows of its group each linked row is near to.  Units return counts, never pairs."""
 
     def counts(ids: np.ndarray, i: np.ndarray, j: np.ndarray, _: np.ndarray) -> pd.DataFrame:
         n = np.bincount(np.concatenate([i, j]), minlength=len(ids))
         return pd.DataFrame({"id": ids[n > 0], "links": n[n > 0]})
 
-    return _similar(df, threshold, group, block, differ, counts, "id string, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return _similar(df, threshold, group, block, differ, counts, "id string, links long", lambda d: d.groupby("id", as_index=False)["links"].sum()).groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def best_pairs(df: DataFrame, threshold: float, group: list[str], most: int, block: int = 256, differ: str | None = None) -> DataFrame:
+def best_pairs(df: DataFrame, threshold: float, group: list[str], most: int, block: int = 2048, differ: str | None = None) -> DataFrame:
     """(a, b, cos) of the `most` nearest pairs, ties by id; a unit returns as many at most."""
 
     def top(ids: np.ndarray, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> pd.DataFrame:
-        pairs = pd.DataFrame({"a": ids[i], "b": ids[j], "cos": cos})
+        return first(pd.DataFrame({"a": ids[i], "b": ids[j], "cos": cos}))
+
+    def first(pairs: pd.DataFrame) -> pd.DataFrame:
         return pairs.assign(r=pairs["cos"].round(9)).sort_values(["r", "a", "b"], ascending=[False, True, True]).head(most)[["a", "b", "cos"]]
 
-    return _similar(df, threshold, group, block, differ, top, "a string, b string, cos double").orderBy(F.round("cos", 9).desc(), "a", "b").limit(most)
+    return _similar(df, threshold, group, block, differ, top, "a string, b string, cos double", lambda d: first(d)).orderBy(F.round("cos", 9).desc(), "a", "b").limit(most)
 
 
 def triggered(reminders: DataFrame, message: str, now: int) -> DataFrame:
