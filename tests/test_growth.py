@@ -82,3 +82,21 @@ def test_similar_links_hold_few_products_and_rows_travel_seldom(spark, monkeypat
     for block in (2048, 20):  # one unit, and 8 blocks of 50 rows, not 20 of 20
         got = {x["id"]: x["links"] for x in lifecycle.similar_links(df, 0.8, ["grp"], block).collect()}
         assert got == {i: n for i, n in want.items() if n}
+
+
+def test_greedy_cover_writes_the_open_cues_once(spark, monkeypatch):
+    from tidewell.operators import cover
+
+    sizes, write = [], cover.materialise
+
+    def counted(df):
+        out = write(df)
+        if "cue" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(cover, "materialise", counted)
+    rows = spark.createDataFrame([("t", str(i), f"text {i}", 0.1, i) for i in range(30)], "task string, id string, text string, priority double, position int")
+    cues = spark.createDataFrame([("t", str(i), f"c{i}x{k}") for i in range(30) for k in range(1 + i % 3)], "task string, id string, cue string")
+    assert [x["id"] for x in cover.greedy_cover(rows, cues, 4).orderBy("rank").collect()] == ["2", "5", "8", "11"]
+    assert sizes[0] == 60 and sum(sizes[1:]) == 9

@@ -21,8 +21,8 @@ def greedy_cover(candidates: DataFrame, cues: DataFrame, limit: int, gain: float
     rows = candidates.where(F.length(key) > 0).withColumn("key", F.xxhash64(key)).withColumn("key2", F.xxhash64(F.lit(1), key))
     firsts = rows.groupBy("task", "key", "key2").agg(F.min(F.struct("position", "id", "priority")).alias("f"))
     left = materialise(firsts.select("task", F.col("f.id").alias("id"), F.col("f.priority").alias("priority"), F.col("f.position").alias("position")))
-    open_ = materialise(cues.select("task", "id", "cue").distinct().join(left.select("task", "id"), ["task", "id"], "left_semi"))
-    chosen = None
+    every = materialise(cues.select("task", "id", "cue").distinct().join(left.select("task", "id"), ["task", "id"], "left_semi"))
+    open_, covered, chosen = every, None, None
     for rank in range(1, limit + 1):
         gains = open_.groupBy("task", "id").agg(F.count("*").alias("open"))
         worth = F.round(F.col("priority") + gain * F.coalesce("open", F.lit(0)) - late * F.col("position"), 9)
@@ -32,6 +32,8 @@ def greedy_cover(candidates: DataFrame, cues: DataFrame, limit: int, gain: float
         if rank == limit or not best.limit(1).count():
             break
         left = materialise(left.join(best.select("task", "id"), ["task", "id"], "left_anti"))
-        covered = open_.join(best.select("task", "id"), ["task", "id"], "left_semi").select("task", "cue").distinct()
-        open_ = materialise(open_.join(covered, ["task", "cue"], "left_anti"))
+        # Written, so that the few cues that are covered have a known size and the many open ones need not move.
+        now = materialise(open_.join(best.select("task", "id"), ["task", "id"], "left_semi").select("task", "cue").distinct())
+        covered = now if covered is None else covered.unionByName(now)
+        open_ = every.join(covered, ["task", "cue"], "left_anti")
     return chosen
