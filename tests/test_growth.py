@@ -158,3 +158,15 @@ def test_index_merges_its_smallest_segments_and_keeps_deletions(spark, tmp_path)
     assert [x[1] for x in before] == ["0", "3", "4", "5"]
     index.merge(3)
     assert hits() == before and len(index.log.live()) == 1
+
+
+def test_profiles_share_their_nearest_rows_and_no_text_travels(spark, monkeypatch):
+    from tidewell.operators import search
+    from tidewell.queries import retrieval as Q
+
+    calls, real = [], search.knn_batch
+    monkeypatch.setattr(search, "knn_batch", lambda *a, **b: calls.append(1) or real(*a, **b))
+    out = Q.k11(spark, SF)
+    assert len(calls) == 1  # for four profiles
+    assert "text" not in Q._rows(spark, SF).columns and " text#" not in _plan(out)
+    assert out.count()

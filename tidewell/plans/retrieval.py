@@ -49,7 +49,7 @@ PROFILES = {
 
 
 def shared_stages(df: DataFrame, profile: Profile, now: int, trace: Trace | None = None) -> DataFrame:
-    """The stages both pipelines share, in their order.
+    """The stages both pipelines share, in their order; rows may have the length of their text, `text_length`, in its place.
 
     Each stage is a projection of its own: a stage reads its score several times, so
     nesting the expressions would make the last one exponentially large.
@@ -71,7 +71,7 @@ def shared_stages(df: DataFrame, profile: Profile, now: int, trace: Trace | None
         "confidence_weight": S.confidence_weight(s, c("confidence")),
         "boundary_weight": S.boundary_weight(s, c("layer"), c("authority"), c("scope")),
         "asset_type_weight": S.asset_weight(s, c("scope")),
-        "length_norm": S.length_norm(s, F.length("text"), profile.length_anchor),
+        "length_norm": S.length_norm(s, c("text_length") if "text_length" in df.columns else F.length("text"), profile.length_anchor),
         "time_decay": S.time_decay(s, c("ts"), c("__half"), c("__tier"), None, c("__exempt"), now),
         "evolution_blend": S.evolution_blend(s, c("__decay"), c("__exempt")),
         "access_boost": S.access_boost(s, c("evo_access_count")),
@@ -102,14 +102,19 @@ def _place(score: str = "score") -> Column:
     return F.row_number().over(W.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "id"))
 
 
-def vector_pipeline(df: DataFrame, queries: DataFrame, profile: Profile, now: int, limit: int = 10, suppressed: DataFrame | None = None, trace: Trace | None = None) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, cos, rank) of the nearest active rows, as many as a search may have; the same for all profiles."""
+    return search.knn_batch(df.where(is_active(F.col("status"))), queries.select("query_id", "query_vector"))
+
+
+def vector_pipeline(df: DataFrame, queries: DataFrame, profile: Profile, now: int, limit: int = 10, suppressed: DataFrame | None = None, trace: Trace | None = None, near: DataFrame | None = None) -> DataFrame:
     """K9: nearest neighbours of active rows, then the shared stages.  Filters come before ranking.
 
     With the queries' text (a column `query`) the profile's least score holds and anchors count (P2); `suppressed`
-    (id) are rows that the session does not want to see again (P18).
+    (id) are rows that the session does not want to see again (P18).  `near` is what `nearest` gave, where it is at hand.
     """
     active = df.where(is_active(F.col("status")))
-    near = search.knn_batch(active, queries, profile.candidates)
+    near = (nearest(df, queries) if near is None else near).where(F.col("rank") <= profile.candidates)
     scored = near.select("query_id", "id", S.clamp01(1 / (2 - F.col("cos"))).alias("score"))
     if "query" in queries.columns:
         asked = _asked(queries)
@@ -127,16 +132,16 @@ def vector_pipeline(df: DataFrame, queries: DataFrame, profile: Profile, now: in
     return staged(trace, finalise(scored, limit), "finalise")
 
 
-def hybrid_pipeline(df: DataFrame, queries: DataFrame, words: DataFrame, profile: Profile, now: int, limit: int = 10, graph: DataFrame | None = None, judged: DataFrame | None = None, trace: Trace | None = None) -> DataFrame:
+def hybrid_pipeline(df: DataFrame, queries: DataFrame, words: DataFrame, profile: Profile, now: int, limit: int = 10, graph: DataFrame | None = None, judged: DataFrame | None = None, trace: Trace | None = None, near: DataFrame | None = None) -> DataFrame:
     """Vectors, keywords and the graph, fused by weight; summaries (P1), anchors (P2), the least score, a second look (P3 or P4), the shared stages, diversity of sources.
 
     `queries` is (query_id, query, query_vector); `words` and `graph` are the other channels'
     (query_id, id, score), `judged` what a cross-encoder said of (query_id, id), where one is
-    at hand; without it the cosine takes its place.
+    at hand; without it the cosine takes its place.  `near` is what `nearest` gave, where it is at hand.
     """
     active, asked = df.where(is_active(F.col("status"))), _asked(queries)
     live = lambda rows: rows.select("query_id", "id", "score").join(active.select("id"), "id", "left_semi")
-    near = search.knn_batch(active, asked.select("query_id", "query_vector"), profile.candidates).select("query_id", "id", S.clamp01(1 / (2 - F.col("cos"))).alias("score"))
+    near = (nearest(df, queries) if near is None else near).where(F.col("rank") <= profile.candidates).select("query_id", "id", S.clamp01(1 / (2 - F.col("cos"))).alias("score"))
     near = staged(trace, near, "vector_search", ())
     found = staged(trace, live(words), "bm25_search", ())
     linked = near.where(F.lit(False)) if graph is None else staged(trace, live(graph), "graph_search", ())

@@ -28,6 +28,13 @@ def _requests(spark: Spark, d: str) -> DataFrame:
     return spark.sql(_ASK.replace("FROM memories", "FROM {memories}"), memories=model.memories(spark, d))
 
 
+def _rows(spark: Spark, d: str) -> DataFrame:
+    """Memories with the length of their text in its place, written once: texts are cut before the join with vectors, so none travels."""
+    notes = model.notes(spark, d).withColumn("text_length", F.length("text")).drop("text")
+    vectors = model.table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").alias("vector"), F.col("label").alias("topic"))
+    return graph.materialise(notes.join(vectors, "i"))
+
+
 def _suppressed(rows: DataFrame) -> DataFrame:
     """What the session has had enough of: every third memory."""
     return rows.where("i % 3 = 0").select("id")
@@ -94,9 +101,10 @@ def _profiles_sql() -> str:
 @query("K11_profiles", _profiles_sql())
 def k11(spark: Spark, d: str) -> DataFrame:
     """Every profile over the vector path, with anchors, least scores and what a session suppresses."""
-    rows, requests, out = model.memories(spark, d), _requests(spark, d), None
+    rows, requests, out = _rows(spark, d), graph.materialise(_requests(spark, d)), None
+    near = graph.materialise(retrieval.nearest(rows, requests))
     for p in retrieval.PROFILES.values():
-        found = retrieval.vector_pipeline(rows, requests, p, NOW, suppressed=_suppressed(rows))
+        found = retrieval.vector_pipeline(rows, requests, p, NOW, suppressed=_suppressed(rows), near=near)
         found = found.select(F.lit(p.name).alias("profile"), "query_id", "id", "position", F.round("score", 6).alias("score"))
         out = found if out is None else out.unionByName(found)
     return out
@@ -159,10 +167,11 @@ def _channels(spark: Spark, d: str, requests: DataFrame) -> tuple[DataFrame, Dat
 @query("K10_hybrid_pipeline", _hybrid_profiles_sql())
 def k10(spark: Spark, d: str) -> DataFrame:
     """Every profile over the hybrid path with all three channels."""
-    rows, requests, out = model.memories(spark, d), graph.materialise(_requests(spark, d)), None
+    rows, requests, out = _rows(spark, d), graph.materialise(_requests(spark, d)), None
     words, linked = _channels(spark, d, requests)
+    near = graph.materialise(retrieval.nearest(rows, requests))
     for p in retrieval.PROFILES.values():
-        found = retrieval.hybrid_pipeline(rows, requests, words, p, NOW, graph=linked)
+        found = retrieval.hybrid_pipeline(rows, requests, words, p, NOW, graph=linked, near=near)
         found = found.select(F.lit(p.name).alias("profile"), "query_id", "id", "position", F.round("score", 6).alias("score"))
         out = found if out is None else out.unionByName(found)
     return out
