@@ -170,3 +170,12 @@ def test_profiles_share_their_nearest_rows_and_no_text_travels(spark, monkeypatc
     assert len(calls) == 1  # for four profiles
     assert "text" not in Q._rows(spark, SF).columns and " text#" not in _plan(out)
     assert out.count()
+
+
+def test_trace_searches_once_for_both_pipelines(spark, monkeypatch):
+    from tidewell.operators import search
+    from tidewell.queries import retrieval as Q
+
+    calls, real = [], search.knn_batch
+    monkeypatch.setattr(search, "knn_batch", lambda *a, **b: calls.append(1) or real(*a, **b))
+    assert Q.g34(spark, SF).count() == 31 and len(calls) == 1

@@ -192,11 +192,12 @@ def _trace_sql() -> str:
 @query("G34_stage_trace", _trace_sql())
 def g34(spark: Spark, d: str) -> DataFrame:
     """Both pipelines run once each, with what every stage took in and gave out."""
-    rows, requests, p = model.memories(spark, d), graph.materialise(_requests(spark, d)), retrieval.PROFILES["default"]
+    rows, requests, p = _rows(spark, d), graph.materialise(_requests(spark, d)), retrieval.PROFILES["default"]
     words, linked = _channels(spark, d, requests)
+    near = graph.materialise(retrieval.nearest(rows, requests))
     seen = {"vector": Trace(), "hybrid": Trace()}
-    graph.materialise(retrieval.vector_pipeline(rows, requests, p, NOW, suppressed=_suppressed(rows), trace=seen["vector"]).select("query_id", "id", "score"))
-    graph.materialise(retrieval.hybrid_pipeline(rows, requests, words, p, NOW, graph=linked, trace=seen["hybrid"]).select("query_id", "id", "score"))
+    graph.materialise(retrieval.vector_pipeline(rows, requests, p, NOW, suppressed=_suppressed(rows), trace=seen["vector"], near=near).select("query_id", "id", "score"))
+    graph.materialise(retrieval.hybrid_pipeline(rows, requests, words, p, NOW, graph=linked, trace=seen["hybrid"], near=near).select("query_id", "id", "score"))
     stages = [(name, *r) for name, t in seen.items() for r in t.rows()]
     out = spark.createDataFrame(stages, f"pipeline string, {SCHEMA}")
     return out.withColumns({"least": F.round("least", 6), "most": F.round("most", 6)})
