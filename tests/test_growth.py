@@ -179,3 +179,19 @@ def test_trace_searches_once_for_both_pipelines(spark, monkeypatch):
     calls, real = [], search.knn_batch
     monkeypatch.setattr(search, "knn_batch", lambda *a, **b: calls.append(1) or real(*a, **b))
     assert Q.g34(spark, SF).count() == 31 and len(calls) == 1
+
+
+def test_consolidation_works_its_facts_out_once(spark):
+    from tidewell.operators import consolidation
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("1", "s", "c", [1.0, 0.0], 0.5, 1, 1), ("2", "s", "c", [1.0, 0.1], 0.5, 2, 2)], "id string, scope string, category string, vector array<double>, importance double, accesses int, place long")
+    facts = spark.createDataFrame([("1", "x", 2), ("1", "y", 1), ("2", "x", 2)], "id string, fact string, mentions long")
+    out = consolidation.consolidate_once(rows, facts.mapInArrow(count, facts.schema))
+    assert {x["id"]: x["canonical"] for x in out.collect()} == {"1": "2", "2": "2"} and seen.value == 3

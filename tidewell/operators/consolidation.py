@@ -48,6 +48,7 @@ def consolidate_once(
     scores, 1 / (2 - cosine); a member that is not near to the canonical one itself has the
     cluster's least score.
     """
+    facts = materialise(facts.select("id", "fact", "mentions"))  # read four times
     group = ["scope", "category"]
     rows = materialise(vector_classes(df.select("id", *group, "vector", "importance", "accesses", "place"), group, [F.col("place")]).withColumn("o", F.struct("place", "id")))
     own = rows.where("id = first and vector is not null")
