@@ -57,6 +57,28 @@ def test_band_join_sums_pairs_where_they_are(spark):
     assert _plan(j15(spark, SF)).split("Initial Plan")[0].count("Exchange hashpartitioning") == 2  # the two sides, no pairs
 
 
+def test_band_join_makes_no_pairs_and_repeated_ids_are_one_row(spark, tmp_path):
+    import datetime
+    import random
+
+    from tidewell.queries.memory import j15
+
+    r, zero = random.Random(7), datetime.datetime(1969, 12, 31, 23, 55)
+    at = lambda: zero + datetime.timedelta(seconds=r.choice([0, 30, 90, 600, 630, 3600, 4000]) + r.randint(0, 8) * 15)
+    rows = [(i % 60, r.choice([at(), at(), at(), None]), r.choice([0, 5, 1, -1, None]), r.choice(["a", "b", None])) for i in range(90)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    scope = lambda u: abs(u) % 5 * (1 if u > 0 else -1)
+    met: dict[int, list] = {}
+    for i, t, u, kind in rows:
+        for j, t2, u2, kind2 in rows:
+            if None not in (t, t2, u, u2, kind) and kind == kind2 and scope(u) != scope(u2) and abs(t - t2).total_seconds() <= 90:
+                met.setdefault(i, []).append((abs(t - t2), j, scope(u2)))
+    want = {i: min(x)[1] for i, x in met.items() if len({s for *_, s in x}) == 1}
+    out = j15(spark, str(tmp_path))
+    assert len(want) > 5 and {x["a"]: x["nearest"] for x in out.collect()} == want and out.count() == len(want)
+    assert "Join" not in _plan(out)
+
+
 def test_components_broadcast_no_table(spark, monkeypatch):
     from tidewell.operators import graph
 
